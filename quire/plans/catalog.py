@@ -71,3 +71,103 @@ W1_COLUMNS = ["user_id", *FK_V1.engineered_columns(), "ust"]
 def w1_feature_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W1 (S1->P3,P4,P6->P8-P13->P15-P19->F1-F6,F8): per-respondent features."""
     return feature_run(spark, sf_dir).features.select(*W1_COLUMNS)
+
+
+# ------------------------------------------------------------------ statistics
+from quire.operators import stats as S  # noqa: E402
+from quire.sources.tables import table  # noqa: E402
+
+LI = O.LI_COLS
+LI_KEY = ["l_orderkey", "l_linenumber"]
+
+
+def _lineitem(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(*LI_KEY, *LI)
+
+
+@register("a1_a3_column_profile", O.profile_sql())
+def a1_a3_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1-A3: sample variance (zero-variance flag), population skewness,
+    interpolated quartiles and IQR fences per column, one aggregation."""
+    return S.profile_frame(spark, S.profile(_lineitem(spark, sf_dir), LI))
+
+
+@register("a4_outlier_median", O.outlier_sql("median"))
+def a4_outlier_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: outlying cells (outside the IQR fences) -> column median."""
+    df = _lineitem(spark, sf_dir)
+    return S.apply_outliers(df, S.profile(df, LI), "median")
+
+
+@register("a5_outlier_cap", O.outlier_sql("cap"))
+def a5_outlier_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: clip to the fences; columns with |skew| > 1 take the median rule."""
+    df = _lineitem(spark, sf_dir)
+    return S.apply_outliers(df, S.profile(df, LI), "cap")
+
+
+@register("a6_outlier_remove", O.outlier_remove_sql())
+def a6_outlier_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequential row removal, each column refitted on what is left."""
+    return S.remove_outliers(_lineitem(spark, sf_dir), LI)
+
+
+@register("a7_scaler_fit", O.scaler_fit_sql())
+def a7_scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and population std (0 -> 1) per column."""
+    return S.scaler_frame(spark, S.fit_scaler(_lineitem(spark, sf_dir), LI))
+
+
+@register("a8_a10_scaled", O.scaled_sql())
+def a8_a10_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8+A10: standardised values rounded half-even to 3 decimals."""
+    df = _lineitem(spark, sf_dir)
+    return S.apply_scaler(df, S.fit_scaler(df, LI), round_digits=3)
+
+
+MODEL_FEATURES = FK_V1.model_columns()
+
+
+@register("a11_a13_correlations",
+          O.with_(O.feature_ctes(), O.corr_sql("engineered", MODEL_FEATURES, "ust")))
+def a11_a13_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pearson and Spearman of every model feature with the target."""
+    feats = feature_run(spark, sf_dir).features
+    return S.correlation_table(feats, MODEL_FEATURES, "ust")
+
+
+_LABELLED_LI = ("labelled_li AS (SELECT l_quantity, l_extendedprice, l_discount, l_tax,"
+                " CAST(l_returnflag = 'R' AS INTEGER) AS label FROM lineitem)")
+
+
+@register("a12_spearman_continuous", O.with_([_LABELLED_LI], O.corr_sql("labelled_li", LI, "label")))
+def a12_spearman_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11-A12 on continuous columns: mid-ranks by a bucketed two-level
+    prefix sum (no whole-column window)."""
+    df = table(spark, sf_dir, "lineitem").select(
+        *LI, (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    return S.correlation_table(df, LI, "label", buckets=16)
+
+
+@register("a14_pearson_matrix", O.pearson_matrix_sql())
+def a14_pearson_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pearson matrix in long form from one Gram pass."""
+    return S.pearson_matrix(spark, _lineitem(spark, sf_dir), LI)
+
+
+@register("a15_vif")
+def a15_vif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VIF with intercept = diag of the inverse correlation matrix."""
+    return S.vif(spark, _lineitem(spark, sf_dir), LI, intercept=True)
+
+
+@register("a16_vif_uncentred")
+def a16_vif_uncentred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VIF without intercept (uncentred R^2) from the raw Gram matrix."""
+    return S.vif(spark, _lineitem(spark, sf_dir), LI, intercept=False)
+
+
+@register("a17_class_balance", O.with_(O.feature_ctes(), O.class_balance_sql("engineered", "ust")))
+def a17_class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class counts, percents, min/max ratio and severe flag."""
+    return S.class_balance(feature_run(spark, sf_dir).features, "ust")

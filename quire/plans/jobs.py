@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,9 @@ def clean(wide: DataFrame, spec: SurveySpec = FK_V1, method: str = "median",
           fits: dict | None = None) -> DataFrame:
     """P8 -> P9 -> P10 -> P12 -> P13 (data_cleaning)."""
     fits = {} if fits is None else fits
-    df = dedup_exact(wide)
+    # The de-duplicated frame feeds several small fits and the final plan:
+    # keep it (memory+disk; lost blocks are recomputed from lineage).
+    df = dedup_exact(wide).persist(StorageLevel.MEMORY_AND_DISK)
     t = spec.target
     nulls = df.agg(F.count_if(F.col(t).isNull()).alias("n")).first()["n"]
     if nulls:

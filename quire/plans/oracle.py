@@ -184,3 +184,109 @@ def engineer_sql(spec=FK_V1) -> str:
 
 def feature_ctes(distinct_status: bool = True) -> list[str]:
     return survey_ctes() + [cte_load(distinct_status=distinct_status), cte_parsed()] + cte_wide_features()
+
+
+# ------------------------------------------------------------------ statistics
+LI_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def profile_sql(table: str = "lineitem", cols=LI_COLS) -> str:
+    parts = []
+    for c in cols:
+        parts.append(
+            f"SELECT '{c}' AS feature, var_samp({c}) AS var_samp,"
+            f" avg(pow({c} - m, 3)) / pow(avg(pow({c} - m, 2)), 1.5) AS skewness,"
+            f" quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS median,"
+            f" quantile_cont({c}, 0.75) AS q3,"
+            f" quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lower,"
+            f" quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS upper,"
+            f" var_samp({c}) = 0 AS zero_variance"
+            f" FROM {table}, (SELECT avg({c}) AS m FROM {table}) mm")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _fence_cte(name: str, src: str, c: str) -> str:
+    return (f"{name} AS (SELECT quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo,"
+            f" quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi,"
+            f" quantile_cont({c}, 0.5) AS med,"
+            f" avg(pow({c} - m, 3)) / pow(avg(pow({c} - m, 2)), 1.5) AS sk"
+            f" FROM {src}, (SELECT avg({c}) AS m FROM {src}) mm)")
+
+
+def outlier_sql(method: str, cols=LI_COLS) -> str:
+    key = "l_orderkey, l_linenumber"
+    base = f"base AS (SELECT {key}, {', '.join(cols)} FROM lineitem)"
+    ctes = [base] + [_fence_cte(f"f_{c}", "base", c) for c in cols]
+    exprs = []
+    for c in cols:
+        fc = f"(SELECT {{}} FROM f_{c})"
+        lo, hi, med, sk = (fc.format(v) for v in ("lo", "hi", "med", "sk"))
+        out = f"({c} < {lo} OR {c} > {hi})"
+        if method == "median":
+            exprs.append(f"CASE WHEN {out} THEN {med} ELSE {c} END AS {c}")
+        else:
+            exprs.append(f"CASE WHEN abs({sk}) > 1 THEN (CASE WHEN {out} THEN {med} ELSE {c} END)"
+                         f" ELSE least(greatest({c}, {lo}), {hi}) END AS {c}")
+    return with_(ctes, f"SELECT {key}, {', '.join(exprs)} FROM base")
+
+
+def outlier_remove_sql(cols=LI_COLS) -> str:
+    key = "l_orderkey, l_linenumber"
+    ctes = [f"t0 AS (SELECT {key}, {', '.join(cols)} FROM lineitem)"]
+    for i, c in enumerate(cols):
+        src, dst = f"t{i}", f"t{i + 1}"
+        ctes.append(_fence_cte(f"f{i}", src, c))
+        lo, hi, med, sk = (f"(SELECT {v} FROM f{i})" for v in ("lo", "hi", "med", "sk"))
+        out = f"({c} < {lo} OR {c} > {hi})"
+        others = [x for x in cols if x != c]
+        ctes.append(
+            f"{dst} AS (SELECT {key}, " + ", ".join(others) +
+            f", CASE WHEN abs({sk}) > 1 AND {out} THEN {med} ELSE {c} END AS {c} FROM {src}"
+            f" WHERE abs({sk}) > 1 OR NOT {out} OR {c} IS NULL)")
+    return with_(ctes, f"SELECT {key}, {', '.join(cols)} FROM t{len(cols)}")
+
+
+def scaler_fit_sql(cols=LI_COLS) -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS feature, avg({c}) AS mean,"
+        f" CASE WHEN stddev_pop({c}) = 0 OR stddev_pop({c}) IS NULL THEN 1.0 ELSE stddev_pop({c}) END AS scale"
+        f" FROM lineitem" for c in cols)
+
+
+def scaled_sql(cols=LI_COLS) -> str:
+    ctes = [f"p_{c} AS (SELECT avg({c}) AS m, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS s FROM lineitem)"
+            for c in cols]
+    exprs = ", ".join(f"round_even(({c} - (SELECT m FROM p_{c})) / (SELECT s FROM p_{c}) * 1000, 0) / 1000 AS {c}"
+                      for c in cols)
+    return with_(ctes, f"SELECT l_orderkey, l_linenumber, {exprs} FROM lineitem")
+
+
+def corr_sql(src: str, features: list[str], target: str) -> str:
+    """Pearson (population moments, NULL on zero std) and Spearman (average
+    ranks via window functions over raw rows) for each feature."""
+    parts = []
+    for c in features:
+        ranked = (f"(SELECT rank() OVER (ORDER BY CAST({c} AS DOUBLE)) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS rx,"
+                  f" rank() OVER (ORDER BY CAST({target} AS DOUBLE)) + (count(*) OVER (PARTITION BY {target}) - 1) / 2.0 AS ry"
+                  f" FROM {src} WHERE {c} IS NOT NULL AND {target} IS NOT NULL)")
+        parts.append(
+            f"SELECT '{c}' AS feature,"
+            f" (SELECT CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) > 0 AND stddev_pop(CAST({target} AS DOUBLE)) > 0"
+            f" THEN covar_pop(CAST({c} AS DOUBLE), CAST({target} AS DOUBLE)) / (stddev_pop(CAST({c} AS DOUBLE)) * stddev_pop(CAST({target} AS DOUBLE))) END FROM {src}) AS pearson,"
+            f" (SELECT CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) > 0 AND stddev_pop(CAST({target} AS DOUBLE)) > 0"
+            f" THEN (SELECT covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) FROM {ranked} rr) END FROM {src}) AS spearman")
+    return "\nUNION ALL\n".join(parts)
+
+
+def pearson_matrix_sql(cols=LI_COLS, table: str = "lineitem") -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{a}' AS feature_i, '{b}' AS feature_j,"
+        f" CASE WHEN stddev_samp({a}) > 0 AND stddev_samp({b}) > 0 THEN covar_samp({a}, {b}) / (stddev_samp({a}) * stddev_samp({b})) END AS r FROM {table}"
+        for a in cols for b in cols)
+
+
+def class_balance_sql(src: str, target: str) -> str:
+    return (f"SELECT {target} AS class, n, n * 100.0 / sum(n) OVER () AS percent,"
+            f" CAST(min(n) OVER () AS DOUBLE) / max(n) OVER () AS balance_ratio,"
+            f" CAST(min(n) OVER () AS DOUBLE) / max(n) OVER () < 0.2 AS severe"
+            f" FROM (SELECT {target}, count(*) AS n FROM {src} GROUP BY {target}) c")
