@@ -171,3 +171,84 @@ def a16_vif_uncentred(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a17_class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class counts, percents, min/max ratio and severe flag."""
     return S.class_balance(feature_run(spark, sf_dir).features, "ust")
+
+
+# ------------------------------------------------------------------ selection
+from quire.operators import select as T  # noqa: E402
+
+_CORR_BODY = O.with_(O.feature_ctes(), O.corr_sql("engineered", MODEL_FEATURES, "ust"))
+N_SELECT = 10
+
+
+def _corr(spark, sf_dir):
+    return S.correlation_table(feature_run(spark, sf_dir).features, MODEL_FEATURES, "ust")
+
+
+@register("t1_top_spearman", O.top_by_sql(_CORR_BODY, "spearman", N_SELECT))
+def t1_top_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10 most positive + 10 most negative Spearman features."""
+    return T.top_by(_corr(spark, sf_dir), "spearman", N_SELECT)
+
+
+@register("t2_top_pearson", O.top_by_sql(_CORR_BODY, "pearson", N_SELECT))
+def t2_top_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same selection on Pearson."""
+    return T.top_by(_corr(spark, sf_dir), "pearson", N_SELECT)
+
+
+@register("t3_correlated_filter")
+def t3_correlated_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy |r| > 0.7 pair filter (lower variance dropped) over all
+    model features; rows = kept features in column order."""
+    feats = feature_run(spark, sf_dir).features
+    kept = T.filter_correlated(spark, feats, MODEL_FEATURES)
+    return spark.createDataFrame([(f, i + 1) for i, f in enumerate(kept)], "feature STRING, position INT")
+
+
+@register("t4_uncorrelated_top")
+def t4_uncorrelated_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: T1 candidates, then the T3 filter, then the first 10."""
+    feats = feature_run(spark, sf_dir).features
+    corr = S.correlation_table(feats, MODEL_FEATURES, "ust")
+    kept = T.select_uncorrelated_top(spark, feats, corr, N_SELECT)
+    return spark.createDataFrame([(f, i + 1) for i, f in enumerate(kept)], "feature STRING, position INT")
+
+
+@register("t10_chart_data", O.chart_sql(_CORR_BODY))
+def t10_chart_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chart rows, top 10 positive and bottom 10 negative Pearson."""
+    return T.chart_data(_corr(spark, sf_dir))
+
+
+@register("t11_disagreement", O.disagreement_sql(_CORR_BODY))
+def t11_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features with |pearson - spearman| > 0.1."""
+    return T.disagreement(_corr(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ screening
+from quire.operators.answers import wide_to_groups  # noqa: E402
+from quire.operators.prepare import recode  # noqa: E402
+from quire.operators.screen import screen  # noqa: E402
+from quire.sources import fixtures as FX  # noqa: E402
+
+
+def _respondents_recoded(spark, sf_dir):
+    w = FX.answers_wide(spark, sf_dir).select("user_id", *FK_V1.columns)
+    return recode(w, FK_V1)
+
+
+_SCREEN_GROUPS = {"fht": [c for c in FK_V1.columns if c.startswith("fht")],
+                  "kmsi": [c for c in FK_V1.columns if c.startswith("kmsi")]}
+_RECODED_CTE = ("recoded_resp AS (SELECT user_id, " + ", ".join(O._recode_expr(c) for c in FK_V1.columns)
+                + " FROM answers_wide WHERE " + " AND ".join(f"{c} IN (1, 2, 3)" for c in FK_V1.columns) + ")")
+
+
+@register("c1_screening", O.with_([O.cte_answers_wide(), _RECODED_CTE],
+          "SELECT user_id, s.screening_passed, s.screening_msg FROM recoded_resp, LATERAL "
+          + O.screen_sql(_SCREEN_GROUPS) + " s"))
+def c1_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 on recoded answers of every respondent (P15 -> P29 -> C1)."""
+    r = _respondents_recoded(spark, sf_dir)
+    s = screen(wide_to_groups(FK_V1), FK_V1.stems)
+    return r.select("user_id", s.alias("s")).select("user_id", "s.screening_passed", "s.screening_msg")

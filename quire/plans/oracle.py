@@ -290,3 +290,53 @@ def class_balance_sql(src: str, target: str) -> str:
             f" CAST(min(n) OVER () AS DOUBLE) / max(n) OVER () AS balance_ratio,"
             f" CAST(min(n) OVER () AS DOUBLE) / max(n) OVER () < 0.2 AS severe"
             f" FROM (SELECT {target}, count(*) AS n FROM {src} GROUP BY {target}) c")
+
+
+# ------------------------------------------------------------------ selection
+def top_by_sql(corr_body: str, column: str, n: int) -> str:
+    return (f"WITH corr AS ({corr_body}),\n"
+            f"pos AS (SELECT feature, {column}, 0 AS s FROM corr WHERE {column} > 0 ORDER BY {column} DESC, feature LIMIT {n}),\n"
+            f"neg AS (SELECT feature, {column}, 1 AS s FROM corr WHERE {column} < 0 ORDER BY {column} ASC, feature LIMIT {n})\n"
+            f"SELECT feature, {column}, CAST(row_number() OVER (ORDER BY s, {column} DESC, feature) AS INTEGER) AS position"
+            f" FROM (SELECT * FROM pos UNION ALL SELECT * FROM neg) u")
+
+
+def disagreement_sql(corr_body: str, gap: float = 0.1) -> str:
+    return (f"WITH corr AS ({corr_body}) SELECT feature, pearson, spearman, abs(pearson - spearman) AS gap"
+            f" FROM corr WHERE abs(pearson - spearman) > {gap}")
+
+
+def chart_sql(corr_body: str, k: int = 10) -> str:
+    return (f"WITH corr AS ({corr_body}),\n"
+            "c AS (SELECT feature, COALESCE(pearson, 0.0) AS pearson, COALESCE(spearman, 0.0) AS spearman FROM corr),\n"
+            "f AS (SELECT min(pearson) AS lo, max(pearson) AS hi FROM c)\n"
+            f"SELECT * FROM (SELECT c.* FROM c, f WHERE f.lo >= 0 ORDER BY pearson DESC, feature LIMIT {k})\n"
+            f"UNION ALL SELECT * FROM (SELECT c.* FROM c, f WHERE f.hi <= 0 AND f.lo < 0 ORDER BY pearson ASC, feature LIMIT {k})\n"
+            f"UNION ALL SELECT * FROM (SELECT c.* FROM c, f WHERE f.lo < 0 AND f.hi > 0 AND pearson > 0 ORDER BY pearson DESC, feature LIMIT {k})\n"
+            f"UNION ALL SELECT * FROM (SELECT c.* FROM c, f WHERE f.lo < 0 AND f.hi > 0 AND pearson < 0 ORDER BY pearson ASC, feature LIMIT {k})")
+
+
+# ------------------------------------------------------------------ screening
+def screen_sql(groups: dict, n_expr_prefix: str = "") -> str:
+    """Columns screening_passed, screening_msg from wide recoded columns."""
+    import math
+    se = repr(math.sqrt(2.0 / 3.0))
+    order = list(groups)
+    vals = "list_concat(" + ", ".join("[" + ", ".join(groups[g]) + "]" for g in order) + ")" \
+        if len(order) > 1 else "[" + ", ".join(groups[order[0]]) + "]"
+    group_checks = []
+    for g in order:
+        arr = "[" + ", ".join(groups[g]) + "]"
+        group_checks += [
+            f"CASE WHEN NOT list_bool_and(list_transform({arr}, lambda x: x IS NOT NULL)) THEN 'Non-integer values in {g}' END",
+            f"CASE WHEN NOT list_bool_and(list_transform({arr}, lambda x: floor(x) >= 1 AND floor(x) <= 3)) THEN 'Values in {g} must be between 1 and 3' END",
+        ]
+    z = f"((CAST(list_sum(ints) AS DOUBLE) / len(ints) - 2.0) / (CAST('{se}' AS DOUBLE) / sqrt(CAST(len(ints) AS DOUBLE))))"
+    fail = ("COALESCE(" + ", ".join(group_checks + [
+        "CASE WHEN len(ints) = 0 THEN 'No valid answers found' END",
+        "CASE WHEN len(list_distinct(ints)) = 1 THEN 'All answers identical' END",
+        f"CASE WHEN abs({z}) > 1.96 THEN printf('Anomalous score detected (z=%.2f)', {z}) END"]) + ")")
+    ok = ("array_to_string(list_transform(list_sort(list_distinct(ints)), lambda k: CAST(k AS VARCHAR) || ' (' || "
+          "CAST(CAST(trunc(CAST(len(list_filter(ints, lambda x: x = k)) AS DOUBLE) / len(ints) * 100) AS INTEGER) AS VARCHAR) || '%)'), ', ')")
+    return (f"(SELECT {fail} IS NULL AS screening_passed, COALESCE({fail}, {ok}) AS screening_msg"
+            f" FROM (SELECT list_transform({vals}, lambda x: CAST(floor(x) AS INTEGER)) AS ints) s)")
