@@ -252,3 +252,64 @@ def c1_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _respondents_recoded(spark, sf_dir)
     s = screen(wide_to_groups(FK_V1), FK_V1.stems)
     return r.select("user_id", s.alias("s")).select("user_id", "s.screening_passed", "s.screening_msg")
+
+
+# ------------------------------------------------------------------ evaluation
+from quire.operators import evaluate as E  # noqa: E402
+
+
+def _scores(spark, sf_dir, threshold: float = 0.5):
+    s = FX.lineitem_scores(spark, sf_dir)
+    return s.withColumn("pred", E.decide(F.col("score"), threshold))
+
+
+@register("e1_e3_metrics", O.counts_sql(1.0))
+def e1_e3_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1+E3: p >= 0.5 decisions; accuracy, precision, recall, F1 (zero division 1)."""
+    return E.count_metrics(_scores(spark, sf_dir), zero_division=1.0)
+
+
+@register("e2_confusion", O.confusion_sql())
+def e2_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion matrix cells."""
+    return E.confusion(_scores(spark, sf_dir))
+
+
+@register("e4_roc_auc", O.roc_auc_sql())
+def e4_roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROC AUC (ties half) from per-score cells."""
+    return E.roc_auc(E.score_cells(_scores(spark, sf_dir)))
+
+
+@register("e5_pr_auc", O.pr_auc_sql())
+def e5_pr_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5: trapezoid PR AUC with the (recall 0, precision 1) end point."""
+    return E.pr_auc(E.score_cells(_scores(spark, sf_dir)))
+
+
+@register("e7_accuracy_ci", O.accuracy_ci_sql(E.z_value(0.05)))
+def e7_accuracy_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal-approximation accuracy CI (alpha 0.05)."""
+    s = _scores(spark, sf_dir)
+    a = s.agg(F.avg(F.when(F.col("label") == F.col("pred"), 1.0).otherwise(0.0)).alias("accuracy"),
+              F.count(F.lit(1)).alias("n"))
+    return a.select("accuracy", "n", *E.accuracy_ci(F.col("accuracy"), F.col("n")))
+
+
+@register("e8_bootstrap_ci")
+def e8_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """500 Poisson-bootstrap replicates over (score, label, pred) cells;
+    2.5/97.5 percentile bounds of precision, recall, F1, ROC AUC, PR AUC."""
+    return E.bootstrap_ci(_scores(spark, sf_dir), n_boot=500)
+
+
+@register("e9_bootstrap_ci_wide")
+def e9_bootstrap_ci_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1000 replicates, accuracy included, equal bounds widened by 0.01."""
+    return E.bootstrap_ci(_scores(spark, sf_dir), n_boot=1000, with_accuracy=True, widen_equal=0.01)
+
+
+@register("e10_class_report", O.class_report_sql())
+def e10_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-class precision / recall / F1 / support."""
+    return E.per_class_report(_scores(spark, sf_dir))

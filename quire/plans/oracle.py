@@ -340,3 +340,66 @@ def screen_sql(groups: dict, n_expr_prefix: str = "") -> str:
           "CAST(CAST(trunc(CAST(len(list_filter(ints, lambda x: x = k)) AS DOUBLE) / len(ints) * 100) AS INTEGER) AS VARCHAR) || '%)'), ', ')")
     return (f"(SELECT {fail} IS NULL AS screening_passed, COALESCE({fail}, {ok}) AS screening_msg"
             f" FROM (SELECT list_transform({vals}, lambda x: CAST(floor(x) AS INTEGER)) AS ints) s)")
+
+
+# ------------------------------------------------------------------ evaluation
+SCORES_CTE = ("scores AS (SELECT l_orderkey * 8 + l_linenumber AS row_id,"
+              " CAST(l_returnflag = 'R' AS INTEGER) AS label, l_discount * 10 AS score,"
+              " CAST(l_discount * 10 >= 0.5 AS INTEGER) AS pred FROM lineitem)")
+
+
+def counts_sql(z: float = 1.0) -> str:
+    zl = f"CAST({z} AS DOUBLE)"
+    return with_([SCORES_CTE], (
+        "SELECT CAST(tp + tn AS DOUBLE) / (tp + fp + tn + fn) AS accuracy,"
+        f" COALESCE(CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0), {zl}) AS precision,"
+        f" COALESCE(CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0), {zl}) AS recall,"
+        f" COALESCE(CAST(2 * tp AS DOUBLE) / NULLIF(2 * tp + fp + fn, 0), {zl}) AS f1,"
+        " CAST(tp AS DOUBLE) AS tp, CAST(fp AS DOUBLE) AS fp, CAST(tn AS DOUBLE) AS tn, CAST(fn AS DOUBLE) AS fn"
+        " FROM (SELECT sum(CASE WHEN label = 1 AND pred = 1 THEN 1 ELSE 0 END) AS tp,"
+        " sum(CASE WHEN label = 0 AND pred = 1 THEN 1 ELSE 0 END) AS fp,"
+        " sum(CASE WHEN label = 0 AND pred = 0 THEN 1 ELSE 0 END) AS tn,"
+        " sum(CASE WHEN label = 1 AND pred = 0 THEN 1 ELSE 0 END) AS fn FROM scores) c"))
+
+
+def confusion_sql() -> str:
+    return with_([SCORES_CTE], "SELECT label, pred, count(*) AS n FROM scores GROUP BY label, pred")
+
+
+def roc_auc_sql() -> str:
+    return with_([SCORES_CTE], (
+        "SELECT CASE WHEN P > 0 AND N > 0 THEN (rs - P * (P + 1) / 2.0) / (P * N) END AS roc_auc FROM ("
+        " SELECT sum(CASE WHEN label = 1 THEN r END) AS rs, CAST(sum(label) AS DOUBLE) AS P,"
+        " CAST(sum(1 - label) AS DOUBLE) AS N FROM ("
+        "  SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r"
+        "  FROM scores) t) u"))
+
+
+def pr_auc_sql() -> str:
+    return with_([SCORES_CTE,
+                  "cells AS (SELECT score, CAST(sum(label) AS DOUBLE) AS pos, CAST(sum(1 - label) AS DOUBLE) AS neg FROM scores GROUP BY score)",
+                  "cum AS (SELECT score, pos, neg, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp,"
+                  " sum(pos) OVER () AS P FROM cells)"],
+                 "SELECT CASE WHEN max(P) > 0 THEN sum(pos / P * (tp / (tp + fp) + CASE WHEN tp - pos + fp - neg > 0"
+                 " THEN (tp - pos) / (tp - pos + fp - neg) ELSE 1.0 END) / 2) END AS pr_auc FROM cum")
+
+
+def accuracy_ci_sql(z: float) -> str:
+    return with_([SCORES_CTE], (
+        "SELECT acc AS accuracy, n,"
+        f" greatest(0.0, acc - CAST('{z!r}' AS DOUBLE) * sqrt(acc * (1 - acc) / n)) AS accuracy_ci_lower,"
+        f" least(1.0, acc + CAST('{z!r}' AS DOUBLE) * sqrt(acc * (1 - acc) / n)) AS accuracy_ci_upper"
+        " FROM (SELECT avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) AS acc, count(*) AS n FROM scores) a"))
+
+
+def class_report_sql() -> str:
+    parts = []
+    for k in (0, 1):
+        parts.append(
+            f"SELECT {k} AS class, COALESCE(tp / NULLIF(tp + fp, 0), 0.0) AS precision,"
+            f" COALESCE(tp / NULLIF(tp + fn, 0), 0.0) AS recall,"
+            f" COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0.0) AS f1, CAST(tp + fn AS BIGINT) AS support"
+            f" FROM (SELECT CAST(sum(CASE WHEN label = {k} AND pred = {k} THEN 1 ELSE 0 END) AS DOUBLE) AS tp,"
+            f" CAST(sum(CASE WHEN label <> {k} AND pred = {k} THEN 1 ELSE 0 END) AS DOUBLE) AS fp,"
+            f" CAST(sum(CASE WHEN label = {k} AND pred <> {k} THEN 1 ELSE 0 END) AS DOUBLE) AS fn FROM scores) c")
+    return with_([SCORES_CTE], "\nUNION ALL\n".join(parts))
