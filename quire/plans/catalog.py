@@ -313,3 +313,75 @@ def e9_bootstrap_ci_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e10_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-class precision / recall / F1 / support."""
     return E.per_class_report(_scores(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ resampling
+from quire.operators import resample as R  # noqa: E402
+
+_SCORES_SQL = ("SELECT l_orderkey * 8 + l_linenumber AS row_id, CAST(l_returnflag = 'R' AS INTEGER) AS label"
+               " FROM lineitem")
+_EMB_SQL = "SELECT vec_id, CAST(label = 0 AS INTEGER) AS label FROM embeddings"
+
+
+def _labelled_rows(spark, sf_dir):
+    return FX.lineitem_scores(spark, sf_dir).select("row_id", "label")
+
+
+def _embeddings(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", (F.col("label") == 0).cast("int").alias("label"), "embedding")
+
+
+@register("r1_stratified_split", O.split_counts_sql(_SCORES_SQL))
+def r1_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stratified 20 % test split (seed 42); rows per (class, side)."""
+    s = R.stratified_split(_labelled_rows(spark, sf_dir), "label", "row_id", 0.2, 42)
+    return s.groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("r2_stratified_folds", O.fold_counts_sql(_SCORES_SQL))
+def r2_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: stratified 5-fold assignment; rows per (class, fold)."""
+    s = R.stratified_folds(_labelled_rows(spark, sf_dir), "label", "row_id", 5, 42)
+    return s.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("r3_random_oversample", O.oversample_counts_sql(_SCORES_SQL))
+def r3_random_oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random over-sampling to the majority count; rows per (class, synthetic)."""
+    s = R.oversample_random(_labelled_rows(spark, sf_dir), "label", "row_id", 42)
+    return s.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("r4_undersample", O.undersample_counts_sql(_SCORES_SQL))
+def r4_undersample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random under-sampling to the minority count; rows per class."""
+    s = R.undersample(_labelled_rows(spark, sf_dir), "label", "row_id", 42)
+    return s.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("r5_smote", O.oversample_counts_sql(_EMB_SQL))
+def r5_smote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SMOTE (k=3, exact kNN) on embeddings, minority = label 0; counts."""
+    s = R.smote_family(_embeddings(spark, sf_dir), "label", "vec_id", "embedding", "smote")
+    return s.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("r6_adasyn")
+def r6_adasyn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ADASYN - synthetic rows in proportion to majority neighbours."""
+    return R.smote_family(_embeddings(spark, sf_dir), "label", "vec_id", "embedding", "adasyn")
+
+
+@register("r7_smotenc")
+def r7_smotenc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SMOTENC - positions 0 and 1 treated as categorical (neighbour mode)."""
+    df = _embeddings(spark, sf_dir).withColumn(
+        "embedding", F.transform("embedding", lambda v, i: F.when(i < 2, F.round(v * 4)).otherwise(v)))
+    return R.smote_family(df, "label", "vec_id", "embedding", "smotenc", categorical_idx=(0, 1))
+
+
+@register("r8_borderline_smote")
+def r8_borderline_smote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BorderlineSMOTE-1 - seeds are minority rows in danger (m=10)."""
+    return R.smote_family(_embeddings(spark, sf_dir), "label", "vec_id", "embedding", "borderline")

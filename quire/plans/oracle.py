@@ -403,3 +403,34 @@ def class_report_sql() -> str:
             f" CAST(sum(CASE WHEN label <> {k} AND pred = {k} THEN 1 ELSE 0 END) AS DOUBLE) AS fp,"
             f" CAST(sum(CASE WHEN label = {k} AND pred <> {k} THEN 1 ELSE 0 END) AS DOUBLE) AS fn FROM scores) c")
     return with_([SCORES_CTE], "\nUNION ALL\n".join(parts))
+
+
+# ------------------------------------------------------------------ resampling
+def class_cte(src_sql: str) -> str:
+    return f"cls AS (SELECT label, count(*) AS n FROM ({src_sql}) s GROUP BY label)"
+
+
+def split_counts_sql(src_sql: str, test_size: float = 0.2) -> str:
+    return with_([class_cte(src_sql),
+                  f"tot AS (SELECT sum(n) AS n, CAST(ceil({test_size} * sum(n)) AS BIGINT) AS t FROM cls)",
+                  "raw AS (SELECT label, cls.n, CAST(tot.t AS DOUBLE) * cls.n / tot.n AS x FROM cls, tot)",
+                  "base AS (SELECT label, n, x, CAST(floor(x) AS BIGINT) AS b, x - floor(x) AS fr FROM raw)",
+                  "lft AS (SELECT (SELECT t FROM tot) - sum(b) AS l FROM base)",
+                  "alloc AS (SELECT label, n, b + CASE WHEN row_number() OVER (ORDER BY fr DESC, label) <= (SELECT l FROM lft) THEN 1 ELSE 0 END AS t FROM base)"],
+                 "SELECT label, true AS is_test, t AS n FROM alloc WHERE t > 0 UNION ALL SELECT label, false AS is_test, n - t AS n FROM alloc WHERE n - t > 0")
+
+
+def fold_counts_sql(src_sql: str, k: int = 5) -> str:
+    return with_([class_cte(src_sql), f"folds AS (SELECT range AS fold FROM range({k}))"],
+                 f"SELECT label, CAST(fold AS INTEGER) AS fold, n // {k} + CASE WHEN fold < n % {k} THEN 1 ELSE 0 END AS n"
+                 f" FROM cls, folds WHERE n // {k} + CASE WHEN fold < n % {k} THEN 1 ELSE 0 END > 0")
+
+
+def oversample_counts_sql(src_sql: str) -> str:
+    return with_([class_cte(src_sql)],
+                 "SELECT label, false AS synthetic, n FROM cls UNION ALL"
+                 " SELECT label, true AS synthetic, (SELECT max(n) FROM cls) - n AS n FROM cls WHERE n < (SELECT max(n) FROM cls)")
+
+
+def undersample_counts_sql(src_sql: str) -> str:
+    return with_([class_cte(src_sql)], "SELECT label, (SELECT min(n) FROM cls) AS n FROM cls")
