@@ -385,3 +385,147 @@ def r7_smotenc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r8_borderline_smote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BorderlineSMOTE-1 - seeds are minority rows in danger (m=10)."""
     return R.smote_family(_embeddings(spark, sf_dir), "label", "vec_id", "embedding", "borderline")
+
+
+# ------------------------------------------------------------------ models
+from quire.operators import train as TR  # noqa: E402
+from quire.operators import registry as RG  # noqa: E402
+from quire.plans import jobs as J  # noqa: E402
+from quire.session import ensure_checkpoint_dir  # noqa: E402
+
+# Grid of the registered training queries: the reference's grid shape
+# (trees x depth x min split x two weightings) at a size a query can run.
+QUERY_CFG = dict(n_estimators=[20, 50], max_depth=[5, None], min_samples_split=[2], n_folds=3,
+                 n_bootstraps=200)
+
+
+def _prepared(spark, sf_dir):
+    prep, corr, chosen = J.preprocess_and_select(feature_run(spark, sf_dir).features, FK_V1, N_SELECT)
+    return prep, chosen
+
+
+def _weighted(prep):
+    return TR.with_class_weight(prep.frame, "ust", "balanced", "w")
+
+
+@register("w2_preprocess")
+def w2_preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P20 -> outliers (A4) -> scaler (A7/A8) -> zero-variance drop
+    -> half-even rounding (A10) on the W1 frame."""
+    return J.preprocess(feature_run(spark, sf_dir).features, FK_V1).frame
+
+
+@register("m1_forest_importance")
+def m1_forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 + T9: balanced random forest on the selected features; importances."""
+    prep, chosen = _prepared(spark, sf_dir)
+    m = TR.fit_forest(_weighted(prep), chosen, "ust", n_trees=50, depth=5)
+    return TR.importance_table(spark, m, chosen)
+
+
+@register("m2_logistic_coefficients")
+def m2_logistic_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 (+T9 |coef|): balanced L2 logistic regression coefficients."""
+    prep, chosen = _prepared(spark, sf_dir)
+    df = _weighted(prep)
+    m = TR.logistic("ust", "w", n_rows=df.count()).fit(TR.assemble(df, chosen))
+    coef = m.coefficients.toArray()
+    rows = sorted([(f, float(c), abs(float(c))) for f, c in zip(chosen, coef)], key=lambda t: (-t[2], t[0]))
+    return spark.createDataFrame(rows, "feature STRING, coefficient DOUBLE, importance DOUBLE")
+
+
+@register("m3_grid_search")
+def m3_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: grid search with stratified folds, scored by F1 of class 1."""
+    prep, chosen = _prepared(spark, sf_dir)
+    cfg = TR.ModelConfig(**QUERY_CFG)
+    folds = R.stratified_folds(prep.frame, "ust", "user_id", cfg.n_folds, cfg.random_state)
+    best, grid = TR.grid_search(folds, chosen, "ust", cfg)
+    rows = [(int(p["numTrees"]), int(p["maxDepth"]), int(p["minInstancesPerNode"]), p["weight"], s,
+             p == best[0]) for p, s in grid]
+    return spark.createDataFrame(rows, "num_trees INT, max_depth INT, min_instances_per_node INT, "
+                                       "weighting STRING, f1 DOUBLE, best BOOLEAN")
+
+
+@register("m4_oof_predictions")
+def m4_oof_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: out-of-fold p(class 1) for every training row (3 folds)."""
+    prep, chosen = _prepared(spark, sf_dir)
+    df = R.stratified_folds(_weighted(prep), "ust", "user_id", 3, 42)
+    oof = TR.out_of_fold(df, chosen, "ust", "fold", 3, {"n_trees": 30, "depth": 5})
+    return oof.select("user_id", "fold", "ust", "p1")
+
+
+@register("t5_importance_select")
+def t5_importance_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: features with importance >= mean importance (at most 10)."""
+    prep, _ = _prepared(spark, sf_dir)
+    m = TR.fit_forest(_weighted(prep), prep.features, "ust", n_trees=50, depth=5)
+    keep = TR.select_by_importance(spark, m, prep.features, N_SELECT)
+    return spark.createDataFrame([(f, i + 1) for i, f in enumerate(keep)], "feature STRING, position INT")
+
+
+@register("t6_recursive_elimination")
+def t6_recursive_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursive elimination from the T1 candidates to max(n, p/2)."""
+    prep, chosen = _prepared(spark, sf_dir)
+    keep = TR.recursive_elimination(_weighted(prep), chosen, "ust", 5, n_trees=30, depth=5)
+    return spark.createDataFrame([(f, i + 1) for i, f in enumerate(keep)], "feature STRING, position INT")
+
+
+@register("t7_backward_elimination")
+def t7_backward_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic backward elimination while test AUC does not fall."""
+    prep, chosen = _prepared(spark, sf_dir)
+    s = R.stratified_split(_weighted(prep), "ust", "user_id", 0.2, 42)
+    tr, te = s.where(~F.col("is_test")), s.where(F.col("is_test"))
+    keep, auc = TR.backward_elimination(tr, te, chosen, "ust", n_rows=tr.count())
+    return spark.createDataFrame([(f, i + 1, float(auc)) for i, f in enumerate(keep)],
+                                 "feature STRING, position INT, test_roc_auc DOUBLE")
+
+
+@register("t8_vif_replacement")
+def t8_vif_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VIF-driven replacement (max VIF 1.5) from one Gram pass."""
+    prep, chosen = _prepared(spark, sf_dir)
+    df = _weighted(prep)
+    m = TR.fit_forest(df, chosen, "ust", n_trees=30, depth=5)
+    start = TR.select_by_importance(spark, m, chosen, N_SELECT)
+    cur, removed, added = TR.vif_replacement(df, "ust", start, chosen, 1.5, n_trees=30, depth=5)
+    rows = [(f, "kept") for f in cur] + [(f, "removed") for f in removed if f not in cur]
+    return spark.createDataFrame(rows, "feature STRING, status STRING")
+
+
+@register("w3_train_evaluate")
+def w3_train_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split, borderline over-sampling, grid search, importance and VIF
+    selection, final fit, CV / test metrics with bootstrap CIs (one row)."""
+    prep, chosen = _prepared(spark, sf_dir)
+    res = J.train_and_evaluate(prep.frame, chosen, TR.ModelConfig(**QUERY_CFG))
+    m = res["metrics"]
+    keys = sorted(m)
+    row = tuple(float(m[k]) for k in keys) + (",".join(res["features"]),)
+    return spark.createDataFrame([row], ", ".join(f"{k} DOUBLE" for k in keys) + ", final_features STRING")
+
+
+def _scoring_model(spark, sf_dir):
+    prep, chosen = _prepared(spark, sf_dir)
+    model = TR.fit_forest(_weighted(prep), chosen, "ust", n_trees=50, depth=5)
+    return model, prep.scaler, chosen
+
+
+@register("w5_batch_score")
+def w5_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W5 + C3-C8: route, select answers, validate, recode, screen,
+    engineer, scale, predict, approve - one output row per request."""
+    model, scaler, chosen = _scoring_model(spark, sf_dir)
+    return J.batch_score(FX.payloads(spark, sf_dir), model, scaler, chosen, FK_V1)
+
+
+@register("c7_three_group_features")
+def c7_three_group_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three-group survey variant (fht + set + kmsi) up to features
+    and screening; 'set' answers are carried, not recoded or grouped."""
+    from quire.spec import FSK_V2
+    req = FX.payloads(spark, sf_dir, with_set=True)
+    return J.payload_features(req, FSK_V2).drop("application_label")

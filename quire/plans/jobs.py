@@ -86,3 +86,182 @@ def feature_run(spark: SparkSession, sf_dir: str, spec: SurveySpec = FK_V1,
     reports.append(quality_report(eng, "engineered", target=spec.target,
                                   required=spec.engineered_columns()))
     return FeatureRun(eng, rejects, reports, fits)
+
+
+# ---------------------------------------------------------------------- W2
+from quire.operators import evaluate as E  # noqa: E402
+from quire.operators import resample as R  # noqa: E402
+from quire.operators import stats as S  # noqa: E402
+from quire.operators import train as TR  # noqa: E402
+from quire.operators.prepare import prune_suffixes  # noqa: E402
+from quire.operators.select import top_by  # noqa: E402
+
+
+@dataclass
+class Prepared:
+    frame: DataFrame          # scaled, rounded model frame (key, features, target)
+    scaler: dict              # A7 fit (mean, scale) per feature
+    outliers: dict            # A3/A4 fit per feature
+    dropped: list             # A9 zero-variance columns removed after scaling
+    features: list            # model feature columns
+
+
+def preprocess(features: DataFrame, spec: SurveySpec = FK_V1, method: str = "median",
+               drop_suffixes=("_sum", "_count", "_var")) -> Prepared:
+    """W2 first half: P20 -> A4/A5 (IQR fences, skew rule) -> A7 -> A8 -> A9 -> A10."""
+    df = prune_suffixes(features, drop_suffixes)
+    feats = [c for c in df.columns if c not in (spec.key, spec.target)]
+    prof = S.profile(df, feats)
+    treated = S.apply_outliers(df, prof, method).persist(StorageLevel.MEMORY_AND_DISK)
+    scaler = S.fit_scaler(treated, feats)
+    scaled = S.apply_scaler(treated, scaler)
+    zero = S.zero_variance(scaled, feats)
+    kept = [f for f in feats if f not in zero]
+    out = S.apply_scaler(treated, {f: scaler[f] for f in kept}, round_digits=3).select(
+        spec.key, *kept, spec.target)
+    return Prepared(out, scaler, prof, zero, kept)
+
+
+def preprocess_and_select(features: DataFrame, spec: SurveySpec = FK_V1, n: int = 10):
+    """Preprocess, correlate (A11-A13), select top Spearman."""
+    prep = preprocess(features, spec)
+    corr = S.correlation_table(prep.frame, prep.features, spec.target)
+    chosen = [r["feature"] for r in top_by(corr, "spearman", n).orderBy("position").collect()]
+    return prep, corr, chosen
+
+
+# ---------------------------------------------------------------------- W3
+def oversample_frame(df: DataFrame, features: list[str], label: str, key: str, method: str,
+                     seed: int = 42) -> DataFrame:
+    """R3/R5-R8 on a wide frame: pack the features into a vector column,
+    resample, unpack."""
+    if method == "random":
+        return R.oversample_random(df.select(key, label, *features), label, key, seed).drop("synthetic")
+    v = df.select(key, label, F.array(*[F.col(f).cast("double") for f in features]).alias("_v"))
+    res = R.smote_family(v, label, key, "_v", method, seed=seed)
+    return res.select(key, label, *[F.col("_v")[i].alias(f) for i, f in enumerate(features)])
+
+
+def train_and_evaluate(prepared: DataFrame, selected: list[str], cfg: TR.ModelConfig,
+                       key: str = "user_id", label: str = "ust") -> dict:
+    """P24 -> A17 -> R1 -> R3/R5-R8 -> M3 -> T5 -> T8 -> M1 -> E1-E8,
+    E11, E12 -> T9.  The final model is fitted on the whole training split
+    (not the last CV fold).  Returns metrics, model, features, importances."""
+    spark = prepared.sparkSession
+    if prepared.agg(F.count_distinct(label)).first()[0] != 2:
+        raise ValueError("target must have exactly two classes")
+    balance = S.class_balance(prepared, label)
+    split = R.stratified_split(prepared.select(key, *selected, label), label, key,
+                               cfg.test_size, cfg.random_state).persist(StorageLevel.MEMORY_AND_DISK)
+    train = split.where(~F.col("is_test")).drop("is_test")
+    test = split.where(F.col("is_test")).drop("is_test")
+    train = oversample_frame(train, selected, label, key, cfg.oversampling_method, cfg.random_state)
+    if cfg.use_undersampling:
+        train = R.undersample(train, label, key, cfg.random_state)
+    train = R.stratified_folds(train, label, key, cfg.n_folds, cfg.random_state).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    best, grid = TR.grid_search(train, selected, label, cfg)
+    params = {"n_trees": best[0]["numTrees"], "depth": best[0]["maxDepth"],
+              "min_split": 2 * best[0]["minInstancesPerNode"] - 1, "seed": cfg.random_state}
+    wmode = "balanced" if best[0]["weight"] == "w_bal" else cfg.cost_weight
+    train_w = TR.with_class_weight(train, label, wmode, "w")
+    model = TR.fit_forest(train_w, selected, label, **params)
+    chosen = TR.select_by_importance(spark, model, selected, cfg.n_features_to_select)
+    chosen, removed, added = TR.vif_replacement(train_w, label, chosen, selected, cfg.max_vif, **params)
+    final = TR.fit_forest(train_w, chosen, label, **params)
+    # CV figures from out-of-fold predictions (M4), recall per fold
+    oof = TR.out_of_fold(train_w, chosen, label, "fold", cfg.n_folds, params)
+    oof = oof.withColumn("pred", E.decide(F.col("p1"), cfg.decision_threshold))
+    cvm = E.count_metrics(oof, label, "pred", 1.0).first()
+    cells = E.score_cells(oof, label, "p1")
+    per_fold = E.count_metrics(oof.withColumn("fold", F.col("fold")), label, "pred", 1.0, by=["fold"])
+    two = oof.groupBy("fold").agg((F.count_distinct(label) == 2).alias("two_classes"))
+    cvs = E.cv_summary(per_fold.join(two, "fold"), "recall").first()
+    pt = TR.probability_of_one(final.transform(TR.assemble(test, chosen)))
+    pt = pt.withColumn("pred", E.decide(F.col("p1"), cfg.decision_threshold))
+    tm = E.count_metrics(pt, label, "pred", 1.0).first()
+    tcells = E.score_cells(pt, label, "p1")
+    n_test = pt.count()
+    ci = E.bootstrap_ci(pt.select(label, F.col("p1").alias("score"), "pred").withColumnRenamed(label, "label"),
+                        n_boot=cfg.n_bootstraps, alpha=cfg.alpha, seed=cfg.random_state).first()
+    z = E.z_value(cfg.alpha)
+    acc = tm["accuracy"] or 0.0
+    se = (acc * (1 - acc) / n_test) ** 0.5 if n_test else 0.0
+    metrics = {
+        "cv_accuracy": cvm["accuracy"], "cv_precision": cvm["precision"], "cv_recall": cvm["recall"],
+        "cv_f1": cvm["f1"], "cv_roc_auc": E.roc_auc(cells).first()["roc_auc"],
+        "cv_pr_auc": E.pr_auc(cells).first()["pr_auc"],
+        "cv_score_mean": cvs["cv_score_mean"], "cv_score_std": cvs["cv_score_std"],
+        "test_accuracy": tm["accuracy"], "test_precision": tm["precision"], "test_recall": tm["recall"],
+        "test_f1": tm["f1"], "test_roc_auc": E.roc_auc(tcells).first()["roc_auc"],
+        "test_pr_auc": E.pr_auc(tcells).first()["pr_auc"],
+        "accuracy_ci_lower": max(0.0, acc - z * se) if n_test >= 10 else 0.0,
+        "accuracy_ci_upper": min(1.0, acc + z * se) if n_test >= 10 else 0.0,
+        **{k: ci[k] for k in ci.asDict() if k.endswith(("_lower", "_upper")) and not k.startswith("accuracy")},
+    }
+    metrics["overfitting_gap"] = abs((metrics["cv_accuracy"] or 0.0) - (metrics["test_accuracy"] or 0.0))
+    metrics = {k: (0.0 if v is None or v != v or v < 0 else float(v)) for k, v in metrics.items()}
+    imp = sorted(zip(chosen, [float(x) for x in final.featureImportances.toArray()]),
+                 key=lambda t: (-t[1], t[0]))
+    return {"metrics": metrics, "model": final, "features": chosen, "importances": imp,
+            "removed": removed, "added": added, "best_params": best, "grid": grid,
+            "class_balance": balance, "recall_gap_warning":
+                abs(metrics["cv_recall"] - metrics["test_recall"]) > 0.1}
+
+
+# ---------------------------------------------------------------------- W5
+from quire.operators.answers import payload_to_wide, select_answers, validate_payload, wide_to_groups  # noqa: E402
+from quire.operators.score import predict, route, scale_for_model, scaling_guard  # noqa: E402
+from quire.operators.screen import approval, screen  # noqa: E402
+from quire.spec import SCORE_DROP_SUFFIXES  # noqa: E402
+
+
+def payload_features(requests: DataFrame, spec: SurveySpec, key: str = "resp_id") -> DataFrame:
+    """W5 up to the model: P25 -> P27 -> P28 -> P15 (as a reject reason) ->
+    C1 -> F1-F6 -> P20 (``_sum`` dropped).  No explode, no shuffle."""
+    sel = [{"group": g, "version": "1"} for g in spec.payload_groups]
+    g = requests.withColumn("_g", select_answers(F.col("answers"), sel))
+    g = g.withColumn("reject_reason", validate_payload(F.col("_g"), spec.payload_groups))
+    wide = g.select("*", *payload_to_wide(F.col("_g"), spec)).drop("_g", "answers")
+    in_domain = F.lit(True)
+    for c, m in spec.recode.items():
+        in_domain = in_domain & F.col(c).isin(*m.keys())
+    wide = wide.withColumn("reject_reason", F.coalesce(
+        F.col("reject_reason"), F.when(~in_domain, F.lit("Data transformation failed"))))
+    # recode in place (rows kept; rejected rows carry NULLs)
+    rec = wide.select(*[F.when(F.col("reject_reason").isNull(), _recoded(c, spec)).alias(c)
+                        if c in spec.recode else F.col(c) for c in wide.columns])
+    s = screen(wide_to_groups(spec, [c for c in spec.columns if c in spec.recode]), spec.stems)
+    rec = rec.withColumn("_s", s).select("*", "_s.screening_passed", "_s.screening_msg").drop("_s")
+    eng = engineer(rec, spec)
+    return prune_suffixes(eng, SCORE_DROP_SUFFIXES)
+
+
+def _recoded(c: str, spec: SurveySpec):
+    e = None
+    for k, v in spec.recode[c].items():
+        e = F.when(F.col(c) == k, float(v)) if e is None else e.when(F.col(c) == k, float(v))
+    return e
+
+
+def batch_score(requests: DataFrame, model, scaler: dict, features: list[str],
+                spec: SurveySpec = FK_V1) -> DataFrame:
+    """Route (C8) -> payload features -> C3/C4/C5 -> C6 approval."""
+    routed = route(requests)
+    feats = payload_features(routed.where(F.col("spec") == spec.name), spec)
+    feats = feats.withColumn("reject_reason", F.coalesce(
+        F.col("reject_reason"), scaling_guard(feats, {f: scaler[f] for f in features})))
+    scaled = scale_for_model(feats, scaler, features)
+    scored = predict(scaled, model, features).withColumn(
+        "approval_loan_status", approval(F.col("screening_passed"), F.col("model_prediction")))
+    cols = ["resp_id", "application_label", "reject_reason", "screening_passed", "screening_msg",
+            "default_probability", "model_prediction", "adjust_prediction", "approval_loan_status"]
+    unrouted = routed.where(F.col("spec").isNull()).select(
+        "resp_id", "application_label", F.col("route_reason").alias("reject_reason"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("screening_passed", "boolean"),
+                                                    ("screening_msg", "string"),
+                                                    ("default_probability", "double"),
+                                                    ("model_prediction", "int"),
+                                                    ("adjust_prediction", "int"))],
+        F.lit("rejected").alias("approval_loan_status"))
+    return scored.select(*cols).unionByName(unrouted)

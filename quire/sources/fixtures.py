@@ -158,3 +158,30 @@ def lineitem_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"),
         (F.col("l_returnflag") == "R").cast("int").alias("label"),
         (F.col("l_discount") * 10).alias("score"))
+
+
+def payloads(spark: SparkSession, sf_dir: str, label: str = "rdf50_v3.0_fk_v1.0",
+             with_set: bool = False) -> DataFrame:
+    """Scoring requests: (resp_id, application_label, answers ARRAY<STRUCT<
+    group, item, version, choiceNumber>>), one per customer, items in
+    reverse question order.  Every 97th request carries an unknown label,
+    every 89th a missing kmsi item."""
+    w = answers_wide(spark, sf_dir)
+    k = F.col("user_id")
+    items = []
+    for i in range(8, 0, -1):
+        items.append(F.struct(F.lit("kmsi").alias("group"), F.lit(str(i)).alias("item"),
+                              F.lit("1").alias("version"), F.col(f"kmsi{i}").alias("choiceNumber")))
+    for i in range(8, 0, -1):
+        items.append(F.struct(F.lit("fht").alias("group"), F.lit(str(i)).alias("item"),
+                              F.lit("1").alias("version"), F.col(f"fht{i}").alias("choiceNumber")))
+    if with_set:
+        for i in (2, 1):
+            items.append(F.struct(F.lit("set").alias("group"), F.lit(str(i)).alias("item"),
+                                  F.lit("1").alias("version"),
+                                  (F.lit(1) + (k + i) % 3).cast("int").alias("choiceNumber")))
+    arr = F.array(*items)
+    arr = F.when(k % 89 == 0, F.filter(arr, lambda x: ~((x["group"] == "kmsi") & (x["item"] == "3")))) \
+        .otherwise(arr)
+    lab = F.when(k % 97 == 0, F.lit("unknown_label")).otherwise(F.lit(label))
+    return w.select(k.alias("resp_id"), lab.alias("application_label"), arr.alias("answers"))
