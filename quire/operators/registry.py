@@ -92,7 +92,7 @@ def latest(reg: DataFrame) -> DataFrame:
     one aggregation, no sort of the registry."""
     cols = [c for c in reg.columns]
     best = reg.agg(F.max_by(F.struct(*cols), F.col("timestamp")).alias("r")).select("r.*")
-    return best.select(*[F.coalesce(F.col(k), F.lit(v)).alias(k) if k in CONFIG_DEFAULTS else F.col(k)
+    return best.select(*[F.coalesce(F.col(k), F.lit(CONFIG_DEFAULTS[k])).alias(k) if k in CONFIG_DEFAULTS else F.col(k)
                          for k in cols])
 
 

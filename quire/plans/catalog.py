@@ -7,6 +7,7 @@ the same aliases in Spark and in the oracle SQL.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -529,3 +530,196 @@ def c7_three_group_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.spec import FSK_V2
     req = FX.payloads(spark, sf_dir, with_set=True)
     return J.payload_features(req, FSK_V2).drop("application_label")
+
+
+# ------------------------------------------------------------ registry, sinks
+import uuid  # noqa: E402
+
+
+def _artifact_dir(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory."""
+    return os.path.join(ensure_checkpoint_dir(spark), "quire-artifacts", f"{name}-{uuid.uuid4().hex}")
+
+
+def _two_versions(spark, sf_dir):
+    """Train two quick model versions on the W1 frame, save them with MLlib
+    and record both in a registry table (S9); returns (registry, root)."""
+    feats = feature_run(spark, sf_dir).features
+    df = TR.with_class_weight(feats, "ust", "balanced", "w")
+    chosen = MODEL_FEATURES[:8]
+    root = _artifact_dir(spark, "registry")
+    reg_path = os.path.join(root, "registry")
+    s = R.stratified_split(df, "ust", "user_id", 0.2, 42)
+    tr, te = s.where(~F.col("is_test")), s.where(F.col("is_test"))
+    for v, (trees, ts) in enumerate([(10, "20250101_000000"), (20, "20250102_000000")], start=1):
+        m = TR.fit_forest(tr, chosen, "ust", n_trees=trees, depth=4)
+        mpath = os.path.join(root, "models", f"model_v{v}")
+        m.write().overwrite().save(mpath)
+        pt = TR.probability_of_one(m.transform(TR.assemble(te, chosen))).withColumn(
+            "pred", E.decide(F.col("p1"), 0.5))
+        cm = E.count_metrics(pt, "ust", "pred", 1.0).first()
+        auc = E.roc_auc(E.score_cells(pt, "ust", "p1")).first()["roc_auc"]
+        metrics = {"test_accuracy": cm["accuracy"], "test_precision": cm["precision"],
+                   "test_recall": cm["recall"], "test_f1": cm["f1"], "test_roc_auc": auc,
+                   "cv_f1": cm["f1"], "cv_score_std": 0.05}
+        imp = sorted(zip(chosen, [float(x) for x in m.featureImportances.toArray()]), key=lambda t: -t[1])
+        RG.append(RG.registry_row(spark, metrics, imp, {"model_path": mpath}, ts,
+                                  versions={"pyspark": spark.version}), reg_path)
+    return spark.read.parquet(reg_path), root
+
+
+@register("s9_s10_registry_csv_roundtrip")
+def s9_s10_registry_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9 + S10: registry rows written as CSV (JSON-encoded lists/maps) and
+    read back with JSON decoding and default back-fill."""
+    reg, root = _two_versions(spark, sf_dir)
+    path = os.path.join(root, "registry_csv")
+    RG.to_csv_view(reg).coalesce(1).write.mode("overwrite").option("header", True).option(
+        "quote", '"').option("escape", '"').csv(path)
+    back = RG.read_csv_registry(spark, path)
+    return back.select("timestamp", "model_path", "test_f1", "final_features", "package_versions",
+                       F.size("final_features").alias("n_features"))
+
+
+@register("c9_c10_latest_and_gate")
+def c9_c10_latest_and_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C9 latest registry row by timestamp + C10 promotion gate of a
+    candidate scoring 0.01 above it with CV std 0.05."""
+    reg, _ = _two_versions(spark, sf_dir)
+    last = RG.latest(reg)
+    cur = last.select("cv_f1").first()["cv_f1"]
+    gate = RG.promotion_gate(last, cur + 0.01, 0.05, "cv_f1")
+    return last.select("timestamp", "model_path", "cv_f1", F.lit(gate).alias("promote_candidate"))
+
+
+@register("c11_c14_artifact_manifest")
+def c11_c14_artifact_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11: SHA-256 manifest of the saved model files (binaryFile) verified
+    against itself; C14: latest registry paths resolved against it."""
+    reg, root = _two_versions(spark, sf_dir)
+    man = RG.manifest(spark, os.path.join(root, "models"))
+    ver = RG.verify(man, man.select("path", "sha256"))
+    return ver.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
+
+
+@register("s5_s6_s7_sinks")
+def s5_s6_s7_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 snapshot (parquet + CSV), S6 JSON records, S7 append of two
+    prediction batches, S8/J5 next pending set; returns the row counts."""
+    feats = feature_run(spark, sf_dir).features
+    root = _artifact_dir(spark, "sinks")
+    RG.write_snapshot(feats, os.path.join(root, "snapshot"))
+    RG.write_snapshot(feats, os.path.join(root, "snapshot_csv"), fmt="csv")
+    RG.write_json_records(feats, os.path.join(root, "records"))
+    preds = feats.select(F.col("user_id").alias("customer_id"), F.col("ust").alias("predicted_ust"),
+                         (F.col("loan_score_avg") / 3.0).alias("probability_ust1"))
+    ppath = os.path.join(root, "predictions")
+    RG.append(preds.where(F.col("customer_id") % 2 == 0), ppath)
+    RG.append(preds.where(F.col("customer_id") % 2 == 1), ppath)
+    customers = FX.users(spark, sf_dir).select(F.col("user_id").alias("customer_id"))
+    pend = RG.pending(customers, spark.read.parquet(ppath))
+    counts = [("snapshot", spark.read.parquet(os.path.join(root, "snapshot")).count()),
+              ("snapshot_csv", spark.read.option("header", True).csv(os.path.join(root, "snapshot_csv")).count()),
+              ("records", spark.read.json(os.path.join(root, "records")).count()),
+              ("predictions", spark.read.parquet(ppath).count()), ("pending", pend.count())]
+    return spark.createDataFrame(counts, "sink STRING, n BIGINT")
+
+
+@register("j4_j5_membership")
+def j4_j5_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4 semi-join membership and J5 anti-join: customers with / without
+    an eligible loan status."""
+    users = FX.users(spark, sf_dir)
+    st = FX.loan_summary_statuses(spark, sf_dir).where(F.col("loan_status") != "pending")
+    return (RG.members(users, st, "user_id").select("user_id", F.lit(True).alias("has_status"))
+            .unionByName(users.join(st.select("user_id"), "user_id", "left_anti")
+                         .select("user_id", F.lit(False).alias("has_status"))))
+
+
+@register("c13_streaming_score")
+def c13_streaming_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request files scored by a Structured Streaming query (three
+    micro-batches, foreachBatch, anti-join dedup, batch partitions)."""
+    from quire.streaming.scoring import start_scoring_stream
+    model, scaler, chosen = _scoring_model(spark, sf_dir)
+    root = _artifact_dir(spark, "stream")
+    src = os.path.join(root, "requests")
+    req = FX.payloads(spark, sf_dir)
+    for part in range(3):
+        req.where(F.pmod(F.col("resp_id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(src)
+    q = start_scoring_stream(spark, src, req.schema, os.path.join(root, "scored"),
+                             os.path.join(root, "checkpoint"), model, scaler, chosen)
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(root, "scored"))
+
+
+# ------------------------------------------------------------- prepare ops
+from quire.operators import prepare as PR  # noqa: E402
+from quire.operators.answers import group_answers, select_answers  # noqa: E402
+from quire.operators.features import categorical_rollup  # noqa: E402
+from quire.operators.score import route  # noqa: E402
+
+
+def _impute_source(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return o.select("o_orderkey",
+                    F.when(k % 7 == 0, F.lit(None)).otherwise(F.col("o_orderstatus")).alias("status"),
+                    F.when(k % 11 == 0, F.lit("n/a")).when(k % 13 == 0, F.lit(None))
+                    .otherwise(F.col("o_totalprice").cast("bigint").cast("string")).alias("price_text"))
+
+
+@register("p9_p13_imputation", O.impute_sql())
+def p9_p13_imputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9/P11 mode imputation (ties -> smallest), P12 numeric coercion
+    (unparsable -> NULL), P13 median imputation."""
+    df = PR.coerce_numeric(_impute_source(spark, sf_dir).withColumnRenamed("price_text", "price"), ["price"])
+    fills = {"status": PR.fit_mode(df, "status"), **PR.fit_impute(df, ["price"], "median")}
+    return PR.apply_fill(df, fills)
+
+
+@register("p17_onehot_encode")
+def p17_onehot_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P17 one-hot of customer.c_mktsegment (sorted levels, NULL ->
+    'missing') followed by F7 rollup (c_mktsegment_group_sum / _count)."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    vocab = PR.fit_categories(c, ["c_mktsegment"])
+    enc = PR.apply_onehot(c, vocab)
+    return categorical_rollup(enc, FK_V1, categorical=["c_mktsegment"])
+
+
+@register("p18_label_encode", O.label_encode_sql())
+def p18_label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label encoding of part.p_brand, 0..k-1 in sorted order."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return PR.apply_label(p, PR.fit_categories(p, ["p_brand"]))
+
+
+@register("p22_quality_report",
+          O.quality_sql(O.feature_ctes(), "engineered", W1_COLUMNS, "ust", "engineered"))
+def p22_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data-quality gate rules on the W1 frame (one aggregation)."""
+    return PR.quality_report(feature_run(spark, sf_dir).features.select(*W1_COLUMNS), "engineered",
+                             target="ust")
+
+
+@register("p25_answer_select", O.select_answers_sql())
+def p25_answer_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P25: choices of (fht, v1) and (kmsi, v1) ordered by int(item)."""
+    req = FX.payloads(spark, sf_dir)
+    m = select_answers(F.col("answers"), [{"group": "fht", "version": "1"}, {"group": "kmsi", "version": "1"}])
+    return req.select("resp_id", *[F.array_join(F.try_element_at(m, F.lit(g)), ",").alias(g)
+                                   for g in ("fht", "kmsi")])
+
+
+@register("p26_dynamic_grouping")
+def p26_dynamic_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group answers by any non-empty group, items sorted numerically."""
+    g = group_answers(FX.payloads(spark, sf_dir))
+    return g.select("resp_id", "group", F.array_join("choices", ",").alias("choices"))
+
+
+@register("c8_route", O.route_sql())
+def c8_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routing of requests by application label; unknown -> reason."""
+    return route(FX.payloads(spark, sf_dir).drop("answers"))

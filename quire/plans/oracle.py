@@ -434,3 +434,64 @@ def oversample_counts_sql(src_sql: str) -> str:
 
 def undersample_counts_sql(src_sql: str) -> str:
     return with_([class_cte(src_sql)], "SELECT label, (SELECT min(n) FROM cls) AS n FROM cls")
+
+
+# ------------------------------------------------------------- prepare ops
+IMPUTE_CTE = ("imp_src AS (SELECT o_orderkey,"
+              " CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS status,"
+              " CASE WHEN o_orderkey % 11 = 0 THEN 'n/a' WHEN o_orderkey % 13 = 0 THEN NULL"
+              " ELSE CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR) END AS price_text FROM orders)")
+
+
+def impute_sql() -> str:
+    return with_([IMPUTE_CTE,
+                  "coerced AS (SELECT o_orderkey, status, TRY_CAST(CASE WHEN regexp_full_match(price_text, '\\s*[+-]?[0-9]+(\\.[0-9]*)?\\s*') THEN price_text END AS DOUBLE) AS price FROM imp_src)",
+                  "mode AS (SELECT status FROM coerced WHERE status IS NOT NULL GROUP BY status ORDER BY count(*) DESC, status LIMIT 1)",
+                  "med AS (SELECT quantile_cont(price, 0.5) AS m FROM coerced)"],
+                 "SELECT o_orderkey, COALESCE(status, (SELECT status FROM mode)) AS status,"
+                 " COALESCE(price, (SELECT m FROM med)) AS price FROM coerced")
+
+
+def label_encode_sql() -> str:
+    return ("SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY COALESCE(p_brand, 'missing')) - 1 AS BIGINT) AS p_brand"
+            " FROM part")
+
+
+def quality_sql(src_ctes: list[str], src: str, cols: list[str], target: str, name: str) -> str:
+    nn = ", ".join(f"count({c}) AS nn_{i}" for i, c in enumerate(cols))
+    greatest_nn = "greatest(" + ", ".join(f"nn_{i}" for i in range(len(cols))) + ")"
+    return with_(src_ctes + [f"a AS (SELECT count(*) AS n, {nn}, count(DISTINCT {target}) AS nt FROM {src})"],
+                 f"SELECT '{name}' AS frame, 'non_empty' AS \"check\", n > 0 AS passed, 'rows=' || CAST(n AS VARCHAR) AS detail FROM a"
+                 f" UNION ALL SELECT '{name}', 'min_rows', n >= 1, 'min=1 rows=' || CAST(n AS VARCHAR) FROM a"
+                 f" UNION ALL SELECT '{name}', 'min_cols', true, 'min=1 cols={len(cols)}' FROM a"
+                 f" UNION ALL SELECT '{name}', 'not_all_null', {greatest_nn} > 0, '' FROM a"
+                 f" UNION ALL SELECT '{name}', 'target_present', true, '{target}' FROM a"
+                 f" UNION ALL SELECT '{name}', 'target_two_classes', nt >= 2, CAST(nt AS VARCHAR) FROM a"
+                 f" UNION ALL SELECT '{name}', 'numeric_only', true, '' FROM a"
+                 f" UNION ALL SELECT '{name}', 'required_features', true, '' FROM a")
+
+
+def payload_cte(with_set: bool = False) -> str:
+    items = [f"{{'group': 'kmsi', 'item': '{i}', 'version': '1', 'choiceNumber': kmsi{i}}}" for i in range(8, 0, -1)]
+    items += [f"{{'group': 'fht', 'item': '{i}', 'version': '1', 'choiceNumber': fht{i}}}" for i in range(8, 0, -1)]
+    arr = "[" + ", ".join(items) + "]"
+    return ("payloads AS (SELECT user_id AS resp_id,"
+            " CASE WHEN user_id % 97 = 0 THEN 'unknown_label' ELSE 'rdf50_v3.0_fk_v1.0' END AS application_label,"
+            f" CASE WHEN user_id % 89 = 0 THEN list_filter({arr}, lambda x: NOT (x.\"group\" = 'kmsi' AND x.item = '3'))"
+            f" ELSE {arr} END AS answers FROM answers_wide)")
+
+
+def select_answers_sql(groups=("fht", "kmsi")) -> str:
+    cols = []
+    for g in groups:
+        picked = (f"list_filter(list_transform(answers, lambda x, i: {{'k': TRY_CAST(trim(x.item) AS INTEGER), 'pos': i, 'c': x.choiceNumber,"
+                  f" 'g': x.\"group\", 'v': x.version}}), lambda y: y.g = '{g}' AND y.v = '1')")
+        cols.append(f"array_to_string(list_transform(list_sort(list_transform({picked}, lambda y: {{'k': y.k, 'pos': y.pos, 'c': y.c}})), lambda z: z.c), ',') AS {g}")
+    return with_([cte_answers_wide(), payload_cte()], f"SELECT resp_id, {', '.join(cols)} FROM payloads")
+
+
+def route_sql() -> str:
+    return with_([cte_answers_wide(), payload_cte()],
+                 "SELECT resp_id, application_label, CASE WHEN application_label = 'rdf50_v3.0_fk_v1.0' THEN 'fk_v1.0' END AS spec,"
+                 " CASE WHEN application_label = 'rdf50_v3.0_fk_v1.0' THEN NULL ELSE 'Unsupported application_label: ' || application_label END AS route_reason"
+                 " FROM payloads")
