@@ -12,6 +12,7 @@ from quire.operators.answers import accepted, fill_int, parse_answers, rejected
 from quire.operators.features import apply_nonfinite_fill, engineer, fit_nonfinite_fill
 from quire.operators.prepare import (apply_fill, coerce_numeric, dedup_exact, fit_impute, fit_mode,
                                      quality_report, recode, target_domain)
+from quire.session import cut_lineage
 from quire.sources import fixtures
 from quire.sources.survey import labelled_load
 from quire.spec import FK_V1, TRAINING_SLUG, SurveySpec
@@ -83,6 +84,10 @@ def feature_run(spark: SparkSession, sf_dir: str, spec: SurveySpec = FK_V1,
     eng = engineer(transformed, spec)
     fits["nonfinite"] = fit_nonfinite_fill(eng, exclude=(spec.target, spec.key))
     eng = apply_nonfinite_fill(eng, fits["nonfinite"])
+    # Stage boundary: the engineered frame is written to the shared
+    # checkpoint folder (survives executor loss, keeps later plans small).
+    eng = cut_lineage(eng)
+    cleaned.unpersist()
     reports.append(quality_report(eng, "engineered", target=spec.target,
                                   required=spec.engineered_columns()))
     return FeatureRun(eng, rejects, reports, fits)
