@@ -81,3 +81,14 @@ def disagreement(corr: DataFrame, gap: float = 0.1) -> DataFrame:
     """Features whose Pearson and Spearman differ by more than ``gap``."""
     return corr.where(F.abs(F.col("pearson") - F.col("spearman")) > gap).select(
         "feature", "pearson", "spearman", F.abs(F.col("pearson") - F.col("spearman")).alias("gap"))
+
+
+def importance_violations(importances: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """P23 (re-aimed to many models' importance rows): rows whose importance
+    is NULL/NaN/negative, plus features unknown to the catalogue (left-anti
+    join on ``feature``), each with its reason."""
+    bad = importances.where(F.col("importance").isNull() | F.isnan("importance")
+                            | (F.col("importance") < 0)).withColumn("reason", F.lit("invalid importance"))
+    unknown = importances.join(catalogue.select("feature"), "feature", "left_anti").withColumn(
+        "reason", F.lit("unknown feature"))
+    return bad.unionByName(unknown)

@@ -598,8 +598,16 @@ def c11_c14_artifact_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     against itself; C14: latest registry paths resolved against it."""
     reg, root = _two_versions(spark, sf_dir)
     man = RG.manifest(spark, os.path.join(root, "models"))
-    ver = RG.verify(man, man.select("path", "sha256"))
-    return ver.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
+    expected = spark.createDataFrame(man.select("path", "sha256").collect(), "path string, sha256 string")
+    ver = RG.verify(man, expected)
+    # C14: the latest row's model path is a directory (MLlib layout): resolve
+    # it against the manifest of its metadata file.
+    last = RG.latest(reg).withColumn("model_path", F.concat(
+        F.lit("file:"), F.col("model_path"), F.lit("/metadata/part-00000")))
+    resolved = RG.resolve_artifacts(last, man).select(
+        (F.col("model_path") != "").alias("model_found"), (F.length("model_checksum") == 64).alias("checksum_ok"))
+    return ver.groupBy("status").agg(F.count(F.lit(1)).alias("files")).join(
+        resolved.withColumn("status", F.lit("ok")), "status", "left")
 
 
 @register("s5_s6_s7_sinks")
@@ -723,3 +731,26 @@ def p26_dynamic_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c8_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routing of requests by application label; unknown -> reason."""
     return route(FX.payloads(spark, sf_dir).drop("answers"))
+
+
+@register("p23_importance_validation")
+def p23_importance_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance rows of the registry checked against the feature
+    catalogue of the W1 frame (invalid values, unknown features)."""
+    reg, _ = _two_versions(spark, sf_dir)
+    rows = reg.select("timestamp", F.explode("final_features").alias("f")).select(
+        "timestamp", "f.feature", "f.importance")
+    rows = rows.unionByName(spark.createDataFrame([("manual", "not_a_feature", 0.1), ("manual", "kmsi1", -1.0)],
+                                                  "timestamp string, feature string, importance double"))
+    cat = spark.createDataFrame([(c,) for c in feature_run(spark, sf_dir).features.columns], "feature string")
+    return T.importance_violations(rows, cat)
+
+
+@register("e6_cv_scores")
+def e6_cv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall per stratified fold (5 folds) of the p >= 0.5 rule, then
+    mean and population std over folds holding both classes."""
+    s = R.stratified_folds(_scores(spark, sf_dir), "label", "row_id", 5, 42)
+    per = E.count_metrics(s, "label", "pred", 1.0, by=["fold"])
+    two = s.groupBy("fold").agg((F.count_distinct("label") == 2).alias("two_classes"))
+    return E.cv_summary(per.join(two, "fold"), "recall")
