@@ -33,6 +33,12 @@ def finite_or_null(c) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(None)).otherwise(c)
 
 
+def finite_sql(c: str) -> str:
+    """SQL text of ``finite_or_null`` for column ``c``."""
+    return (f"CASE WHEN isnan(`{c}`) OR abs(`{c}`) = CAST('Infinity' AS DOUBLE) THEN NULL"
+            f" ELSE `{c}` END")
+
+
 def safe_div(a, b) -> Column:
     return F.try_divide(col_(a), col_(b))
 

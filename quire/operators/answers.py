@@ -39,23 +39,27 @@ def parse_answers(df: DataFrame, spec: SurveySpec, answer_col: str = "answer",
     ``reject_reason`` is NULL for accepted rows; otherwise the first failing
     rule in the reference's order: not a list, too few items, then per
     mapped question in spec order: missing, or answered in another group.
+    Expressions are SQL text (one call per column, higher-order functions
+    evaluated in place; no explode, no shuffle).
     """
-    items = _valid_items(F.col(answer_col))
-    tmp = df.withColumn("_items", items)
-    picks = {q.column: _last_for(F.col("_items"), q.number) for q in spec.questions}
-    tmp = tmp.select("*", *[p.alias(f"_p_{c}") for c, p in picks.items()])
-    checks = [F.when(F.col(answer_col).isNull(), F.lit("answer is not a list")),
-              F.when(F.size(answer_col) < spec.min_items,
-                     F.lit(f"fewer than {spec.min_items} items"))]
+    a = f"`{answer_col}`"
+    pat = INT_TEXT.replace("\\", "\\\\")
+    items = (f"transform(filter({a}, x -> x.`group` IS NOT NULL AND x.questionNumber RLIKE '{pat}'"
+             f" AND x.choiceNumber RLIKE '{pat}'), x -> named_struct('group', x.`group`,"
+             f" 'q', try_cast(trim(x.questionNumber) AS INT), 'choice', try_cast(trim(x.choiceNumber) AS INT)))")
+    tmp = df.selectExpr("*", f"{items} AS _items")
+    picks = [f"try_element_at(filter(_items, x -> x.q = {q.number}), -1) AS `_p_{q.column}`"
+             for q in spec.questions]
+    tmp = tmp.selectExpr("*", *picks)
+    checks = [f"CASE WHEN {a} IS NULL THEN 'answer is not a list' END",
+              f"CASE WHEN size({a}) < {spec.min_items} THEN 'fewer than {spec.min_items} items' END"]
     for q in spec.questions:
-        p = F.col(f"_p_{q.column}")
-        checks.append(F.when(p.isNull(), F.lit(f"missing question {q.number}"))
-                      .when(p["group"] != q.group, F.lit(f"group mismatch at question {q.number}")))
-    out = tmp.select(
-        *[c for c in df.columns if c != answer_col], *keep,
-        *[F.col(f"_p_{q.column}")["choice"].alias(q.column) for q in spec.questions],
-        F.coalesce(*checks).alias("reject_reason"))
-    return out
+        p = f"`_p_{q.column}`"
+        checks.append(f"CASE WHEN {p} IS NULL THEN 'missing question {q.number}'"
+                      f" WHEN {p}.`group` <> '{q.group}' THEN 'group mismatch at question {q.number}' END")
+    keep_cols = [f"`{c}`" for c in df.columns if c != answer_col] + [f"`{c}`" for c in keep]
+    return tmp.selectExpr(*keep_cols, *[f"`_p_{q.column}`.choice AS `{q.column}`" for q in spec.questions],
+                          f"coalesce({', '.join(checks)}) AS reject_reason")
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

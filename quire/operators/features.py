@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.exprs import (count_equal, finite_or_null, row_count, row_mean, row_sum,
+from quire.functions.exprs import (count_equal, finite_or_null, finite_sql, row_count, row_mean, row_sum,
                                    row_var_samp, safe_div)
 from quire.operators.prepare import NUMERIC_TYPES, apply_fill, fit_impute
 from quire.spec import SurveySpec
@@ -25,19 +25,46 @@ def group_feature_columns(spec: SurveySpec, present: list[str]) -> list:
     return out
 
 
+def _sum_sql(cols) -> str:
+    return "(" + " + ".join(f"coalesce(cast(`{c}` as double), 0D)" for c in cols) + ")"
+
+
+def _n_sql(cols) -> str:
+    return "(" + " + ".join(f"cast(`{c}` is not null as int)" for c in cols) + ")"
+
+
+def group_feature_sql(spec: SurveySpec, present: list[str]) -> list[str]:
+    """F1-F4 as SQL expressions: sum (NULL skipped), mean over non-NULL
+    cells, sample variance (NULL -> 0), count of cells equal to 3."""
+    out = []
+    for g, cols in spec.groups.items():
+        cs = [c for c in cols if c in present]
+        if not cs:
+            continue
+        s, n = _sum_sql(cs), _n_sql(cs)
+        mean = f"try_divide({s}, cast({n} as double))"
+        ss = " + ".join(f"coalesce(pow(cast(`{c}` as double) - {mean}, 2), 0D)" for c in cs)
+        out += [f"{s} AS `{g}_score_sum`", f"{mean} AS `{g}_score_avg`",
+                f"coalesce(CASE WHEN {n} >= 2 THEN try_divide({ss}, cast({n} - 1 as double)) END, 0D)"
+                f" AS `{g}_score_var`",
+                "(" + " + ".join(f"coalesce(cast(`{c}` = 3 as double), 0D)" for c in cs) + f") AS `{g}_high_score_count`"]
+    return out
+
+
 def engineer(df: DataFrame, spec: SurveySpec) -> DataFrame:
-    """F1-F6 in one projection (sums/averages are inlined, Catalyst folds
-    common subexpressions within the stage)."""
+    """F1-F6 in one projection.  Expressions are generated as SQL text, so
+    the whole projection is built in one call however many groups the spec
+    has; Catalyst folds the repeated sums within the codegen'd stage."""
     present = df.columns
     missing = [c for cols in spec.groups.values() for c in cols if c not in present]
     if missing:
         raise ValueError(f"missing group columns: {missing}")
-    base = df.select("*", *group_feature_columns(spec, present))
-    ratios = [safe_div(F.col(f"{n}_score_sum"), F.col(f"{d}_score_sum") + 1).alias(name)
+    ratios = [f"try_divide({_sum_sql(spec.groups[n])}, {_sum_sql(spec.groups[d])} + 1) AS `{name}`"
               for name, n, d in spec.ratios]
-    inter = [(F.col(f"{a}_score_avg") * F.col(f"{b}_score_avg")).alias(name)
+    inter = [f"try_divide({_sum_sql(spec.groups[a])}, cast({_n_sql(spec.groups[a])} as double))"
+             f" * try_divide({_sum_sql(spec.groups[b])}, cast({_n_sql(spec.groups[b])} as double)) AS `{name}`"
              for name, a, b in spec.interactions]
-    return base.select("*", *ratios, *inter)
+    return df.selectExpr("*", *group_feature_sql(spec, present), *ratios, *inter)
 
 
 def categorical_rollup(df: DataFrame, spec: SurveySpec, categorical: list[str] | None = None) -> DataFrame:
@@ -67,15 +94,17 @@ def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
 def fit_nonfinite_fill(df: DataFrame, exclude=("ust", "user_id"), approx: bool = False) -> dict:
     """F8 fit: medians of numeric columns that hold NULL/NaN/inf cells."""
     cols = numeric_columns(df, exclude)
-    cleaned = df.select(*[finite_or_null(F.col(c)).alias(c) if t in ("double", "float")
-                          else F.col(c) for c, t in df.dtypes if c in cols])
+    cleaned = df.selectExpr(*[f"{finite_sql(c)} AS `{c}`" if t in ("double", "float") else f"`{c}`"
+                              for c, t in df.dtypes if c in cols])
     return fit_impute(cleaned, cols, "median", approx=approx)
 
 
 def apply_nonfinite_fill(df: DataFrame, fill: dict) -> DataFrame:
     """F8 apply: +-inf/NaN -> NULL -> fitted median."""
+    if not fill:
+        return df
     types = dict(df.dtypes)
-    cleaned = df.select(*[finite_or_null(F.col(c)).alias(c)
-                          if c in fill and types[c] in ("double", "float") else F.col(c)
-                          for c in df.columns])
+    cleaned = df.selectExpr(*[f"{finite_sql(c)} AS `{c}`"
+                              if c in fill and types[c] in ("double", "float") else f"`{c}`"
+                              for c in df.columns])
     return apply_fill(cleaned, fill)

@@ -38,8 +38,10 @@ def fit_mode(df: DataFrame, column: str):
 
 def apply_fill(df: DataFrame, values: dict) -> DataFrame:
     """Fill NULLs of each column with its fitted value (no-op when None)."""
-    return df.select(*[F.coalesce(F.col(c), F.lit(values[c])).alias(c)
-                       if c in values and values[c] is not None else F.col(c)
+    todo = {c: v for c, v in values.items() if v is not None and c in df.columns}
+    if not todo:
+        return df
+    return df.select(*[F.coalesce(F.col(c), F.lit(todo[c])).alias(c) if c in todo else F.col(c)
                        for c in df.columns])
 
 
@@ -51,8 +53,11 @@ def target_domain(df: DataFrame, target: str = "ust", domain=(0, 1)) -> DataFram
 
 def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """To DOUBLE; unparsable text -> NULL; NaN/inf -> NULL."""
-    return df.select(*[finite_or_null(F.col(c).try_cast("double")).alias(c) if c in columns
-                       else F.col(c) for c in df.columns])
+    def conv(c):
+        v = f"try_cast(`{c}` AS DOUBLE)"
+        return (f"CASE WHEN isnan({v}) OR abs({v}) = CAST('Infinity' AS DOUBLE) THEN NULL ELSE {v} END"
+                f" AS `{c}`")
+    return df.selectExpr(*[conv(c) if c in columns else f"`{c}`" for c in df.columns])
 
 
 def fit_impute(df: DataFrame, columns: list[str], method: str = "median",
@@ -68,7 +73,7 @@ def fit_impute(df: DataFrame, columns: list[str], method: str = "median",
         return {}
     cols = columns
     if only_if_null:
-        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+        nulls = df.agg(*[F.expr(f"count_if(`{c}` IS NULL)").alias(c) for c in columns]).first()
         cols = [c for c in columns if nulls[c] > 0]
         if not cols:
             return {}
