@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import broadcast_if_small
+
 
 def target_expr(status: str = "loan_status"):
     """Npl -> 1, healthy -> 0, anything else NULL."""
@@ -38,7 +40,10 @@ def labelled_load(users: DataFrame, answers: DataFrame, features: DataFrame,
     if distinct_status:
         st = st.distinct()
     a = answers.select("user_id", "feature_id", "answer").where(F.col("answer").isNotNull())
-    f = features.where(F.col("feature_slug").isNotNull() & (F.col("feature_slug") == slug))
+    # the feature catalogue: a handful of survey versions, broadcast after a
+    # size check (a shuffle on feature_id would put all answers on ~3 keys)
+    f = broadcast_if_small(
+        features.where(F.col("feature_slug").isNotNull() & (F.col("feature_slug") == slug)))
     joined = (users.select("user_id")
               .join(a, "user_id", "left")
               .join(f.select("feature_id", "feature_slug"), "feature_id", "left")
