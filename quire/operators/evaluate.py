@@ -96,7 +96,7 @@ def prefix_below(cells: DataFrame, by: list[str], order: str, cols: list[str],
                                       .alias(f"{c}_below") for c in cols])
 
 
-def roc_auc(cells: DataFrame, by: list[str] | None = None, buckets: int = 1) -> DataFrame:
+def roc_auc(cells: DataFrame, by: list[str] | None = None, buckets: int = 16) -> DataFrame:
     """Mann-Whitney AUC with ties counted half, from score cells:
     sum_c pos_c * (neg below c + neg_c / 2) / (P * N); NULL for one class."""
     by = by or []
@@ -107,7 +107,7 @@ def roc_auc(cells: DataFrame, by: list[str] | None = None, buckets: int = 1) ->
                                 F.col("u") / (F.col("P") * F.col("N"))).alias("roc_auc"))
 
 
-def pr_auc(cells: DataFrame, by: list[str] | None = None, buckets: int = 1) -> DataFrame:
+def pr_auc(cells: DataFrame, by: list[str] | None = None, buckets: int = 16) -> DataFrame:
     """E5: trapezoid area under the precision-recall curve with the end
     point (recall 0, precision 1); thresholds are the distinct scores.
 

@@ -396,7 +396,7 @@ from quire.session import ensure_checkpoint_dir  # noqa: E402
 
 # Grid of the registered training queries: the reference's grid shape
 # (trees x depth x min split x two weightings) at a size a query can run.
-QUERY_CFG = dict(n_estimators=[20, 50], max_depth=[5, 10], min_samples_split=[2], n_folds=3,
+QUERY_CFG = dict(n_estimators=[30], max_depth=[5, 10], min_samples_split=[2], n_folds=3,
                  n_bootstraps=200)
 
 
