@@ -754,3 +754,20 @@ def e6_cv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = E.count_metrics(s, "label", "pred", 1.0, by=["fold"])
     two = s.groupBy("fold").agg((F.count_distinct("label") == 2).alias("two_classes"))
     return E.cv_summary(per.join(two, "fold"), "recall")
+
+
+@register("w4_logistic_path")
+def w4_logistic_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W4 (logistic trainer): T2 top Pearson -> R1 split -> T7 backward
+    elimination -> M2 balanced logistic fit -> E10 per-class test report."""
+    prep = J.preprocess(feature_run(spark, sf_dir).features, FK_V1)
+    corr = S.correlation_table(prep.frame, prep.features, "ust")
+    cand = [r["feature"] for r in T.top_by(corr, "pearson", N_SELECT).orderBy("position").collect()]
+    s = R.stratified_split(_weighted(prep), "ust", "user_id", 0.2, 42)
+    tr, te = s.where(~F.col("is_test")), s.where(F.col("is_test"))
+    n = tr.count()
+    keep, _ = TR.backward_elimination(tr, te, cand, "ust", n_rows=n)
+    m = TR.logistic("ust", "w", n_rows=n).fit(TR.assemble(tr, keep))
+    pt = TR.probability_of_one(m.transform(TR.assemble(te, keep)))
+    pt = pt.withColumn("pred", E.decide(F.col("p1"), 0.5)).withColumnRenamed("ust", "label")
+    return E.per_class_report(pt).withColumn("features", F.lit(",".join(keep)))
