@@ -108,23 +108,26 @@ def select_answers(payload: Column, selector: list[dict]) -> Column:
     return F.map_from_entries(arr)
 
 
-def group_answers(df: DataFrame, payload_col: str = "answers", key: str = "resp_id") -> DataFrame:
-    """Dynamic grouping by any non-empty group (version ignored).
+def group_answers_expr(payload_col: str = "answers") -> str:
+    """P26 as one SQL expression: ``MAP<group, ARRAY<choice>>`` over every
+    non-empty group (version ignored).  Items are sorted by numeric ``item``
+    (non-digit -> 0) with arrival order as the stable tie-break; a missing
+    choice is 0.  A respondent's payload is one row, so grouping happens in
+    place: no explode, no shuffle."""
+    p = f"`{payload_col}`"
+    valid = (f"filter(transform({p}, (x, i) -> named_struct('g', x.`group`,"
+             f" 'k', CASE WHEN x.item RLIKE '^[0-9]+$' THEN try_cast(x.item AS BIGINT) ELSE 0L END,"
+             f" 'pos', i, 'c', coalesce(x.choiceNumber, 0))), y -> y.g IS NOT NULL AND y.g <> '')")
+    return (f"map_from_entries(transform(array_distinct(transform({valid}, y -> y.g)),"
+            f" g -> named_struct('key', g, 'value',"
+            f" transform(array_sort(filter({valid}, y -> y.g = g)), z -> z.c))))")
 
-    Items sorted by numeric ``item`` (non-digit -> 0) with arrival order as
-    the stable tie-break; missing choice -> 0.  Explode with position, then
-    one aggregation per (respondent, group); groups are per-respondent small,
-    so the shuffle is keyed by respondent and spreads evenly.
-    """
-    exploded = df.select(key, F.posexplode(payload_col).alias("pos", "a"))
-    item = F.col("a.item")
-    order_key = F.when(item.rlike("^[0-9]+$"), item.try_cast("long")).otherwise(F.lit(0))
-    g = exploded.where(F.col("a.group").isNotNull() & (F.col("a.group") != "")).select(
-        key, F.col("a.group").alias("group"),
-        F.struct(order_key.alias("k"), F.col("pos"),
-                 F.coalesce(F.col("a.choiceNumber"), F.lit(0)).alias("c")).alias("s"))
-    return (g.groupBy(key, "group")
-            .agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["c"]).alias("choices")))
+
+def group_answers(df: DataFrame, payload_col: str = "answers", key: str = "resp_id") -> DataFrame:
+    """P26 in long form: one row per (respondent, group) with its sorted
+    choices (a narrow map explode of ``group_answers_expr``)."""
+    return (df.selectExpr(f"`{key}`", f"{group_answers_expr(payload_col)} AS _m")
+            .selectExpr(f"`{key}`", "explode(_m) AS (`group`, choices)"))
 
 
 def validate_payload(groups: Column, required: tuple) -> Column:
