@@ -24,7 +24,26 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Answer parsing and scoring build wide CASE / higher-order-function
+    # expressions; constraint propagation re-derives them through every
+    # filter and projection and can explode planning time.  Explicit
+    # predicates are still pushed to the scans.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
+# Runtime SQL settings applied to any session the library is handed.
+RUNTIME_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.constraintPropagation.enabled": "false",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the runtime SQL settings and make sure a checkpoint folder exists."""
+    for k, v in RUNTIME_CONF.items():
+        spark.conf.set(k, v)
+    ensure_checkpoint_dir(spark)
+    return spark
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,

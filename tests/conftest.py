@@ -17,6 +17,7 @@ def spark():
     from quire.session import DEFAULT_CONF, ensure_checkpoint_dir
     b = (SparkSession.builder.master("local[*]").appName("quire-tests")
          .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.driver.memory", "8g")
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="quire-test-ckpt-")))
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
