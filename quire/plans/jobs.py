@@ -256,6 +256,10 @@ def batch_score(requests: DataFrame, model, scaler: dict, features: list[str],
     feats = payload_features(routed.where(F.col("spec") == spec.name), spec)
     feats = feats.withColumn("reject_reason", F.coalesce(
         F.col("reject_reason"), scaling_guard(feats, {f: scaler[f] for f in features})))
+    # Stage boundary: the guarded feature rows feed both the scored and the
+    # rejected branch; write them once (shared checkpoint folder) instead of
+    # planning and computing the wide feature plan twice.
+    feats = cut_lineage(feats)
     scaled = scale_for_model(feats, scaler, features)
     scored = predict(scaled, model, features).withColumn(
         "approval_loan_status", approval(F.col("screening_passed"), F.col("model_prediction")))
