@@ -93,7 +93,8 @@ def test_correlations_match_pandas(spark):
         got = {r["feature"]: r for r in S.correlation_table(frame, ["x0", "x3", "c"], "y", buckets).collect()}
         for c in ("x0", "x3"):
             assert got[c]["pearson"] == pytest.approx(p[c].corr(p["y"]), rel=1e-9)
-            assert got[c]["spearman"] == pytest.approx(p[c].corr(p["y"], method="spearman"), rel=1e-9)
+            rho = p[c].rank().corr(p["y"].rank())  # Spearman = Pearson of average ranks
+            assert got[c]["spearman"] == pytest.approx(rho, rel=1e-9)
         assert got["c"]["pearson"] is None and got["c"]["spearman"] is None
 
 
@@ -130,7 +131,7 @@ def test_selection_and_chart(spark):
         [("a", 0.5, 0.45), ("b", -0.2, -0.3), ("c", 0.1, 0.3), ("d", -0.6, -0.5), ("e", None, None)],
         "feature string, pearson double, spearman double")
     top = [r["feature"] for r in T.top_by(corr, "spearman", 1).orderBy("position").collect()]
-    assert top == ["c", "d"]
+    assert top == ["a", "d"]
     assert [r["feature"] for r in T.disagreement(corr).collect()] == ["c"]
     chart = [r["feature"] for r in T.chart_data(corr, 10).collect()]
     assert set(chart) == {"a", "c", "b", "d"}
