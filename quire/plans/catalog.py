@@ -633,7 +633,12 @@ def s5_s6_s7_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(counts, "sink STRING, n BIGINT")
 
 
-@register("j4_j5_membership")
+@register("j4_j5_membership", O.with_(
+    [O.cte_users(), O.cte_statuses()],
+    "SELECT user_id, true AS has_status FROM users u WHERE EXISTS (SELECT 1 FROM loan_summary_statuses l"
+    " WHERE l.user_id = u.user_id AND l.loan_status <> 'pending')"
+    " UNION ALL SELECT user_id, false AS has_status FROM users u WHERE NOT EXISTS (SELECT 1 FROM"
+    " loan_summary_statuses l WHERE l.user_id = u.user_id AND l.loan_status <> 'pending')"))
 def j4_j5_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J4 semi-join membership and J5 anti-join: customers with / without
     an eligible loan status."""
