@@ -725,7 +725,7 @@ def p25_answer_select(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    for g in ("fht", "kmsi")])
 
 
-@register("p26_dynamic_grouping")
+@register("p26_dynamic_grouping", O.group_answers_sql())
 def p26_dynamic_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group answers by any non-empty group, items sorted numerically."""
     g = group_answers(FX.payloads(spark, sf_dir))

@@ -495,3 +495,11 @@ def route_sql() -> str:
                  "SELECT resp_id, application_label, CASE WHEN application_label = 'rdf50_v3.0_fk_v1.0' THEN 'fk_v1.0' END AS spec,"
                  " CASE WHEN application_label = 'rdf50_v3.0_fk_v1.0' THEN NULL ELSE 'Unsupported application_label: ' || application_label END AS route_reason"
                  " FROM payloads")
+
+
+def group_answers_sql() -> str:
+    return with_([cte_answers_wide(), payload_cte(),
+                  "items AS (SELECT resp_id, unnest(answers) AS x, generate_subscripts(answers, 1) AS pos FROM payloads)"],
+                 "SELECT resp_id, x.\"group\" AS \"group\", array_to_string(list(COALESCE(x.choiceNumber, 0) ORDER BY"
+                 " CASE WHEN regexp_full_match(x.item, '[0-9]+') THEN TRY_CAST(x.item AS BIGINT) ELSE 0 END, pos), ',')"
+                 " AS choices FROM items WHERE x.\"group\" IS NOT NULL AND x.\"group\" <> '' GROUP BY resp_id, x.\"group\"")
