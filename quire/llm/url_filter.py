@@ -119,6 +119,6 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
                 .select("host", "bad"))
     hosts = host_reputation(parts.select("host"), labelled, **method)
     rule, verdict = matching_rule(rules)
-    by_host = F.when("blocked", "block").otherwise("allow")
+    by_host = F.when(F.col("blocked"), "block").otherwise("allow")
     return (parts.join(hosts, "host").withColumn("rule", rule)
             .select("page_id", "host", "path", "rule", F.coalesce(verdict, by_host).alias("verdict")))
