@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from quire.llm import q_url_filter
+from quire.llm import q_token_files, q_url_filter, q_warc
 
 QUERIES = {
     "op1_url_filter": q_url_filter.op1_url_filter,
+    "op5_token_files": q_token_files.op5_token_files,
+    "op10_warc": q_warc.op10_warc,
 }
 
 ORACLE = {
     "op1_url_filter": q_url_filter.ORACLE,
+    "op10_warc": q_warc.ORACLE,
 }
