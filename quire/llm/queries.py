@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quire.llm import q_token_files, q_url_filter, q_warc
+from quire.llm import q_packing, q_token_files, q_toxicity, q_url_filter, q_warc
 
 QUERIES = {
     "op1_url_filter": q_url_filter.op1_url_filter,
+    "op3_toxicity": q_toxicity.op3_toxicity,
     "op5_token_files": q_token_files.op5_token_files,
+    "op9_packing": q_packing.op9_packing,
     "op10_warc": q_warc.op10_warc,
 }
 

@@ -31,23 +31,29 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class _Cache(dict):
-    """Piece to its ids as little-endian 32-bit bytes; forgets everything at ``limit`` pieces."""
+    """Piece to its ids as little-endian 32-bit bytes.
+
+    Two generations of at most ``limit`` pieces: a full one is set aside, and
+    what is asked for again comes back from there.
+    """
 
     def __init__(self, encode, limit: int):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.aside = encode, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.limit:
+            self.aside = dict(self)
             self.clear()
-        self[piece] = ids = self.encode(piece)
+        ids = self.aside.get(piece)
+        self[piece] = ids = self.encode(piece) if ids is None else ids
         return ids
 
 
 class TextEncoder:
     """Encodes texts with one tokenizer file; made once per worker."""
 
-    def __init__(self, path: str, cache_pieces: int = 400_000):
+    def __init__(self, path: str, cache_pieces: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -60,7 +66,7 @@ class TextEncoder:
         self.alphabet = byte_alphabet()
         self.plain = _Cache(lambda p: self._piece(p, ""), cache_pieces)
         self.spaced = _Cache(lambda p: self._piece(p, " "), cache_pieces)
-        self.words: dict[str, bytes] = _Cache(self._model, cache_pieces)
+        self.words = _Cache(self._model, 2 * cache_pieces)
         self.newline = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
@@ -76,10 +82,7 @@ class TextEncoder:
             return self._whole(before + piece)
         word, mark = m.groups()
         ids = self.words[word.lower() if self.drops_space else before + word]
-        return ids + self.plain_mark(mark) if mark else ids
-
-    def plain_mark(self, mark: str) -> bytes:
-        return self.words[mark]
+        return ids + self.words[mark] if mark else ids
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of ``text`` (null: none) as ``uint32``."""
