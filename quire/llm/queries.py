@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import q_minhash, q_packing, q_substrings, q_token_files, q_toxicity, q_url_filter, q_warc
+from quire.llm import q_decontaminate, q_minhash, q_packing, q_substrings, q_token_files, q_toxicity, q_url_filter, q_warc
 
 QUERIES = {
     "op1_url_filter": q_url_filter.op1_url_filter,
+    "op2_decontaminate": q_decontaminate.op2_decontaminate,
     "op3_toxicity": q_toxicity.op3_toxicity,
     "op4_minhash": q_minhash.op4_minhash,
     "op5_token_files": q_token_files.op5_token_files,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_url_filter": q_url_filter.ORACLE,
+    "op2_decontaminate": q_decontaminate.ORACLE,
     "op4_minhash": q_minhash.ORACLE,
     "op8_substrings": q_substrings.ORACLE,
     "op10_warc": q_warc.ORACLE,
