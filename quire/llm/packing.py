@@ -188,7 +188,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, uni
     pieces = stage(cut_documents(docs, tokenizer, end_id, capacity)
                    .withColumn("size", F.ceil(F.col("length") / unit)), "pieces")
     histogram = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
-    buckets = max(1, -(-sum(histogram.values()) // bucket_rows))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(histogram.values()) // bucket_rows))
     keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
     before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = (keyed.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n"))
