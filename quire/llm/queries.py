@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import q_decontaminate, q_embeddings, q_minhash, q_packing, q_substrings, q_token_files, q_toxicity, q_url_filter, q_warc
+from quire.llm import q_decontaminate, q_embeddings, q_html_text, q_minhash, q_packing, q_substrings, q_token_files, q_toxicity, q_url_filter, q_warc
 
 QUERIES = {
     "op1_url_filter": q_url_filter.op1_url_filter,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_minhash": q_minhash.op4_minhash,
     "op5_token_files": q_token_files.op5_token_files,
     "op6_embeddings": q_embeddings.op6_embeddings,
+    "op7_html_text": q_html_text.op7_html_text,
     "op8_substrings": q_substrings.op8_substrings,
     "op9_packing": q_packing.op9_packing,
     "op10_warc": q_warc.op10_warc,
