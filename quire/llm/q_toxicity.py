@@ -12,12 +12,12 @@ from quire.llm.toxicity import Chain, fit_chain, score
 CATEGORIES = ("low_quality", "toxic")
 
 
-def fit_on_tables(spark: SparkSession, sf_dir: str) -> Chain:
+def fit_on(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Chain:
     labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
-    return fit_chain(table(spark, sf_dir, "documents"), labels, CATEGORIES)
+    return fit_chain(docs, labels, CATEGORIES)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities and verdict for every document."""
-    chain = fit_on_tables(spark, sf_dir)
-    return score(table(spark, sf_dir, "documents").select("doc_id", "text"), chain).drop("text")
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit_on(spark, docs, sf_dir))

@@ -218,3 +218,24 @@ def digest_removals(removals: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "n_removed", "kept_sha256"])
 
     return removals.mapInPandas(run, "doc_id long, n_removed long, kept_sha256 string")
+
+
+def remove_repeated(docs: DataFrame, *, window: int = 35) -> DataFrame:
+    """``docs`` with the words of repeated windows taken out of ``text`` (and ``n_chars``, if there is one, recounted).
+
+    Texts that lose words become the words left, joined by single spaces;
+    others stay as they are.  No row is dropped.
+    """
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            left = [b" ".join(without(words_of(t, lower=False), [(s["a"], s["b"]) for s in spans])).decode("utf-8")
+                    for t, spans in zip(pdf["text"], pdf["spans"])]
+            yield pd.DataFrame({"__id": pdf["doc_id"], "__left": left})
+
+    small, removals = repeated_passages(docs, window=window)
+    changed = removals.mapInPandas(run, "__id long, __left string").unionByName(
+        small.where("gone").select(F.col("doc_id").alias("__id"), F.lit("").alias("__left")).distinct())
+    joined = docs.join(changed, docs["doc_id"] == F.col("__id"), "left")
+    columns = {"text": F.coalesce("__left", "text"), "n_chars": F.coalesce(F.length("__left").cast("long"), "n_chars")}
+    return joined.select(*[columns[c].alias(c) if c in columns else docs[c] for c in docs.columns])

@@ -250,10 +250,9 @@ def best_cutoff(cells: list[tuple[float, float, int]]) -> float:
     return cutoff
 
 
-def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """``docs`` with ``p_<category>`` for each category and ``rejected``; a column of these names is replaced."""
+def with_chain(docs: DataFrame, chain: Chain, column: str) -> DataFrame:
+    """``docs`` and a struct ``column`` of every category's probability."""
     names = [f"p_{c}" for c in chain.categories]
-    docs = docs.drop(*names, "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -266,7 +265,20 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
                 rows.append(dense[STYLE:])
             yield pd.DataFrame(rows, columns=names, dtype="float64")
 
-    chained = F.pandas_udf(predict, ", ".join(f"{n} double" for n in names))
-    out = docs.withColumn("__p", chained("text"))
-    return (out.select(*docs.columns, *[F.col(f"__p.{n}").alias(n) for n in names])
+    return docs.withColumn(column, F.pandas_udf(predict, ", ".join(f"{n} double" for n in names))("text"))
+
+
+def score(docs: DataFrame, chain: Chain) -> DataFrame:
+    """``doc_id``, ``p_<category>`` for each category and ``rejected`` for every row of ``docs(doc_id, text)``."""
+    names = [f"p_{c}" for c in chain.categories]
+    return (with_chain(docs.select("doc_id", "text"), chain, "chain").select("doc_id", *[f"chain.{n}" for n in names])
             .withColumn("rejected", F.col(names[-1]) >= chain.cutoff))
+
+
+def without_rejected(docs: DataFrame, chain: Chain) -> DataFrame:
+    """The rows of ``docs``, all columns, that the last category does not reject."""
+    column = "__chain"
+    while column in docs.columns:
+        column += "_"
+    last = F.col(column)[f"p_{chain.categories[-1]}"]
+    return with_chain(docs, chain, column).where(last < chain.cutoff).select(*[F.col(f"`{c}`") for c in docs.columns])
