@@ -74,11 +74,14 @@ def price(duals: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float,
     return best[capacity], pattern
 
 
-def starting_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[np.ndarray]:
-    """A feasible basis: each pattern holds the longest length left, fills up with
-    others, and is used until one of its lengths runs out.  Later patterns lack
-    that length, so the patterns are triangular and therefore a basis."""
-    left, patterns = demand.copy(), []
+def starting_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """A feasible basis and its inverse.
+
+    Each pattern holds the longest length left, fills up with others, and is
+    used until one of its lengths runs out.  Later patterns lack that length,
+    so the patterns are triangular and inverted row by row.
+    """
+    left, patterns, order = demand.copy(), [], []
     open_ = np.ones(len(lengths), dtype=bool)
     while open_.any():
         index = np.nonzero(open_)[0]
@@ -91,7 +94,14 @@ def starting_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int) ->
         left = np.maximum(left - some[out] * pattern, 0)
         open_[out] = False
         patterns.append(pattern)
-    return patterns
+        order.append(out)
+    lower = np.array(patterns).T[order]
+    inverse = np.zeros_like(lower)
+    for t in range(len(order)):
+        row = -(lower[t, :t, None] * inverse[:t]).sum(axis=0)
+        row[order[t]] += 1
+        inverse[t] = row / lower[t, t]
+    return patterns, inverse
 
 
 def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float,
@@ -102,8 +112,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float,
     dual bound, or after ``most_columns`` columns (the patterns are then
     feasible but may be further from it).
     """
-    basis = starting_patterns(lengths, demand, capacity)
-    inverse = np.linalg.inv(np.array(basis).T)
+    basis, inverse = starting_basis(lengths, demand, capacity)
     use = np.maximum(inverse @ demand, 0)
     for _ in range(most_columns):
         duals = np.maximum(inverse.sum(axis=0), 0)
