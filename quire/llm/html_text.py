@@ -53,6 +53,8 @@ CHROME_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising"
                 "tags", "toolbar", "widget"}
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu",
                 "menubar", "alertdialog", "toolbar"}
+#: A class like ``with-sidebar`` is on the element beside the sidebar.
+ABOUT = {"with", "without", "has", "no", "not", "show", "hide", "is"}
 TOKENS = re.compile(r"[a-z0-9]+")
 
 
@@ -80,7 +82,7 @@ class PageLines(HTMLParser):
         if kind == "hidden" or tag in HIDDEN:
             return "hidden"
         if tag in MAIN or attrs.get("role") == "main":
-            return kind if kind == "chrome" and tag == "article" and self.in_comments() else "article"
+            return kind if kind == "chrome" and tag == "article" else "article"  # a comment may be an article too
         if kind == "chrome":
             return kind
         # A header inside an article holds its title.
@@ -88,11 +90,13 @@ class PageLines(HTMLParser):
             return "chrome"
         if attrs.get("role") in CHROME_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
             return "chrome"
-        named = TOKENS.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())
-        return "chrome" if tag not in ("html", "body") and not CHROME_WORDS.isdisjoint(named) else kind
-
-    def in_comments(self) -> bool:
-        return any(kind == "article" for _, kind, _ in self.stack)
+        if tag in ("html", "body"):
+            return kind
+        for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split():
+            named = TOKENS.findall(name)
+            if named and named[0] not in ABOUT and not CHROME_WORDS.isdisjoint(named):
+                return "chrome"
+        return kind
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
