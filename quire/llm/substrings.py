@@ -193,7 +193,8 @@ def repeated_passages(docs: DataFrame, *, window: int = 35, hot: int = 4096,
     standing = (rows.where(F.size("h") > 0).select("doc_id", "key", "h", "a", "b")
                 .join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).dropDuplicates(["key"]))
     runs = standing.select("doc_id", "key", F.explode(F.arrays_zip("h", "a", "b")).alias("r")).select("doc_id", "r.*")
-    several = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A table of its own, so that the join's two sides are plain shuffles and a very common anchor can be split.
+    several = stage(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
     named = runs.join(several, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "n", "a", "b")).alias("runs"))
     held = stage(docs.join(named, "doc_id"), "held")
     segments = stage(cut_segments(held, window, hot), "segments")
