@@ -14,9 +14,10 @@ lines of an ``article`` or ``main`` element are kept even if a neighbour has
 them, and lines inside containers of boilerplate go even if no neighbour has
 them.  Where a page has an ``article`` or ``main``, nothing else is kept.
 
-A host with a third of the pages is many ranges.  A task holds three pages at
-a time; the first and last page of a task's range choose among the neighbours
-that they have there.
+A host with a third of the pages is many ranges.  Range limits come from a
+sample of keys (a bounded number for each range); the last page before and the
+first page after a range are copied into it, so pairing does not depend on the
+limits.  A task holds three pages at a time.
 
 Defined cases: null or empty html gives an empty text; null urls are a host
 of their own; equal rows are paired like any others; nothing is cut off.
@@ -26,10 +27,12 @@ from __future__ import annotations
 
 import os
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +59,8 @@ CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search"
 #: A class like ``with-sidebar`` is on the element beside the sidebar.
 ABOUT = {"with", "without", "has", "no", "not", "show", "hide", "is"}
 TOKENS = re.compile(r"[a-z0-9]+")
+#: A tag that the page breaks off in.
+CUT_TAG = re.compile(r"<[/!a-zA-Z][^<>]*\Z")
 
 
 class PageLines(HTMLParser):
@@ -132,7 +137,7 @@ class PageLines(HTMLParser):
 
 def page_lines(html: str | None) -> list[tuple[str, str, str]]:
     parser = PageLines()
-    parser.feed(html or "")
+    parser.feed(CUT_TAG.sub("", html or ""))
     parser.close()
     parser.flush()
     return parser.lines
@@ -182,25 +187,57 @@ def main_text(lines: list[tuple[str, str, str]], neighbour: list[tuple[str, str,
     return "\n".join(x[0] for x in left)
 
 
+def limits(keys: DataFrame, parts: int, per_part: int = 50) -> list[tuple]:
+    """``parts - 1`` keys that cut ``keys(host, path, page_id)`` evenly, from about ``per_part * parts`` sampled rows."""
+    n = keys.count()
+    if n == 0 or parts < 2:
+        return []
+    drawn = sorted(tuple(r) for r in keys.sample(min(1.0, per_part * parts / n), seed=1).collect())
+    return [drawn[len(drawn) * i // parts] for i in range(1, parts)] if len(drawn) >= parts else drawn
+
+
+def in_ranges(pages: DataFrame) -> DataFrame:
+    """``pages`` sorted within ranges ``part``, with ``edge`` copies of the neighbouring pages of each range."""
+    spark = pages.sparkSession
+    key = ["host", "path", "page_id"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = limits(pages.select(*key), parts)
+
+    @F.pandas_udf("int")
+    def part_of(host: pd.Series, path: pd.Series, page: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(cuts, k) for k in zip(host, path, page)], dtype="int32")
+
+    dealt = pages.withColumn("part", part_of(*key))
+    ends = sorted(tuple(r) for r in dealt.groupBy("part").agg(
+        F.min(F.struct(*key)).alias("first"), F.max(F.struct(*key)).alias("last")).collect())  # a row for each range
+    copies = [(*new[1], part) for (part, *_), new in zip(ends, ends[1:])] + \
+        [(*old[2], part) for old, (part, *_) in zip(ends, ends[1:])]
+    near = spark.createDataFrame(copies, "host string, path string, page_id long, part int")
+    edges = pages.join(F.broadcast(near), key).dropDuplicates([*key, "part"])
+    both = dealt.withColumn("edge", F.lit(False)).unionByName(edges.withColumn("edge", F.lit(True)))
+    return both.repartitionByRange(parts, "part").sortWithinPartitions("part", *key, "edge")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages(page_id, url, html)``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                for r in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "path", "html"))):
-                    yield (*r[:4], page_lines(r[4]))
+                for *head, html in zip(*(batch.column(c).to_pylist() for c in columns)):
+                    yield (*head, page_lines(html))
             yield None
 
         def nearness(x, y) -> int:
-            return -1 if x is None or y is None or x[2] != y[2] else len(os.path.commonprefix([x[3], y[3]]))
+            same = x is not None and y is not None and x[2:4] == y[2:4]
+            return len(os.path.commonprefix([x[4], y[4]])) if same else -1
 
         before, current, out = None, None, []
         for after in rows():
-            if current is not None:
+            if current is not None and not current[5]:
                 b, a = nearness(before, current), nearness(current, after)
                 partner = None if max(a, b) < 0 else before if b >= a else after
-                text = main_text(current[4], partner and partner[4])
+                text = main_text(current[6], partner and partner[6])
                 out.append((current[0], current[1], text, len(text)))
             if len(out) >= 500 or after is None and out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
@@ -208,8 +245,10 @@ def extract(pages: DataFrame) -> DataFrame:
                 out = []
             before, current = current, after
 
+    columns = ("page_id", "url", "part", "host", "path", "edge", "html")
     types = (pa.int64(), pa.string(), pa.string(), pa.int64())
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (with_url_parts(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"))
-               .repartitionByRange(parts, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id"))
-    return ordered.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    # A null id cannot be compared; it becomes the least one and null again at the end.
+    least = F.lit(-(1 << 63)).cast("long")
+    parsed = with_url_parts(pages.select(F.coalesce(F.col("page_id").cast("long"), least).alias("page_id"), "url", "html"))
+    texts = in_ranges(parsed).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return texts.withColumn("page_id", F.nullif("page_id", least))
