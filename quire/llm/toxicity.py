@@ -14,7 +14,7 @@ tasks of one grouped job; each holds the sample at most.  Scoring runs over
 all documents, whole texts, in Arrow batches; the models (``terms`` weights
 for each category) travel with the task.
 
-Defined cases: a null text is empty; a null label leaves the row out of that
+Defined cases: a null text is empty; a text without words has probability 0; a null label leaves the row out of that
 category's models; repeated rows count and are scored each; without labelled
 rows of a category its probability is 0 and nothing is rejected.  Other
 columns of either table are ignored or passed through.
@@ -95,20 +95,24 @@ def minimise(loss, w: np.ndarray, rounds: int = 200, memory: int = 10) -> np.nda
 
 
 def fit_logistic(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarray, n_terms: int,
-                 l2: float) -> np.ndarray:
-    """[intercept, term weights, dense weights] of a logistic model; ``rows, cols`` are the ones of its sparse part."""
+                 l2: float, style_l2: float) -> np.ndarray:
+    """[intercept, term weights, dense weights] of a logistic model; ``rows, cols`` are the ones of its sparse part.
+
+    The first ``STYLE`` dense columns are held back by ``style_l2``: words should decide where they can.
+    """
     n = len(y)
+    hold = np.full(1 + n_terms + dense.shape[1], l2)
+    hold[0], hold[1 + n_terms:1 + n_terms + STYLE] = 0.0, style_l2
     mean, scale = dense.mean(axis=0), np.maximum(dense.std(axis=0), 1e-9)
     z = (dense - mean) / scale
 
     def loss(w):
         score = w[0] + np.bincount(rows, w[1 + cols], n) + z @ w[1 + n_terms:]
         p = 1 / (1 + np.exp(-np.clip(score, -35, 35)))
-        value = np.mean(np.logaddexp(0, score) - y * score) + 0.5 * l2 * (w[1:] @ w[1:])
+        value = np.mean(np.logaddexp(0, score) - y * score) + 0.5 * (hold @ (w * w))
         err = (p - y) / n
         grad = np.concatenate([[err.sum()], np.bincount(cols, err[rows], n_terms), z.T @ err])
-        grad[1:] += l2 * w[1:]
-        return value, grad
+        return value, grad + hold * w
 
     w = minimise(loss, np.zeros(1 + n_terms + dense.shape[1]))
     w[1 + n_terms:] /= scale
@@ -117,7 +121,7 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.nd
 
 
 def probability(w: np.ndarray | None, terms: list[int], dense: list[float]) -> float:
-    if w is None:
+    if w is None or dense[STYLE - 1] == 0:  # no model, or no words
         return 0.0
     at = len(w) - len(dense)
     score = w[0] + w[[1 + t for t in terms]].sum() + w[at:] @ np.array(dense)
@@ -142,7 +146,7 @@ def featurise(texts: Iterable[str | None], index: dict[str, int], cache: dict) -
 
 
 def choose_terms(sample: DataFrame, categories: Sequence[str], terms: int, least_docs: int) -> list[str]:
-    """For each category the ``terms`` features whose log-odds differ most surely, by document counts."""
+    """For each category the ``terms`` features that tell most about it (likelihood ratio of the document counts)."""
     k = len(categories)
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,15 +170,20 @@ def choose_terms(sample: DataFrame, categories: Sequence[str], terms: int, least
     sums = stage(sums, "terms")
     chosen: set[str] = set()
     for i in range(k):
-        a, b = F.col(f"n{i}") + 0.5, F.col(f"n{i + k}") + 0.5
-        ta, tb = (totals[f"t{i}"] or 0) + 1.0, (totals[f"t{i + k}"] or 0) + 1.0
-        z = F.abs(F.log(a / ta) - F.log(b / tb)) / F.sqrt(1 / a + 1 / b)
-        chosen |= {r["term"] for r in sums.select("term", z.alias("z")).orderBy(F.desc("z"), "term").limit(terms).collect()}
+        a, b = F.col(f"n{i}").cast("double"), F.col(f"n{i + k}").cast("double")
+        ta, tb = float(totals[f"t{i}"] or 0), float(totals[f"t{i + k}"] or 0)
+        if not ta or not tb:
+            continue
+        cell = lambda seen, in_class, of: F.when(seen > 0, seen * F.log(seen * (ta + tb) / (in_class * of))).otherwise(0.0)  # noqa: B023, E731
+        held, rest = a + b, ta + tb - a - b
+        gain = cell(a, F.lit(ta), held) + cell(b, F.lit(tb), held) + cell(ta - a, F.lit(ta), rest) + cell(tb - b, F.lit(tb), rest)
+        chosen |= {r["term"] for r in sums.select("term", gain.alias("gain")).orderBy(F.desc("gain"), "term").limit(terms).collect()}
     return sorted(chosen)
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, train_rows: int = 20_000,
-              terms: int = 1500, least_docs: int = 3, folds: int = 5, l2: float = 1e-4) -> Chain:
+              terms: int = 1500, least_docs: int = 3, folds: int = 5, l2: float = 1e-4,
+              style_l2: float = 1e-2) -> Chain:
     """Fit a chain on ``docs(doc_id, text)`` and ``labels(doc_id, <categories> 0/1 or null)``."""
     categories = list(categories)
     chain = Chain(categories)
@@ -210,7 +219,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *,
                 return pd.DataFrame({"model": [], "w": []})
             cols = np.concatenate([np.asarray(t, dtype="int64") for t in use["terms"]])
             at = np.repeat(np.arange(len(use)), [len(t) for t in use["terms"]])
-            w = fit_logistic(at, cols, np.array([list(d) for d in use["dense"]]), y, len(names), l2)
+            w = fit_logistic(at, cols, np.array([list(d) for d in use["dense"]]), y, len(names), l2, style_l2)
             return pd.DataFrame({"model": [int(pdf["model"].iloc[0])], "w": [w.tolist()]})
 
         # Model k leaves fold k out; the last one uses every row.

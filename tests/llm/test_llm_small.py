@@ -394,7 +394,7 @@ def test_logistic_reaches_the_optimum():
     x = (r.random((n, 6)) < 0.3)
     y = (r.random(n) < 1 / (1 + np.exp(-(x @ np.array([2, -1, 0.5, 0, 1, -2]) - 0.3)))).astype("float64")
     rows, cols = np.nonzero(x)
-    w = toxicity.fit_logistic(rows, cols, r.normal(size=(n, 1)), y, 6, 1e-3)
+    w = toxicity.fit_logistic(rows, cols, r.normal(size=(n, 5)), y, 6, 1e-3, 1e-2)
     assert abs(w[1] - 2) < 0.8 and abs(w[6] + 2) < 0.9
     assert toxicity.best_cutoff([(0.9, 5, 5), (0.1, 0, 20)]) == 0.5 and toxicity.best_cutoff([]) == 2.0
 
