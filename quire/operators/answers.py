@@ -90,8 +90,9 @@ def fill_int(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def select_answers(payload: Column, selector: list[dict]) -> Column:
     """P25: for each ``{group, version}`` keep matching items, order by
-    int(item), return ``MAP<group, ARRAY<choice>>``; empty groups omitted."""
-    entries = []
+    int(item), return ``MAP<group, ARRAY<choice>>``; empty groups omitted.
+    Of several entries for one group the last with items wins."""
+    entries: dict = {}
     for sel in selector:
         g, v = sel["group"], sel["version"]
         picked = F.filter(payload, lambda x: (x["group"] == g) & (x["version"] == v))
@@ -100,11 +101,11 @@ def select_answers(payload: Column, selector: list[dict]) -> Column:
             F.trim(x["item"]).try_cast("int").alias("k"), i.alias("pos"),
             x["choiceNumber"].alias("c"))))
         choices = F.transform(ordered, lambda x: x["c"])
-        entries.append(F.when(F.size(choices) > 0, F.struct(F.lit(g).alias("key"),
-                                                            choices.alias("value"))))
+        entry = F.when(F.size(choices) > 0, F.struct(F.lit(g).alias("key"), choices.alias("value")))
+        entries[g] = F.coalesce(entry, entries[g]) if g in entries else entry
     if not entries:
         return F.create_map().cast("map<string,array<int>>")
-    arr = F.filter(F.array(*entries), lambda e: e.isNotNull())
+    arr = F.filter(F.array(*entries.values()), lambda e: e.isNotNull())
     return F.map_from_entries(arr)
 
 
@@ -133,11 +134,12 @@ def group_answers(df: DataFrame, payload_col: str = "answers", key: str = "resp_
 def validate_payload(groups: Column, required: tuple) -> Column:
     """Reason string (NULL = valid) for a ``MAP<group, ARRAY<...>>``.
 
-    Required groups present; every value is a non-negative integer text.
+    Required groups present; every value is a non-negative integer text
+    (a NULL choice is not).
     """
     checks = [F.when(~F.array_contains(F.map_keys(groups), g), F.lit(f"missing required key {g}"))
               for g in required]
-    checks += [F.when(~F.forall(groups[g], lambda x: x.cast("string").rlike("^[0-9]+$")),
+    checks += [F.when(~F.forall(groups[g], lambda x: F.coalesce(x.cast("string").rlike("^[0-9]+$"), F.lit(False))),
                       F.lit(f"invalid values in {g}")) for g in required]
     return F.coalesce(*checks) if checks else F.lit(None).cast("string")
 

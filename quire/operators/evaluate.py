@@ -188,22 +188,42 @@ def _u(*parts: Column) -> Column:
     return (F.pmod(h, F.lit(2 ** 52)).cast("double") + 0.5) / float(2 ** 52)
 
 
+POISSON_PART = 32
+
+
+def _poisson_table(mean: float) -> list[float]:
+    """Cumulative Poisson probabilities up to where they reach 1 in double precision."""
+    out, p, c, k = [], math.exp(-mean), math.exp(-mean), 0
+    while p > 1e-18 or k < mean:
+        out.append(c)
+        k += 1
+        p *= mean / k
+        c += p
+    return out
+
+
 def poisson_count(m: Column, seed: int, *key: Column) -> Column:
     """Draw Poisson(m) for a cell of m rows: the bootstrap multiplicity of m
-    rows each drawn Poisson(1) times is Poisson(m).  Exact inverse CDF for
-    m <= 60 (bounded loop over k), normal approximation beyond."""
-    u = _u(F.lit(seed), *key, F.lit(1))
-    u2 = _u(F.lit(seed), *key, F.lit(2))
-    kmax = 200
-    init = F.struct(F.lit(0).alias("k"), F.exp(-m).alias("p"), F.exp(-m).alias("c"))
-    exact = F.aggregate(
-        F.sequence(F.lit(1), F.lit(kmax)), init,
+    rows each drawn Poisson(1) times is Poisson(m).
+
+    One exact method for every m: the cell is split into independent parts
+    of mean ``POISSON_PART`` and a smaller rest, each drawn by inverse CDF,
+    and the draws are added."""
+    table = F.array(*[F.lit(c) for c in _poisson_table(POISSON_PART)])
+    parts = F.floor(m / POISSON_PART).cast("int")
+    rest = m - parts * POISSON_PART
+    whole = F.when(parts > 0, F.aggregate(
+        F.sequence(F.lit(1), F.greatest(parts, F.lit(1))), F.lit(0),
+        lambda acc, i: acc + F.size(F.filter(table, lambda c: c < _u(F.lit(seed), *key, i)))))
+    u = _u(F.lit(seed), *key, F.lit(0))
+    init = F.struct(F.lit(0).alias("k"), F.exp(-rest).alias("p"), F.exp(-rest).alias("c"))
+    # the rest's mean is below POISSON_PART, so its table ends before that one's
+    last = F.aggregate(
+        F.sequence(F.lit(1), F.lit(len(_poisson_table(POISSON_PART)))), init,
         lambda acc, i: F.when(acc["c"] < u, F.struct(
-            i.alias("k"), (acc["p"] * m / i).alias("p"), (acc["c"] + acc["p"] * m / i).alias("c")))
+            i.alias("k"), (acc["p"] * rest / i).alias("p"), (acc["c"] + acc["p"] * rest / i).alias("c")))
         .otherwise(acc))["k"]
-    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * u2)
-    approx = F.greatest(F.lit(0.0), F.round(m + F.sqrt(m) * z)).cast("int")
-    return F.when(m <= 60, exact).otherwise(approx)
+    return F.coalesce(whole, F.lit(0)) + last
 
 
 def bootstrap_ci(df: DataFrame, label: str = "label", score: str = "score", pred: str = "pred",

@@ -91,12 +91,12 @@ def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
     return [c for c, t in df.dtypes if t in NUMERIC_TYPES and c not in exclude]
 
 
-def fit_nonfinite_fill(df: DataFrame, exclude=("ust", "user_id"), approx: bool = False) -> dict:
+def fit_nonfinite_fill(df: DataFrame, exclude=("ust", "user_id")) -> dict:
     """F8 fit: medians of numeric columns that hold NULL/NaN/inf cells."""
     cols = numeric_columns(df, exclude)
     cleaned = df.selectExpr(*[f"{finite_sql(c)} AS `{c}`" if t in ("double", "float") else f"`{c}`"
                               for c, t in df.dtypes if c in cols])
-    return fit_impute(cleaned, cols, "median", approx=approx)
+    return fit_impute(cleaned, cols, "median")
 
 
 def apply_nonfinite_fill(df: DataFrame, fill: dict) -> DataFrame:

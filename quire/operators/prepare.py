@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.exprs import all_of, finite_or_null
+from quire.functions.quantiles import exact_quantiles
 from quire.spec import SurveySpec
 
 NUMERIC_TYPES = ("double", "float", "int", "bigint", "smallint", "tinyint")
@@ -61,12 +62,11 @@ def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fit_impute(df: DataFrame, columns: list[str], method: str = "median",
-               approx: bool = False, only_if_null: bool = True) -> dict:
-    """Per-column fill values in one aggregation.
+               only_if_null: bool = True) -> dict:
+    """Per-column fill values.
 
-    ``median`` is exact (``percentile``; fine for ordinal columns) unless
-    ``approx`` asks for ``percentile_approx`` on wide continuous data; any
-    other method means the mean.  With ``only_if_null`` a cheap NULL-count
+    ``median`` is exact (``exact_quantiles``); any other method means the
+    mean.  With ``only_if_null`` a cheap NULL-count
     pass runs first and the median pass covers only columns that need it.
     """
     if not columns:
@@ -78,11 +78,8 @@ def fit_impute(df: DataFrame, columns: list[str], method: str = "median",
         if not cols:
             return {}
     if method == "median":
-        aggs = [(F.percentile_approx(c, 0.5, 10000) if approx else F.median(c)).alias(c)
-                for c in cols]
-    else:
-        aggs = [F.avg(c).alias(c) for c in cols]
-    row = df.agg(*aggs).first()
+        return {c: q[0] for c, q in exact_quantiles(df, cols, (0.5,)).items()}
+    row = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
     return {c: (None if row[c] is None else float(row[c])) for c in cols}
 
 
@@ -103,18 +100,20 @@ def recode(df: DataFrame, spec: SurveySpec) -> DataFrame:
     return df.where(keep).select(*[mapped(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def fit_categories(df: DataFrame, columns: list[str], max_levels: int = 1000) -> dict:
+def fit_categories(df: DataFrame, columns: list[str], max_levels: int | None = None) -> dict:
     """Vocabulary per categorical column (NULL -> 'missing'), sorted.
 
-    The distinct count is checked before anything is collected, so an
-    unbounded column raises instead of flooding the driver.
+    P17's output is as wide as the vocabulary, so it is held on the driver.
+    A caller that wants a limit sets ``max_levels``; it is then checked
+    before anything is collected.
     """
     out = {}
     for c in columns:
         v = F.coalesce(F.col(c).cast("string"), F.lit("missing"))
-        n = df.agg(F.count_distinct(v)).first()[0]
-        if n > max_levels:
-            raise DataQualityError(f"{c}: {n} levels exceed max_levels={max_levels}")
+        if max_levels is not None:
+            n = df.agg(F.count_distinct(v)).first()[0]
+            if n > max_levels:
+                raise DataQualityError(f"{c}: {n} levels exceed max_levels={max_levels}")
         out[c] = sorted(r[0] for r in df.select(v.alias("v")).distinct().collect())
     return out
 
@@ -165,7 +164,7 @@ def quality_report(df: DataFrame, name: str = "frame", min_rows: int = 1, min_co
     if has_target:
         aggs.append(F.count_distinct(F.col(target)).alias("_nt"))
     a = df.agg(*aggs)
-    any_value = F.greatest(*[F.col(f"_nn{i}") for i in range(len(cols))]) if cols else F.lit(0)
+    any_value = F.array_max(F.array(*[F.col(f"_nn{i}") for i in range(len(cols))])) if cols else F.lit(0)
     types = dict(df.dtypes)
     non_numeric = [c for c in cols if c != target and types[c] not in NUMERIC_TYPES]
     missing = [f for f in (required or []) if f not in cols]

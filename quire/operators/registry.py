@@ -7,10 +7,9 @@ registry is appended to, never rewritten; "latest" is an aggregation.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 METRIC_KEYS = [
     "cv_roc_auc", "cv_accuracy", "cv_precision", "cv_recall", "cv_f1", "cv_score_mean",
@@ -84,14 +83,17 @@ def read_csv_registry(spark, path: str) -> DataFrame:
     for k, v in CONFIG_DEFAULTS.items():
         if k not in out.columns:
             out = out.withColumn(k, F.lit(v))
-    return out
+    # CSV cells are text: back to the registry's types (what does not parse becomes NULL)
+    types = {f.name: f.dataType for f in StructType.fromDDL(REGISTRY_SCHEMA).fields}
+    return out.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types and t == "string" else F.col(c)
+                        for c, t in out.dtypes])
 
 
 def latest(reg: DataFrame) -> DataFrame:
     """The newest row by timestamp (yyyyMMdd_HHmmss sorts as text);
     one aggregation, no sort of the registry."""
     cols = [c for c in reg.columns]
-    best = reg.agg(F.max_by(F.struct(*cols), F.col("timestamp")).alias("r")).select("r.*")
+    best = reg.agg(F.max_by(F.struct(*cols), F.col("timestamp")).alias("r")).where("r is not null").select("r.*")
     return best.select(*[F.coalesce(F.col(k), F.lit(CONFIG_DEFAULTS[k])).alias(k) if k in CONFIG_DEFAULTS else F.col(k)
                          for k in cols])
 
@@ -122,13 +124,32 @@ def verify(manifest_df: DataFrame, expected: DataFrame) -> DataFrame:
                     .when(F.col("actual") != F.col("sha256"), "mismatch").otherwise("ok").alias("status"))
 
 
+def _plain_path(c):
+    """A path without its ``file:`` scheme, doubled or trailing slashes."""
+    bare = F.regexp_replace(F.regexp_replace(c, "^file:/*", "/"), "(?<!:)/{2,}", "/")
+    return F.when(F.length(bare) > 1, F.regexp_replace(bare, "/$", "")).otherwise(bare)
+
+
 def resolve_artifacts(latest_row: DataFrame, manifest_df: DataFrame) -> DataFrame:
-    """C14: registry paths joined to the manifest; missing files blanked."""
-    present = manifest_df.select(F.col("path").alias("_p"), F.col("sha256").alias("_s"))
+    """C14: registry paths joined to the manifest; missing artifacts blanked.
+
+    An artifact is a file or a folder of files (MLlib's layout); a folder's
+    checksum is the SHA-256 over its files' names and checksums in order.
+    Scheme and slashes are normalised on both sides."""
+    files = manifest_df.select(_plain_path(F.col("path")).alias("path"), "sha256")
+    wanted = latest_row.select(F.explode(F.array(*[_plain_path(F.col(f"{k}_path")) for k in ("model", "scaler")]))
+                               .alias("_p")).where("_p <> ''").distinct()
+    inside = files.join(F.broadcast(wanted), (F.col("path") == F.col("_p"))
+                        | F.col("path").startswith(F.concat(F.col("_p"), F.lit("/"))))
+    part = F.struct(F.col("path").substr(F.length("_p") + 1, F.length("path")).alias("name"), "sha256")
+    ordered = F.array_sort(F.collect_list(part))
+    present = inside.groupBy("_p").agg(F.when(
+        (F.count(F.lit(1)) == 1) & (F.max(F.col("path") == F.col("_p"))), F.max("sha256")).otherwise(F.sha2(
+            F.array_join(F.transform(ordered, lambda x: F.concat(x["name"], F.lit(" "), x["sha256"])), "\n"), 256)).alias("_s"))
     out = latest_row
     for kind in ("model", "scaler"):
         p = present.withColumnRenamed("_p", f"_p_{kind}").withColumnRenamed("_s", f"_s_{kind}")
-        out = out.join(p, F.col(f"{kind}_path") == F.col(f"_p_{kind}"), "left")
+        out = out.join(p, _plain_path(F.col(f"{kind}_path")) == F.col(f"_p_{kind}"), "left")
         out = out.withColumn(f"{kind}_path", F.when(F.col(f"_p_{kind}").isNull(), F.lit(""))
                              .otherwise(F.col(f"{kind}_path")))
         out = out.withColumn(f"{kind}_checksum", F.coalesce(F.col(f"_s_{kind}"), F.lit("")))
@@ -157,7 +178,3 @@ def pending(new_customers: DataFrame, predictions: DataFrame, key: str = "custom
 def members(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Index-membership filter as a left-semi join."""
     return df.join(keys.select(key), key, "left_semi")
-
-
-def dumps(obj) -> str:
-    return json.dumps(obj)

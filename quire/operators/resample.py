@@ -189,7 +189,8 @@ def smote_family(df: DataFrame, label: str, key: str, vec: str, method: str = "s
     minority neighbours; SMOTENC gives categorical positions the most
     frequent neighbour value instead.  Output adds ``synthetic``.
     """
-    spark = df.sparkSession
+    if method not in ("smote", "adasyn", "smotenc", "borderline"):
+        raise ValueError(f"unknown resampling method {method!r}")
     counts = class_counts(df, label)
     mx = max(counts.values())
     base = df.select(key, label, _vec(vec).alias(vec))

@@ -23,16 +23,16 @@ def screen(groups: Column, order: list[str]) -> Column:
     share of each value, ``k (pct%)`` sorted by k, pct truncated.
     """
     checks = [F.when(F.size(F.map_keys(groups)) == 0, F.lit("Empty answers dictionary"))]
+    numbers = {g: F.transform(groups[g], lambda x: x.cast("string").try_cast("double")) for g in order}
     for g in order:
-        v = groups[g]
+        v = numbers[g]
         checks += [
             F.when(v.isNull() | (F.size(v) == 0), F.lit(f"Invalid or empty list for {g}")),
             F.when(~F.forall(v, lambda x: x.isNotNull()), F.lit(f"Non-integer values in {g}")),
             F.when(~F.forall(v, lambda x: (F.floor(x) >= 1) & (F.floor(x) <= 3)),
                    F.lit(f"Values in {g} must be between 1 and 3")),
         ]
-    vals = F.flatten(F.array(*[F.coalesce(groups[g].cast("array<double>"),
-                                          F.array().cast("array<double>")) for g in order]))
+    vals = F.flatten(F.array(*[F.coalesce(numbers[g], F.array().cast("array<double>")) for g in order]))
     ints = F.transform(vals, lambda x: F.floor(x).cast("int"))
     n = F.size(ints)
     total = F.aggregate(ints, F.lit(0).cast("bigint"), lambda acc, x: acc + x)

@@ -16,29 +16,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.exprs import round_half_even
+from quire.functions.quantiles import exact_quantiles
 
 
 # ------------------------------------------------------------------ A1 - A3
-def profile(df: DataFrame, columns: list[str], approx: bool = False) -> dict:
+def profile(df: DataFrame, columns: list[str]) -> dict:
     """Sample variance, population skewness (g1), quartiles (linear
-    interpolation) and median for every column, in one aggregation.
-
-    ``percentile`` is exact but keeps a value->count map per group: ideal for
-    ordinal data; ``approx=True`` switches continuous columns at scale to
-    ``percentile_approx``.
+    interpolation) and median for every column: the moments in one
+    aggregation, the quartiles by ``exact_quantiles``.
     """
     aggs = []
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
-        q = (F.percentile_approx(x, [0.25, 0.5, 0.75], 100000) if approx
-             else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-        aggs += [F.var_samp(x).alias(f"v{i}"), F.skewness(x).alias(f"s{i}"), q.alias(f"q{i}"),
-                 F.count(x).alias(f"n{i}")]
+        aggs += [F.var_samp(x).alias(f"v{i}"), F.skewness(x).alias(f"s{i}"), F.count(x).alias(f"n{i}")]
     row = df.agg(*aggs).first()
+    quartiles = exact_quantiles(df, columns, (0.25, 0.5, 0.75))
     out = {}
     for i, c in enumerate(columns):
-        q = row[f"q{i}"] or [None, None, None]
-        q1, med, q3 = (None if v is None else float(v) for v in q)
+        q1, med, q3 = quartiles[c]
         iqr = None if q1 is None else q3 - q1
         out[c] = {"var_samp": row[f"v{i}"], "skewness": row[f"s{i}"], "q1": q1, "median": med,
                   "q3": q3, "iqr": iqr,
@@ -97,8 +92,7 @@ def apply_outliers(df: DataFrame, prof: dict, method: str = "median") -> DataFra
     return df.select(*exprs)
 
 
-def remove_outliers(df: DataFrame, columns: list[str], approx: bool = False,
-                    checkpoint_every: int = 4) -> DataFrame:
+def remove_outliers(df: DataFrame, columns: list[str], checkpoint_every: int = 4) -> DataFrame:
     """Column by column, refit on the table left by earlier columns and
     drop its outlier rows; a skewed column (|g1| > 1) takes the median
     treatment instead (rows kept).  Lineage is cut with a reliable
@@ -106,7 +100,7 @@ def remove_outliers(df: DataFrame, columns: list[str], approx: bool = False,
     from quire.session import cut_lineage
     out = df
     for i, c in enumerate(columns):
-        p = profile(out, [c], approx)[c]
+        p = profile(out, [c])[c]
         if p["lower"] is None:
             continue
         if effective_method(p, "remove") == "median":
@@ -271,13 +265,25 @@ def pearson_matrix(spark, df: DataFrame, features: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "feature_i STRING, feature_j STRING, r DOUBLE")
 
 
-def _inv_diag(m: np.ndarray, rcond: float = 1e-10):
-    if m.size == 0:
-        return np.array([]), False
-    cond = np.linalg.cond(m) if np.all(np.isfinite(m)) else np.inf
-    if not np.isfinite(cond) or cond > 1.0 / rcond:
-        return np.full(m.shape[0], np.nan), True
-    return np.diag(np.linalg.inv(m)), False
+def _inv_diag(m: np.ndarray, tol: float = 1e-10) -> np.ndarray:
+    """Diagonal of the inverse of a p x p Gram or correlation matrix.
+
+    Where columns are dependent, 1 / residual share of each column against
+    the others is still finite for the columns that take no part in the
+    dependence; those that do, and columns without variance, are NaN."""
+    out = np.full(m.shape[0], np.nan)
+    scale = np.sqrt(np.where(np.diag(m) > 0, np.diag(m), np.nan))
+    ok = np.nonzero(np.isfinite(scale) & np.isfinite(np.diag(m)))[0]
+    ok = ok[np.isfinite(m[np.ix_(ok, ok)]).all(axis=1)]
+    unit = m[np.ix_(ok, ok)] / np.outer(scale[ok], scale[ok])
+    for i in range(len(ok)):
+        rest = [j for j in range(len(ok)) if j != i]
+        # what the other columns leave unexplained; their own dependence does not matter to lstsq
+        part = np.linalg.lstsq(unit[np.ix_(rest, rest)], unit[rest, i], rcond=tol)[0] if rest else np.zeros(0)
+        left = 1.0 - unit[i, rest] @ part
+        if left > tol:
+            out[ok[i]] = 1.0 / (left * m[ok[i], ok[i]])
+    return out
 
 
 def vif_from_gram(g: dict, subset: list[str] | None = None, intercept: bool = True) -> list[tuple]:
@@ -285,21 +291,20 @@ def vif_from_gram(g: dict, subset: list[str] | None = None, intercept: bool = Tr
     intercept, uncentred R^2): VIF_i = [G^-1]_ii * G_ii with G = X'X.
 
     Subsets are sub-matrices of the one Gram, so selection loops never
-    rescan the data.  Exact collinearity -> (vif NULL, collinear True)."""
+    rescan the data.  Exactly dependent columns get (vif NULL, collinear
+    True); the others keep their finite values."""
     feats = g["features"]
     idx = [feats.index(f) for f in (subset or feats)]
     if intercept:
         m = corr_from_gram(g)[np.ix_(idx, idx)]
-        d, sing = _inv_diag(m)
-        vif = d
+        vif = _inv_diag(m)
     else:
         m = g["raw"][np.ix_(idx, idx)]
-        d, sing = _inv_diag(m)
-        vif = d * np.diag(m)
+        vif = _inv_diag(m) * np.diag(m)
     out = []
     for k, i in enumerate(idx):
         v = vif[k]
-        bad = sing or not np.isfinite(v)
+        bad = not np.isfinite(v)
         out.append((feats[i], None if bad else float(v), bool(bad)))
     return out
 

@@ -159,13 +159,14 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, k: in
 
 
 def select_by_importance(spark, model, features: list[str], max_features: int) -> list[str]:
-    """T5: importance >= mean importance, at most ``max_features``, by
-    descending importance."""
+    """T5: importance >= mean importance, at most ``max_features`` of the
+    most important, in column order."""
     imp = model.featureImportances.toArray()
     mean = float(np.mean(imp))
     ranked = sorted([(f, float(v)) for f, v in zip(features, imp) if v >= mean],
                     key=lambda t: (-t[1], t[0]))
-    return [f for f, _ in ranked[:max_features]]
+    chosen = {f for f, _ in ranked[:max_features]}
+    return [f for f in features if f in chosen]
 
 
 def recursive_elimination(df: DataFrame, features: list[str], label: str, n_keep: int, **kw) -> list[str]:
@@ -183,7 +184,8 @@ def recursive_elimination(df: DataFrame, features: list[str], label: str, n_keep
 def backward_elimination(train: DataFrame, test: DataFrame, features: list[str], label: str,
                          n_rows: int | None = None) -> tuple[list[str], float]:
     """Logistic model; drop the smallest |coefficient| while test ROC
-    AUC does not fall."""
+    AUC does not fall.  Returns the earliest set of the best AUC: a smaller
+    set replaces it only by a strict gain."""
     def auc(feats):
         m = logistic(label, "w", n_rows=n_rows).fit(assemble(train, feats))
         p = probability_of_one(m.transform(assemble(test, feats)))
@@ -191,15 +193,18 @@ def backward_elimination(train: DataFrame, test: DataFrame, features: list[str],
         return m, (a if a is not None else 0.0)
 
     cur = list(features)
-    model, best = auc(cur)
+    model, now = auc(cur)
+    kept, best = cur, now
     while len(cur) > 1:
         coef = np.abs(model.coefficients.toArray())
         cand = cur[:int(np.argmin(coef))] + cur[int(np.argmin(coef)) + 1:]
         m2, a2 = auc(cand)
-        if a2 < best:
+        if a2 < now:
             break
-        cur, model, best = cand, m2, a2
-    return cur, best
+        cur, model, now = cand, m2, a2
+        if now > best:
+            kept, best = cur, now
+    return kept, best
 
 
 def vif_replacement(df: DataFrame, label: str, selected: list[str], pool: list[str],

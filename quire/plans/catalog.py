@@ -396,8 +396,8 @@ from quire.session import ensure_checkpoint_dir  # noqa: E402
 
 # Grid of the registered training queries: the reference's grid shape
 # (trees x depth x min split x two weightings) at a size a query can run.
-QUERY_CFG = dict(n_estimators=[30], max_depth=[5, 10], min_samples_split=[2], n_folds=3,
-                 n_bootstraps=200)
+QUERY_CFG = dict(n_estimators=[30], max_depth=[5, 10], min_samples_split=[2], n_folds=5,
+                 n_bootstraps=500)
 
 
 def _prepared(spark, sf_dir):
@@ -546,11 +546,12 @@ def _two_versions(spark, sf_dir):
     and record both in a registry table (S9); returns (registry, root)."""
     feats = feature_run(spark, sf_dir).features
     df = TR.with_class_weight(feats, "ust", "balanced", "w")
-    chosen = MODEL_FEATURES[:8]
+    chosen = list(MODEL_FEATURES)
     root = _artifact_dir(spark, "registry")
     reg_path = os.path.join(root, "registry")
     s = R.stratified_split(df, "ust", "user_id", 0.2, 42)
     tr, te = s.where(~F.col("is_test")), s.where(F.col("is_test"))
+    folds = R.stratified_folds(tr.drop("is_test"), "ust", "user_id", 5, 42)
     for v, (trees, ts) in enumerate([(10, "20250101_000000"), (20, "20250102_000000")], start=1):
         m = TR.fit_forest(tr, chosen, "ust", n_trees=trees, depth=4)
         mpath = os.path.join(root, "models", f"model_v{v}")
@@ -559,9 +560,14 @@ def _two_versions(spark, sf_dir):
             "pred", E.decide(F.col("p1"), 0.5))
         cm = E.count_metrics(pt, "ust", "pred", 1.0).first()
         auc = E.roc_auc(E.score_cells(pt, "ust", "p1")).first()["roc_auc"]
+        oof = TR.out_of_fold(folds, chosen, "ust", "fold", 5, {"n_trees": trees, "depth": 4}).withColumn(
+            "pred", E.decide(F.col("p1"), 0.5))
+        cvm = E.count_metrics(oof, "ust", "pred", 1.0).first()
+        two = oof.groupBy("fold").agg((F.count_distinct("ust") == 2).alias("two_classes"))
+        cvs = E.cv_summary(E.count_metrics(oof, "ust", "pred", 1.0, by=["fold"]).join(two, "fold"), "f1").first()
         metrics = {"test_accuracy": cm["accuracy"], "test_precision": cm["precision"],
                    "test_recall": cm["recall"], "test_f1": cm["f1"], "test_roc_auc": auc,
-                   "cv_f1": cm["f1"], "cv_score_std": 0.05}
+                   "cv_f1": cvm["f1"], "cv_score_std": cvs["cv_score_std"]}
         imp = sorted(zip(chosen, [float(x) for x in m.featureImportances.toArray()]), key=lambda t: -t[1])
         RG.append(RG.registry_row(spark, metrics, imp, {"model_path": mpath}, ts,
                                   versions={"pyspark": spark.version}), reg_path)
@@ -600,11 +606,8 @@ def c11_c14_artifact_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     man = RG.manifest(spark, os.path.join(root, "models"))
     expected = spark.createDataFrame(man.select("path", "sha256").collect(), "path string, sha256 string")
     ver = RG.verify(man, expected)
-    # C14: the latest row's model path is a directory (MLlib layout): resolve
-    # it against the manifest of its metadata file.
-    last = RG.latest(reg).withColumn("model_path", F.concat(
-        F.lit("file:"), F.col("model_path"), F.lit("/metadata/part-00000")))
-    resolved = RG.resolve_artifacts(last, man).select(
+    # C14: the latest row's model path is a folder (MLlib's layout).
+    resolved = RG.resolve_artifacts(RG.latest(reg), man).select(
         (F.col("model_path") != "").alias("model_found"), (F.length("model_checksum") == 64).alias("checksum_ok"))
     return ver.groupBy("status").agg(F.count(F.lit(1)).alias("files")).join(
         resolved.withColumn("status", F.lit("ok")), "status", "left")

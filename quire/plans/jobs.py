@@ -44,12 +44,16 @@ def load_wide(src: dict, spec: SurveySpec = FK_V1, slug: str = TRAINING_SLUG,
 
 
 def clean(wide: DataFrame, spec: SurveySpec = FK_V1, method: str = "median",
-          fits: dict | None = None) -> DataFrame:
-    """P8 -> P9 -> P10 -> P12 -> P13 (data_cleaning)."""
+          fits: dict | None = None, cached: list | None = None) -> DataFrame:
+    """P8 -> P9 -> P10 -> P12 -> P13 (data_cleaning).
+
+    The frame that is kept in memory is appended to ``cached`` for the caller to release."""
     fits = {} if fits is None else fits
     # The de-duplicated frame feeds several small fits and the final plan:
     # keep it (memory+disk; lost blocks are recomputed from lineage).
     df = dedup_exact(wide).persist(StorageLevel.MEMORY_AND_DISK)
+    if cached is not None:
+        cached.append(df)
     t = spec.target
     nulls = df.agg(F.count_if(F.col(t).isNull()).alias("n")).first()["n"]
     if nulls:
@@ -77,7 +81,8 @@ def feature_run(spark: SparkSession, sf_dir: str, spec: SurveySpec = FK_V1,
     fits: dict = {}
     wide, rejects = load_wide(survey_sources(spark, sf_dir), spec, slug)
     reports = [quality_report(wide, "raw", target=spec.target)]
-    cleaned = clean(wide, spec, method, fits)
+    cached: list = []
+    cleaned = clean(wide, spec, method, fits, cached)
     reports.append(quality_report(cleaned, "cleaned", target=spec.target))
     transformed = transform(cleaned, spec, fits)
     reports.append(quality_report(transformed, "transformed", target=spec.target))
@@ -87,7 +92,8 @@ def feature_run(spark: SparkSession, sf_dir: str, spec: SurveySpec = FK_V1,
     # Stage boundary: the engineered frame is written to the shared
     # checkpoint folder (survives executor loss, keeps later plans small).
     eng = cut_lineage(eng)
-    cleaned.unpersist()
+    for frame in cached:
+        frame.unpersist()
     reports.append(quality_report(eng, "engineered", target=spec.target,
                                   required=spec.engineered_columns()))
     return FeatureRun(eng, rejects, reports, fits)
@@ -117,7 +123,8 @@ def preprocess(features: DataFrame, spec: SurveySpec = FK_V1, method: str = "med
     df = prune_suffixes(features, drop_suffixes)
     feats = [c for c in df.columns if c not in (spec.key, spec.target)]
     prof = S.profile(df, feats)
-    treated = S.apply_outliers(df, prof, method).persist(StorageLevel.MEMORY_AND_DISK)
+    treated = (S.remove_outliers(df, feats) if method == "remove" else S.apply_outliers(df, prof, method)).persist(
+        StorageLevel.MEMORY_AND_DISK)
     scaler = S.fit_scaler(treated, feats)
     scaled = S.apply_scaler(treated, scaler)
     zero = S.zero_variance(scaled, feats)
@@ -137,13 +144,15 @@ def preprocess_and_select(features: DataFrame, spec: SurveySpec = FK_V1, n: int
 
 # ---------------------------------------------------------------------- W3
 def oversample_frame(df: DataFrame, features: list[str], label: str, key: str, method: str,
-                     seed: int = 42) -> DataFrame:
+                     seed: int = 42, categorical: list[str] | None = None) -> DataFrame:
     """R3/R5-R8 on a wide frame: pack the features into a vector column,
-    resample, unpack."""
+    resample, unpack.  ``categorical`` names the columns that SMOTENC does
+    not interpolate."""
     if method == "random":
         return R.oversample_random(df.select(key, label, *features), label, key, seed).drop("synthetic")
     v = df.select(key, label, F.array(*[F.col(f).cast("double") for f in features]).alias("_v"))
-    res = R.smote_family(v, label, key, "_v", method, seed=seed)
+    res = R.smote_family(v, label, key, "_v", method, seed=seed,
+                         categorical_idx=tuple(i for i, f in enumerate(features) if f in (categorical or ())))
     return res.select(key, label, *[F.col("_v")[i].alias(f) for i, f in enumerate(features)])
 
 
@@ -160,7 +169,8 @@ def train_and_evaluate(prepared: DataFrame, selected: list[str], cfg: TR.ModelCo
                                cfg.test_size, cfg.random_state).persist(StorageLevel.MEMORY_AND_DISK)
     train = split.where(~F.col("is_test")).drop("is_test")
     test = split.where(F.col("is_test")).drop("is_test")
-    train = oversample_frame(train, selected, label, key, cfg.oversampling_method, cfg.random_state)
+    train = oversample_frame(train, selected, label, key, cfg.oversampling_method, cfg.random_state,
+                             cfg.categorical_features)
     if cfg.use_undersampling:
         train = R.undersample(train, label, key, cfg.random_state)
     train = R.stratified_folds(train, label, key, cfg.n_folds, cfg.random_state).persist(
@@ -215,29 +225,52 @@ def train_and_evaluate(prepared: DataFrame, selected: list[str], cfg: TR.ModelCo
 
 
 # ---------------------------------------------------------------------- W5
-from quire.operators.answers import payload_to_wide, select_answers, validate_payload, wide_to_groups  # noqa: E402
+from quire.operators.answers import (group_answers_expr, payload_to_wide, select_answers,  # noqa: E402
+                                     validate_payload, wide_to_groups)
 from quire.operators.score import predict, route, scale_for_model, scaling_guard  # noqa: E402
 from quire.operators.screen import approval, screen  # noqa: E402
 from quire.spec import SCORE_DROP_SUFFIXES  # noqa: E402
 
 
-def payload_features(requests: DataFrame, spec: SurveySpec, key: str = "resp_id") -> DataFrame:
-    """W5 up to the model: P25 -> P27 -> P28 -> P15 (as a reject reason) ->
-    C1 -> F1-F6 -> P20 (``_sum`` dropped).  No explode, no shuffle."""
-    sel = [{"group": g, "version": "1"} for g in spec.payload_groups]
-    g = requests.withColumn("_g", select_answers(F.col("answers"), sel))
+def payload_features(requests: DataFrame, spec: SurveySpec, key: str = "resp_id",
+                     screen_on: str | None = None, grouping: str = "versioned") -> DataFrame:
+    """W5 up to the model: P25 or P26 -> P27 -> P28 -> P15 (as a reject
+    reason) -> C1 -> F1-F6 -> P20 (``_sum`` dropped).  No explode, no shuffle.
+
+    ``grouping``: ``versioned`` takes version 1 of each group (P25),
+    ``dynamic`` every non-empty group whatever its version (P26).
+    ``screen_on``: C1 sees the ``recoded`` columns or the ``raw`` answers of
+    all groups; by default raw where a group is not recoded.
+    """
+    if grouping not in ("versioned", "dynamic"):
+        raise ValueError(f"unknown grouping {grouping!r}")
+    if screen_on is None:
+        screen_on = "recoded" if all(c in spec.recode for c in spec.columns) else "raw"
+    if screen_on not in ("raw", "recoded"):
+        raise ValueError(f"unknown screen_on {screen_on!r}")
+    if grouping == "dynamic":
+        g = requests.withColumn("_g", F.expr(group_answers_expr("answers")))
+    else:
+        sel = [{"group": g, "version": "1"} for g in spec.payload_groups]
+        g = requests.withColumn("_g", select_answers(F.col("answers"), sel))
     g = g.withColumn("reject_reason", validate_payload(F.col("_g"), spec.payload_groups))
-    wide = g.select("*", *payload_to_wide(F.col("_g"), spec)).drop("_g", "answers")
+    wide = g.select("*", *payload_to_wide(F.col("_g"), spec)).withColumnRenamed("_g", "_raw").drop("answers")
     in_domain = F.lit(True)
     for c, m in spec.recode.items():
-        in_domain = in_domain & F.col(c).isin(*m.keys())
+        # a missing answer is outside the domain
+        in_domain = in_domain & F.coalesce(F.col(c).isin(*m.keys()), F.lit(False))
     wide = wide.withColumn("reject_reason", F.coalesce(
         F.col("reject_reason"), F.when(~in_domain, F.lit("Data transformation failed"))))
     # recode in place (rows kept; rejected rows carry NULLs)
     rec = wide.select(*[F.when(F.col("reject_reason").isNull(), _recoded(c, spec)).alias(c)
                         if c in spec.recode else F.col(c) for c in wide.columns])
-    s = screen(wide_to_groups(spec, [c for c in spec.columns if c in spec.recode]), spec.stems)
-    rec = rec.withColumn("_s", s).select("*", "_s.screening_passed", "_s.screening_msg").drop("_s")
+    screened = [c for c in spec.columns if screen_on == "raw" or c in spec.recode]
+    stems = list(dict.fromkeys(c.rstrip("0123456789") for c in screened))
+    if screen_on == "raw":
+        rec = rec.withColumn("_s", screen(F.col("_raw"), stems)).drop("_raw")
+    else:
+        rec = rec.withColumn("_s", screen(wide_to_groups(spec, screened), stems)).drop("_raw")
+    rec = rec.select("*", "_s.screening_passed", "_s.screening_msg").drop("_s")
     eng = engineer(rec, spec)
     return prune_suffixes(eng, SCORE_DROP_SUFFIXES)
 
@@ -250,12 +283,18 @@ def _recoded(c: str, spec: SurveySpec):
 
 
 def batch_score(requests: DataFrame, model, scaler: dict, features: list[str],
-                spec: SurveySpec = FK_V1) -> DataFrame:
-    """Route (C8) -> payload features -> C3/C4/C5 -> C6 approval."""
+                spec: SurveySpec = FK_V1, screen_on: str | None = None,
+                grouping: str = "versioned") -> DataFrame:
+    """Route (C8) -> payload features -> C3/C4/C5 -> C6 approval.
+
+    One row for every request: those that go to no spec, or to another one
+    than this model's, are rejected with a reason."""
     routed = route(requests)
-    feats = payload_features(routed.where(F.col("spec") == spec.name), spec)
+    feats = payload_features(routed.where(F.col("spec") == spec.name), spec, screen_on=screen_on,
+                             grouping=grouping)
+    engineered = [c for c in spec.engineered_columns() if c in feats.columns and c not in (spec.key, spec.target)]
     feats = feats.withColumn("reject_reason", F.coalesce(
-        F.col("reject_reason"), scaling_guard(feats, {f: scaler[f] for f in features})))
+        F.col("reject_reason"), scaling_guard(feats, dict.fromkeys([*engineered, *features]))))
     # Stage boundary: the guarded feature rows feed both the scored and the
     # rejected branch; write them once (shared checkpoint folder) instead of
     # planning and computing the wide feature plan twice.
@@ -264,13 +303,15 @@ def batch_score(requests: DataFrame, model, scaler: dict, features: list[str],
     scored = predict(scaled, model, features).withColumn(
         "approval_loan_status", approval(F.col("screening_passed"), F.col("model_prediction")))
     cols = ["resp_id", "application_label", "reject_reason", "screening_passed", "screening_msg",
-            "default_probability", "model_prediction", "adjust_prediction", "approval_loan_status"]
-    unrouted = routed.where(F.col("spec").isNull()).select(
-        "resp_id", "application_label", F.col("route_reason").alias("reject_reason"),
+            "default_probability", "model_prediction", "adjust_prediction", "approval_loan_status", "used_features"]
+    elsewhere = F.concat(F.lit("Routed to "), F.col("spec"))
+    unrouted = routed.where(F.col("spec").isNull() | (F.col("spec") != spec.name)).select(
+        "resp_id", "application_label", F.coalesce("route_reason", elsewhere).alias("reject_reason"),
         *[F.lit(None).cast(t).alias(c) for c, t in (("screening_passed", "boolean"),
                                                     ("screening_msg", "string"),
                                                     ("default_probability", "double"),
                                                     ("model_prediction", "int"),
                                                     ("adjust_prediction", "int"))],
-        F.lit("rejected").alias("approval_loan_status"))
+        F.lit("rejected").alias("approval_loan_status"),
+        F.array(*[F.lit(f) for f in features]).alias("used_features"))
     return scored.select(*cols).unionByName(unrouted)

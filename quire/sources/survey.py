@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import broadcast_if_small
 
 
 def target_expr(status: str = "loan_status"):
@@ -26,9 +25,8 @@ def labelled_load(users: DataFrame, answers: DataFrame, features: DataFrame,
     """S1 (+P1, P2): users LEFT JOIN answers LEFT JOIN features LEFT JOIN
     statuses, WHERE slug and answer are not NULL, the status is eligible and
     the slug is the survey version.  Every predicate rejects NULL right
-    sides, so this equals three inner joins (Catalyst plans them so); the
-    predicates are written on the side they read, which is where Catalyst
-    pushes them anyway.  One row per matching (user, answer, status): a user
+    sides, so this equals three inner joins, written as such with each
+    predicate on the side it reads.  One row per matching (user, answer, status): a user
     with k eligible statuses appears k times.
 
     ``distinct_status`` collapses statuses to distinct (user, target) before
@@ -40,17 +38,12 @@ def labelled_load(users: DataFrame, answers: DataFrame, features: DataFrame,
     if distinct_status:
         st = st.distinct()
     a = answers.select("user_id", "feature_id", "answer").where(F.col("answer").isNotNull())
-    # the feature catalogue: a handful of survey versions, broadcast after a
-    # size check (a shuffle on feature_id would put all answers on ~3 keys)
-    f = broadcast_if_small(
-        features.where(F.col("feature_slug").isNotNull() & (F.col("feature_slug") == slug)))
-    joined = (users.select("user_id")
-              .join(a, "user_id", "left")
-              .join(f.select("feature_id", "feature_slug"), "feature_id", "left")
-              .join(st, "user_id", "left"))
-    keep = (F.col("feature_slug").isNotNull() & F.col("answer").isNotNull()
-            & F.col("ust").isNotNull())
-    return joined.where(keep).select("user_id", "feature_id", "answer", "ust")
+    # answers of this survey version first, so that only they meet the users;
+    # whether the catalogue is broadcast is left to Spark's byte threshold
+    f = features.where(F.col("feature_slug").isNotNull() & (F.col("feature_slug") == slug))
+    chosen = a.join(f.select("feature_id", "feature_slug"), "feature_id")
+    return (chosen.join(users.select("user_id"), "user_id").join(st.where("ust is not null"), "user_id")
+            .select("user_id", "feature_id", "answer", "ust"))
 
 
 def legacy_cohort(users: DataFrame, n_items: int = 11) -> DataFrame:

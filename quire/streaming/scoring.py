@@ -20,11 +20,13 @@ from quire.spec import FK_V1, SurveySpec
 
 
 def _scored_before(spark: SparkSession, out_dir: str, batch_id: int) -> DataFrame | None:
-    """Ids written by other batches (works on any Hadoop filesystem)."""
+    """Ids written by other batches (works on any Hadoop filesystem); none before the first."""
     try:
         done = spark.read.parquet(out_dir)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
     if "batch_id" not in done.columns:
         return None
     return done.where(F.col("batch_id") != batch_id).select("resp_id")
@@ -37,7 +39,7 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, schema, out_dir:
     in micro-batches and stops."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        scored = batch_score(batch, model, scaler, features, spec)
+        scored = batch_score(batch.dropDuplicates(["resp_id"]), model, scaler, features, spec)
         before = _scored_before(batch.sparkSession, out_dir, batch_id)
         if before is not None:
             scored = scored.join(before, "resp_id", "left_anti")
