@@ -71,7 +71,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``spark.checkpoint.dir``) so that jobs read a stored table, as they
     would in production, instead of re-deriving it inside their plans.
     """
-    key = (id(spark._jsparkSession), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MATERIALISED:
         _MATERIALISED[key] = cut_lineage(build_answers(spark, sf_dir))
     return _MATERIALISED[key]
