@@ -164,7 +164,7 @@ def payloads(spark: SparkSession, sf_dir: str, label: str = "rdf50_v3.0_fk_v1.0"
              with_set: bool = False) -> DataFrame:
     """Scoring request table, written once per session (reliable checkpoint)
     so jobs read stored requests rather than re-deriving them in-plan."""
-    key = (id(spark._jsparkSession), sf_dir, "payloads", label, with_set)
+    key = (spark.sparkContext.applicationId, sf_dir, "payloads", label, with_set)
     if key not in _MATERIALISED:
         _MATERIALISED[key] = cut_lineage(build_payloads(spark, sf_dir, label, with_set))
     return _MATERIALISED[key]
