@@ -9,12 +9,19 @@ token is, from a count sketch of fixed size, so frequent values stay out of
 the prefixes.  Lists of one document are skipped.
 
 Inside a list not every pair is formed.  First each document is joined with up
-to ``LEADERS`` leaders of the list; pairs that agree on ``MATCHES``
-coordinates are confirmed on the full texts, and linked documents merge into
-components.  Then only lists that still hold several components are merged
-again: every document outside a list's main component meets all documents of
-other components there.  After that, no pair of different components is left
-untested, so the components are those of all links.
+to ``LEADERS`` leaders of the list.  Pairs that agree on ``MATCHES``
+coordinates make clusters, and those confirmed on the full texts make
+components.  What may still be linked is then merged in two ways:
+
+- inside a cluster of several components, the documents outside its main
+  component are compared with all of the cluster, as sets in blocks of
+  ``BLOCK`` documents.  A block yields a row for each component that a document
+  links to, never one for each pair;
+- lists that hold several clusters are merged again: every document outside a
+  list's main cluster meets all documents of other clusters there.
+
+After that no pair of different components is left untested, so the components
+are those of all links.
 
 Documents with equal sets are one class from the start and linked to its
 least id.
@@ -37,7 +44,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import components, stage, words_of
 
-COORDS, MATCHES, LEADERS, CELLS = 64, 36, 8, 1 << 18
+COORDS, MATCHES, LEADERS, CELLS, BLOCK = 64, 36, 8, 1 << 18, 512
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, COORDS, dtype="uint64") | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, COORDS, dtype="uint64")
@@ -197,6 +204,50 @@ def crossing_pairs(lists: DataFrame, found: DataFrame) -> DataFrame:
             .select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct())
 
 
+def block_links(pdf: pd.DataFrame, size: int, percent: int) -> pd.DataFrame:
+    """Links from the ``outside`` rows of a block to its other rows: one for each component that a document links to."""
+    inner = pdf[~pdf["outside"]]
+    sets = [shingle_set(t, size) for t in inner["text"]]
+    ids, comps = inner["doc_id"].to_numpy(), inner["comp"].to_numpy()
+    sizes = np.array([len(x) for x in sets])
+    # Which members hold each shingle, ordered by shingle.
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    src, dst = [], []
+    outer = pdf[pdf["outside"]]
+    for doc, comp, text in zip(outer["doc_id"], outer["comp"], outer["text"]):
+        mine = shingle_set(text, size)
+        first, after = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+        n = after - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        hit = (100 * both >= percent * (len(mine) + sizes - both)) & (comps != comp)
+        for c in np.unique(comps[hit]):
+            src.append(doc)
+            dst.append(ids[hit & (comps == c)].min())
+    return pd.DataFrame({"src": np.array(src, dtype="int64"), "dst": np.array(dst, dtype="int64")})
+
+
+def cluster_links(clusters: DataFrame, found: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between different components of one cluster, as ``src, dst``."""
+    named = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(
+        found.select(F.col("node").alias("doc_id"), F.col("component").alias("comp")), "doc_id", "left").withColumn(
+        "comp", F.coalesce("comp", "doc_id"))
+    sizes = named.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("cluster").agg(
+        F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("members")).where(
+        "comps > 1").select("cluster", F.col("m.comp").alias("main"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    mixed = stage(docs.join(named.join(main, "cluster"), "doc_id").select(
+        "cluster", "blocks", "doc_id", "comp", "text", (F.col("comp") != F.col("main")).alias("outside")), "clusters")
+    inner = mixed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("outside", F.lit(False))
+    outer = mixed.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["cluster", "block", "doc_id", "comp", "text", "outside"]
+    return inner.select(*columns).unionByName(outer.select(*columns)).groupBy("cluster", "block").applyInPandas(
+        lambda pdf: block_links(pdf, size, percent) if (~pdf["outside"]).any() else pd.DataFrame(
+            {"src": [], "dst": []}, dtype="int64"), "src long, dst long")
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -214,12 +265,14 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     used = first.select(F.col("a").alias("doc_id")).union(first.select(F.col("b").alias("doc_id"))).distinct()
     edges = stage(confirm(first, docs.join(used, "doc_id", "left_semi"), size, percent), "links")
     found = components(edges)
+    clusters = components(first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    inside = cluster_links(clusters, found, docs, size, percent)
 
-    second = stage(agreeing(crossing_pairs(lists, found).join(first, ["a", "b"], "left_anti"), reps, percent), "pairs")
+    second = stage(agreeing(crossing_pairs(lists, clusters).join(first, ["a", "b"], "left_anti"), reps, percent), "pairs")
     used = second.select(F.col("a").alias("doc_id")).union(second.select(F.col("b").alias("doc_id"))).distinct()
-    more = confirm(second, docs.join(used, "doc_id", "left_semi"), size, percent)
+    across = confirm(second, docs.join(used, "doc_id", "left_semi"), size, percent)
     merged = found.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-    found = components(merged.unionByName(more))
+    found = components(merged.unionByName(inside).unionByName(across))
     rep_of = F.coalesce("component", "rep", "doc_id")
     return (keyed.join(found.withColumnRenamed("node", "rep"), "rep", "left")
             .select("doc_id", "n_shingles", rep_of.alias("component_id"), (F.col("doc_id") == rep_of).alias("kept")))
