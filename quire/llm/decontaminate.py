@@ -24,7 +24,8 @@ the order of addition.
 
 Defined cases: null and empty texts, items included, match nothing; a document
 shorter than an item is one window; repeated rows of a doc_id are one document
-with several places; repeated items match each.
+with several places; repeated items match each; rows without a doc_id match
+nothing.
 """
 
 from __future__ import annotations

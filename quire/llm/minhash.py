@@ -28,7 +28,7 @@ least id.
 
 Defined cases: a null or empty text has an empty set and no links; a text of
 one word is one shingle; repeated doc_ids are one node of the graph and one
-output row each.
+output row each; rows without a doc_id are linked by equal sets only.
 """
 
 from __future__ import annotations
@@ -275,4 +275,4 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     found = components(merged.unionByName(inside).unionByName(across))
     rep_of = F.coalesce("component", "rep", "doc_id")
     return (keyed.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("doc_id", "n_shingles", rep_of.alias("component_id"), (F.col("doc_id") == rep_of).alias("kept")))
+            .select("doc_id", "n_shingles", rep_of.alias("component_id"), F.col("doc_id").eqNullSafe(rep_of).alias("kept")))

@@ -22,7 +22,8 @@ Documents without a repeated anchor hold no passage, so no text of theirs is
 streamed.  All comparison that decides is on words; hashes only route.
 
 Defined cases: a null text has no words; texts shorter than a window lose
-nothing; rows that repeat (doc_id included) are copies of each other.
+nothing; rows that repeat (doc_id included) are copies of each other;
+rows without a doc_id are compared with their copies only.
 """
 
 from __future__ import annotations
