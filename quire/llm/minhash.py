@@ -237,15 +237,25 @@ def cluster_links(clusters: DataFrame, found: DataFrame, docs: DataFrame, size:
     sizes = named.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("cluster").agg(
         F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("members")).where(
-        "comps > 1").select("cluster", F.col("m.comp").alias("main"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+        "comps > 1").select("cluster", F.col("m.comp").alias("main"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"),
+                            F.ceil((F.col("members") - F.col("m.n")) / BLOCK).cast("int").alias("outer_blocks"))
     mixed = stage(docs.join(named.join(main, "cluster"), "doc_id").select(
-        "cluster", "blocks", "doc_id", "comp", "text", (F.col("comp") != F.col("main")).alias("outside")), "clusters")
-    inner = mixed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("outside", F.lit(False))
-    outer = mixed.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    columns = ["cluster", "block", "doc_id", "comp", "text", "outside"]
-    return inner.select(*columns).unionByName(outer.select(*columns)).groupBy("cluster", "block").applyInPandas(
-        lambda pdf: block_links(pdf, size, percent) if (~pdf["outside"]).any() else pd.DataFrame(
-            {"src": [], "dst": []}, dtype="int64"), "src long, dst long")
+        "cluster", "blocks", "outer_blocks", "doc_id", "comp", "text", (F.col("comp") != F.col("main")).alias("outside")), "clusters")
+    # Every block of the cluster meets every block of its outside documents.
+    part = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["cluster", "block", "outer_block", "doc_id", "comp", "text", "outside"]
+    inner = (mixed.withColumn("outside", F.lit(False)).withColumn("block", part("blocks"))
+             .withColumn("outer_block", every("outer_blocks")).select(*columns))
+    outer = (mixed.where("outside").withColumn("outer_block", part("outer_blocks"))
+             .withColumn("block", every("blocks")).select(*columns))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["outside"].all():
+            return pd.DataFrame({"src": [], "dst": []}, dtype="int64")
+        return block_links(pdf, size, percent)
+
+    return inner.unionByName(outer).groupBy("cluster", "block", "outer_block").applyInPandas(compare, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:

@@ -73,8 +73,9 @@ def test_components_match_union_find(spark):
     assert common.components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-@pytest.mark.parametrize("size", [2, 5])
-def test_minhash_matches_all_pairs(spark, texts, size):
+@pytest.mark.parametrize("size, block", [(2, 8), (5, 512)])
+def test_minhash_matches_all_pairs(spark, texts, size, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     got = {r["doc_id"]: r for r in minhash.near_duplicates(docs_of(spark, texts), size=size).collect()}
     sets = {}
     for i, t in texts:
