@@ -372,7 +372,7 @@ def test_toxicity_on_held_out_labels(spark):
     for i in range(900):
         words, bad, junk = prose(1000 + i, 60), i % 5 == 0, i % 7 == 0
         if bad:
-            words[r.randrange(60)] = r.choice(["nastyish", "nastyly", "vileness"])
+            words[r.randrange(60)] = r.choice(["nastyish", "nastyly", "nastyous", "nastyful", "nastyard", "vileness"])
         rows.append((i, " ".join(words).upper() if junk else " ".join(words)))
         labels.append((i, int(junk), None if i % 90 == 0 else int(bad)))
     rows += [(1000, None), (1001, ""), (1002, "nastyest thing")]
