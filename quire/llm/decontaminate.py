@@ -9,7 +9,11 @@ its count times a whole-number inverse document frequency over the benchmark.
    the similarity and is dropped.
 2. Where a shared shingle stands as far from the window's start as in the item,
    a window of the item's length is laid (shifted inside the document at its
-   ends).  Windows and items get 64-bit SimHash fingerprints.
+   ends).  Windows and items get 64-bit SimHash fingerprints.  A document may
+   hold the item's parts in another order, so a window is also laid at every
+   other start whose shared shingles, by a running sum over their positions,
+   weigh ``percent`` of the item, or more than the best similarity that the
+   windows above gave the pair: at no other start can more be reached.
 3. Fingerprints are cut into ``RADIUS + 1`` blocks: two that differ in at most
    ``RADIUS`` bits are equal in one block at least, so the join on (item,
    block, value) finds all of them.
@@ -30,7 +34,7 @@ nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import stage
@@ -83,11 +87,37 @@ def benchmark_shingles(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return usable, grams.join(idf, "gram").withColumn("weight", F.col("n") * F.col("idf"))
 
 
+def heavy_starts(docs: DataFrame, pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, item_id, size, start`` of all windows whose shared shingles weigh ``percent`` of the item.
+
+    ``pairs(doc_id, item_id, size, whole, best)``; where ``best`` is given, of those
+    that weigh more than this part of the item.  A shingle at ``pos`` lies in the
+    windows from ``pos - (size - k)`` to ``pos``: its weight is added at the
+    first and taken off behind the last, and the running sum is that of each start.
+    """
+    here = grams.select("item_id", "gram", "k", (F.col("weight") / F.col("n")).cast("long").alias("idf"))
+    spots = (docs.join(pairs, "doc_id").withColumn("words", F.expr(WORDS)).withColumn("k", F.least("size", F.lit(SHINGLE)))
+             .select("doc_id", "item_id", "size", "whole", "best", F.size("words").alias("len"), F.posexplode(shingles("words", "k")).alias("pos", "gram"))
+             .join(small(here), ["item_id", "gram"]))
+    steps = (spots.select("doc_id", "item_id", "size", "whole", "best", "len", F.explode(F.array(
+        F.struct(F.greatest(F.lit(0), F.col("pos") - F.col("size") + F.col("k")).alias("at"), F.col("idf").alias("w")),
+        F.struct((F.col("pos") + 1).alias("at"), (-F.col("idf")).alias("w")))).alias("e"))
+        .groupBy("doc_id", "item_id", "size", "whole", "best", F.col("e.at").alias("at")).agg(F.sum("e.w").alias("w"), F.max("len").alias("len")))
+    pair = Window.partitionBy("doc_id", "item_id")
+    sums = steps.select("doc_id", "item_id", "size", "whole", "best", "at", F.sum("w").over(pair.orderBy("at")).alias("shared"),
+                        F.lead("at").over(pair.orderBy("at")).alias("next"), F.max("len").over(pair).alias("len"))
+    last = F.least(F.col("next") - 1, F.col("len") - F.col("size"))
+    can = F.coalesce(F.col("shared") > F.col("best") * F.col("whole"), 100 * F.col("shared") >= percent * F.col("whole"))
+    return (sums.withColumn("last", last).where(can & (F.col("at") <= F.col("last")))
+            .select("doc_id", "item_id", "size", F.explode(F.sequence("at", "last")).alias("start")))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, *, percent: int = 80) -> DataFrame:
     """``doc_id, item_id, start, similarity``: the items of ``items(item_id, text)`` that documents hold.
 
     ``start`` is the first word (of the stripped text) of the first window that
-    reaches the similarity, ``similarity`` the highest of all windows.
+    reaches the similarity, of those in place with a shared shingle if one of
+    these does; ``similarity`` is the highest of all windows.
     """
     docs = docs.select("doc_id", "text")
     usable, grams = benchmark_shingles(items)
@@ -115,8 +145,20 @@ def contaminated(docs: DataFrame, items: DataFrame, *, percent: int = 80) -> Dat
               .groupBy("doc_id", "item_id", "size")
               .agg(F.sum("weight").alias("shared"), F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
               .join(total, "item_id").where(100 * F.col("shared") >= percent * F.col("whole")))
-    laid = stage(enough.select("doc_id", "item_id", "size", F.explode("starts").alias("start")), "windows")
-
+    enough = stage(enough.select("doc_id", "item_id", "size", "whole", "starts"), "windows")
+    placed = stage(similar(docs, enough.select("doc_id", "item_id", "size", F.explode("starts").alias("start")),
+                           grams, usable, unseen, percent), "placed")
+    # All starts that can reach more.
+    best = placed.select("doc_id", "item_id", F.col("similarity").alias("best"))
+    pairs = enough.drop("starts").join(best, ["doc_id", "item_id"], "left")
+    laid = stage(heavy_starts(docs, pairs, grams, percent), "windows")
+    more = similar(docs, laid, grams, usable, unseen, percent)
+    return (placed.withColumn("placed", F.col("start")).unionByName(more.withColumn("placed", F.lit(None).cast("long")))
+            .groupBy("doc_id", "item_id").agg(F.coalesce(F.min("placed"), F.min("start")).alias("start"), F.max("similarity").alias("similarity")))
+
+
+def similar(docs: DataFrame, laid: DataFrame, grams: DataFrame, usable: DataFrame, unseen: int, percent: int) -> DataFrame:
+    """``doc_id, item_id, start, similarity`` over the windows ``laid(doc_id, item_id, size, start)``."""
     # 2. Windows and their weighted shingles.
     lengths = usable.select("item_id", "k").distinct()
     idf = grams.select("gram", (F.col("weight") / F.col("n")).cast("long").alias("idf")).distinct()

@@ -351,6 +351,39 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs_of(spark, []), items).count() == 0
 
 
+def test_decontamination_of_swapped_parts(spark):
+    """Against all item-sized windows, without fingerprints."""
+    a, b, c = prose(30, 80, 5000), prose(31, 160, 5000), prose(32, 100, 5000)
+    items = [(1, a), (2, b), (3, c), (4, prose(33, 6))]
+    around = lambda i, w: prose(40 + i, 70, 5000) + w + prose(60 + i, 90, 5000)
+    rows = [(1, around(1, a[40:] + a[:40])), (2, around(2, b[80:] + b[:80])), (3, around(3, c[50:75] + c[75:] + c[:50])),
+            (4, around(4, a[40:] + prose(34, 100, 5000) + a[:40])), (5, a[40:] + a[:40]), (6, b[100:] + b[:100] + prose(35, 30, 5000)),
+            (7, around(7, prose(36, 30, 5000) + c[66:] + c[33:66] + c[:33])), (8, around(8, b))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["similarity"]) for r in
+           decontaminate.contaminated(docs_of(spark, [(i, " ".join(w)) for i, w in rows]), df).collect()}
+    grams = lambda w: [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+    held = {}
+    for _, w in items:
+        for g in set(grams(w)):
+            held[g] = held.get(g, 0) + 1
+    weigh = lambda w: {g: grams(w).count(g) * round(1000 * math.log1p(len(items) / held.get(g, 1))) for g in grams(w)}
+    want = {}
+    for (i, w), (j, x) in itertools.product(rows, items):
+        whole = weigh(x)
+        for s in range(len(w) - len(x) + 1):
+            mine = weigh(w[s:s + len(x)])
+            common = sum(min(v, whole.get(g, 0)) for g, v in mine.items())
+            union = sum(mine.values()) + sum(whole.values()) - common
+            if 100 * common >= 80 * union:
+                want.setdefault((i, j), []).append((s, common / union))
+    assert set(got) == set(want) == {(1, 1), (2, 2), (3, 3), (5, 1), (6, 2), (7, 3), (8, 2)}
+    for p in got:
+        assert got[p][1] == pytest.approx(max(x for _, x in want[p]))
+        assert got[p][0] in [s for s, _ in want[p]]
+    assert got[8, 2] == (70, 1.0)
+
+
 def test_fingerprints_within_the_radius_share_a_block(spark):
     r = random.Random(4)
     rows = []
