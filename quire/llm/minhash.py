@@ -64,7 +64,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.zeros(0, dtype="uint64")
-    if len(words) <= size:
+    if len(words) < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], dtype="uint64")
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype="uint64", count=len(words))
     n, out = len(words) - size + 1, np.zeros(len(words) - size + 1, dtype="uint64")

@@ -90,6 +90,14 @@ def test_minhash_matches_all_pairs(spark, texts, size, block, monkeypatch):
     assert len(set(want.values())) < len(want) - 20
 
 
+def test_minhash_texts_of_one_shingle_length(spark):
+    rows = [(1, "same same"), (2, "same same same"), (3, "Same " * 5), (4, "same"), (5, "a b"), (6, "a b a b"), (7, "a b a")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs_of(spark, rows), size=2).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (1, 4), 5: (1, 5), 6: (2, 6), 7: (2, 6)}
+    five = minhash.near_duplicates(docs_of(spark, [(1, "x " * 5), (2, "x " * 9), (3, "x " * 4)]), size=5).collect()
+    assert {r["doc_id"]: r["component_id"] for r in five} == {1: 1, 2: 1, 3: 3}
+
+
 def test_minhash_empty(spark):
     assert minhash.near_duplicates(docs_of(spark, [])).count() == 0
 
