@@ -6,7 +6,11 @@ the longer start of the path.  Both pages become text lines.  A line's
 identity is its text, or for a line inside a menu, notice, advert or the like
 its place in the markup, since templates repeat the place and not always the
 words.  The longest common subsequence of the two lists is what the template
-gave both pages, and these lines are deleted.
+gave both pages, and these lines are deleted.  Copies tell nothing of the
+template: pages in a row of which each has the lines of the one before, or all
+but a few (``COPY``), are one run, and the neighbour is the nearest page of the
+host outside the run.  Where there is none, or where the subsequence would
+leave nothing, markup alone decides.
 
 Differencing alone cannot be right for pages whose article is copied on the
 same host, or that are alone there, so markup has the last word on both sides:
@@ -16,8 +20,10 @@ them.  Where a page has an ``article`` or ``main``, nothing else is kept.
 
 A host with a third of the pages is many ranges.  Range limits come from a
 sample of keys (a bounded number for each range); the last page before and the
-first page after a range are copied into it, so pairing does not depend on the
-limits.  A task holds three pages at a time.
+first page after a range that are no copies of its ends are copied into it, so
+pairing does not depend on the limits.  They are found on hashes of the lines,
+of which the driver gets the two ends of each range.  A task holds a run of
+copies (equal lists of lines once) and a page on both sides.
 
 Defined cases: null or empty html gives an empty text; null urls are a host
 of their own; equal rows are paired like any others; nothing is cut off.
@@ -30,10 +36,12 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +67,8 @@ CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search"
 #: A class like ``with-sidebar`` is on the element beside the sidebar.
 ABOUT = {"with", "without", "has", "no", "not", "show", "hide", "is"}
 TOKENS = re.compile(r"[a-z0-9]+")
+#: Pages are copies if what they share is this percentage of the longer one's characters, boilerplate aside.
+COPY = 95
 #: A tag that the page breaks off in.
 CUT_TAG = re.compile(r"<[/!a-zA-Z][^<>]*\Z")
 
@@ -181,12 +191,106 @@ def main_text(lines: list[tuple[str, str, str]], neighbour: list[tuple[str, str,
         mine = [numbers.setdefault(lines[i][2], len(numbers)) for i in open_]
         theirs = [numbers.setdefault(x[2], len(numbers)) for x in neighbour if x[1] != "article"]
         shared = {open_[i] for i in common_lines(mine, theirs)}
-    left = [x for i, x in enumerate(lines) if i not in shared and x[1] != "chrome"]
+    marked = [x for x in lines if x[1] != "chrome"]
+    left = [x for i, x in enumerate(lines) if i not in shared and x[1] != "chrome"] or marked
     if any(x[1] == "article" for x in left):
         left = [x for x in left if x[1] == "article"]
     return "\n".join(x[0] for x in left)
 
 
+def outline(lines: list[tuple[str, str, str]]) -> tuple[list[int], list[int]] | None:
+    """Hashes and lengths of the lines outside boilerplate; none for a page with an article, which needs no neighbour."""
+    if any(x[1] == "article" for x in lines):
+        return None
+    own = [x for x in lines if x[1] != "chrome"]
+    return [xxhash.xxh3_64_intdigest(x[2].encode("utf-8", "replace")) - (1 << 63) for x in own], [len(x[0]) for x in own]
+
+
+def copies(a: tuple[list[int], list[int]] | None, b: tuple[list[int], list[int]] | None) -> bool:
+    """Whether two outlines are equal or nearly so."""
+    if a is None or b is None or a == b:
+        return a is not None and b is not None
+    least, most = sorted((sum(a[1]), sum(b[1])))
+    if 100 * least < COPY * most:
+        return False
+    numbers: dict[int, int] = {}
+    mine, theirs = ([numbers.setdefault(k, len(numbers)) for k in x[0]] for x in (a, b))
+    return 100 * sum(a[1][i] for i in common_lines(mine, theirs)) >= COPY * most
+
+
+def runs(pages: Iterable, joins) -> Iterator[list]:
+    """``pages`` in runs, of which each page ``joins`` the one before."""
+    run: list = []
+    for page in pages:
+        if run and not joins(run[-1], page):
+            yield run
+            run = []
+        run.append(page)
+    if run:
+        yield run
+
+
+def range_ends(dealt: DataFrame, parts: int) -> list[dict]:
+    """For each range in order its ``first`` and ``last`` page as (host, path, page_id, outline), and the key of the page
+    ``after`` its first and ``before`` its last run, if there is one."""
+    page = "host string, path string, page_id long, keys array<long>, sizes array<int>"
+
+    def outlines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *key, html = (batch.column(c).to_pylist() for c in ("part", "host", "path", "page_id", "html"))
+            found = [outline(page_lines(h)) or (None, None) for h in html]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                [*key, [x[0] for x in found], [x[1] for x in found]], (pa.int32(), pa.string(), pa.string(), pa.int64(), *lists))],
+                names=["part", "host", "path", "page_id", "keys", "sizes"])
+
+    def ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("part", "host", "path", "page_id", "keys", "sizes"))))
+        for part, pages in groupby(rows, lambda r: r[0]):
+            first = last = after = before = None
+            for p in ((*r[1:4], None if r[4] is None else (r[4], r[5])) for r in pages):
+                if first is None:
+                    first = p
+                elif not same_run(last, p):
+                    after, before = after or p, last
+                last = p
+            yield pa.RecordBatch.from_pylist([{"part": part} | {name: p and dict(
+                host=p[0], path=p[1], page_id=p[2], keys=p[3] and p[3][0], sizes=p[3] and p[3][1])
+                for name, p in (("first", first), ("last", last), ("after", after), ("before", before))}], schema)
+
+    lists = (pa.list_(pa.int64()), pa.list_(pa.int32()))
+    fields = pa.struct(list(zip(("host", "path", "page_id", "keys", "sizes"), (pa.string(), pa.string(), pa.int64(), *lists))))
+    schema = pa.schema([("part", pa.int32()), *((n, fields) for n in ("first", "last", "after", "before"))])
+    key = ["part", "host", "path", "page_id"]
+    found = (dealt.select(*key, "html").mapInArrow(outlines, f"part int, {page}").repartition(parts, "part").sortWithinPartitions(*key)
+             .mapInArrow(ends, "part int, " + ", ".join(f"{n} struct<{page.replace(' ', ':').replace(',:', ', ')}>" for n in ("first", "last", "after", "before"))))
+    plain = lambda p: p and (p["host"], p["path"], p["page_id"], None if p["keys"] is None else (list(p["keys"]), list(p["sizes"])))
+    return sorted(({"part": r["part"]} | {n: plain(r[n]) for n in ("first", "last", "after", "before")} for r in found.collect()),
+                  key=lambda r: r["part"])
+
+
+def same_run(x: tuple, y: tuple) -> bool:
+    """Whether two (host, path, page_id, outline) that follow each other are copies on one host."""
+    return x[0] == y[0] and copies(x[3], y[3])
+
+
+def edge_keys(ends: list[dict]) -> list[tuple]:
+    """``(host, path, page_id, part)`` of the nearest page on both sides of each range that is in no run with its end."""
+    joined = [same_run(x["last"], y["first"]) for x, y in zip(ends, ends[1:])]
+    out = []
+    for i, r in enumerate(ends):
+        for j in range(i - 1, -1, -1):
+            found = ends[j]["before"] if joined[j] else ends[j]["last"]
+            if found:
+                out.append((*found[:3], r["part"]))
+                break
+        for j in range(i + 1, len(ends)):
+            found = ends[j]["after"] if joined[j - 1] else ends[j]["first"]
+            if found:
+                out.append((*found[:3], r["part"]))
+                break
+    return out
+
+
 def limits(keys: DataFrame, parts: int, per_part: int = 50) -> list[tuple]:
     """``parts - 1`` keys that cut ``keys(host, path, page_id)`` evenly, from about ``per_part * parts`` sampled rows."""
     n = keys.count()
@@ -208,11 +312,7 @@ def in_ranges(pages: DataFrame) -> DataFrame:
         return pd.Series([bisect_right(cuts, k) for k in zip(host, path, page)], dtype="int32")
 
     dealt = pages.withColumn("part", part_of(*key))
-    ends = sorted(tuple(r) for r in dealt.groupBy("part").agg(
-        F.min(F.struct(*key)).alias("first"), F.max(F.struct(*key)).alias("last")).collect())  # a row for each range
-    copies = [(*new[1], part) for (part, *_), new in zip(ends, ends[1:])] + \
-        [(*old[2], part) for old, (part, *_) in zip(ends, ends[1:])]
-    near = spark.createDataFrame(copies, "host string, path string, page_id long, part int")
+    near = spark.createDataFrame(edge_keys(range_ends(dealt, parts)), "host string, path string, page_id long, part int")
     edges = pages.join(F.broadcast(near), key).dropDuplicates([*key, "part"])
     both = dealt.withColumn("edge", F.lit(False)).unionByName(edges.withColumn("edge", F.lit(True)))
     return both.repartitionByRange(parts, "part").sortWithinPartitions("part", *key, "edge")
@@ -223,27 +323,41 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
+            old = None
             for batch in batches:
                 for *head, html in zip(*(batch.column(c).to_pylist() for c in columns)):
-                    yield (*head, page_lines(html))
-            yield None
+                    lines = page_lines(html)
+                    if lines == old:
+                        lines = old  # copies hold one list
+                    yield (*head, lines, outline(lines))
+                    old = lines
+
+        def joins(x, y) -> bool:
+            return not x[5] and not y[5] and same_run((x[3], None, None, x[7]), (y[3], None, None, y[7]))
 
         def nearness(x, y) -> int:
             same = x is not None and y is not None and x[2:4] == y[2:4]
             return len(os.path.commonprefix([x[4], y[4]])) if same else -1
 
-        before, current, out = None, None, []
-        for after in rows():
-            if current is not None and not current[5]:
-                b, a = nearness(before, current), nearness(current, after)
-                partner = None if max(a, b) < 0 else before if b >= a else after
-                text = main_text(current[6], partner and partner[6])
-                out.append((current[0], current[1], text, len(text)))
-            if len(out) >= 500 or after is None and out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
-                                                 names=["page_id", "url", "text", "n_chars"])
-                out = []
-            before, current = current, after
+        before, current, out = None, [], []
+        for after in chain(runs(rows(), joins), [None]):
+            for page in current:
+                if page[5]:
+                    continue
+                b, a = nearness(before, page), nearness(page, after and after[0])
+                partner = None if max(a, b) < 0 else before if b >= a else after[0]
+                text = main_text(page[6], partner and partner[6])
+                out.append((page[0], page[1], text, len(text)))
+                if len(out) >= 500:
+                    yield to_batch(out)
+                    out = []
+            before, current = current[-1] if current else None, after
+        if out:
+            yield to_batch(out)
+
+    def to_batch(out) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)],
+                                          names=["page_id", "url", "text", "n_chars"])
 
     columns = ("page_id", "url", "part", "host", "path", "edge", "html")
     types = (pa.int64(), pa.string(), pa.string(), pa.int64())

@@ -317,6 +317,20 @@ def test_html_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_text_of_copies_without_article(spark):
+    body = lambda words, more="": "<div><p>Template line</p>" + "".join(f"<p>{w} {w}</p>" for w in words) + f"{more}</div>"
+    want = lambda words: "\n".join(f"{w} {w}" for w in words)
+    a, b, c = ([f"{x}{w}" for w in prose(70 + i, 30, 5000)] for i, x in enumerate("abc"))
+    rows = [(i, f"http://a.org/x/{i:03}", PAGE.format(n=i, body=body(a))) for i in range(60)]  # one group, many ranges
+    rows += [(i, f"http://a.org/x/{i:03}", PAGE.format(n=i, body=body(b, f"<p>{i}</p>"))) for i in range(60, 90)]  # nearly equal
+    rows += [(90, "http://a.org/y", PAGE.format(n=90, body=body(c)))]
+    rows += [(i, f"http://b.org/{i}", PAGE.format(n=i, body=body(c))) for i in range(100, 120)]  # nothing else on the host
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert got == {i: want(a) for i in range(60)} | {i: want(b) + f"\n{i}" for i in range(60, 90)} | {90: want(c)} | {
+        i: "Template line\n" + want(c) for i in range(100, 120)}
+
+
 def test_common_lines_is_longest():
     r = random.Random(0)
     for _ in range(500):
