@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quire.llm import q_decontaminate, q_embeddings, q_html_text, q_minhash, q_packing, q_substrings, q_token_files, q_toxicity, q_url_filter, q_warc
+from quire.llm import (
+    q_decontaminate, q_embeddings, q_html_text, q_minhash, q_packing, q_periodic_runs, q_substrings, q_token_files,
+    q_toxicity, q_url_filter, q_warc)
 
 QUERIES = {
     "op1_url_filter": q_url_filter.op1_url_filter,
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_substrings": q_substrings.op8_substrings,
     "op9_packing": q_packing.op9_packing,
     "op10_warc": q_warc.op10_warc,
+    "op11_periodic_runs": q_periodic_runs.op11_periodic_runs,
 }
 
 ORACLE = {
@@ -24,4 +27,5 @@ ORACLE = {
     "op6_embeddings": q_embeddings.ORACLE,
     "op8_substrings": q_substrings.ORACLE,
     "op10_warc": q_warc.ORACLE,
+    "op11_periodic_runs": q_periodic_runs.ORACLE,
 }
