@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quire.llm import (
     q_decontaminate, q_embeddings, q_html_text, q_minhash, q_packing, q_periodic_runs, q_substrings, q_token_files,
-    q_toxicity, q_url_filter, q_warc)
+    q_toxicity, q_url_filter, q_warc, q_whitening)
 
 QUERIES = {
     "op1_url_filter": q_url_filter.op1_url_filter,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_packing": q_packing.op9_packing,
     "op10_warc": q_warc.op10_warc,
     "op11_periodic_runs": q_periodic_runs.op11_periodic_runs,
+    "op12_whitening": q_whitening.op12_whitening,
 }
 
 ORACLE = {
