@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from quire.llm import (
-    q_decontaminate, q_embeddings, q_html_text, q_minhash, q_packing, q_periodic_runs, q_substrings, q_token_files,
-    q_toxicity, q_url_filter, q_warc, q_whitening)
+    q_decontaminate, q_embeddings, q_html_text, q_minhash, q_packing, q_periodic_runs, q_quality, q_substrings,
+    q_token_files, q_toxicity, q_url_filter, q_warc, q_whitening)
 
 QUERIES = {
     "op1_url_filter": q_url_filter.op1_url_filter,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_warc": q_warc.op10_warc,
     "op11_periodic_runs": q_periodic_runs.op11_periodic_runs,
     "op12_whitening": q_whitening.op12_whitening,
+    "op13_quality": q_quality.op13_quality,
 }
 
 ORACLE = {
