@@ -4,18 +4,22 @@ Inputs are (label 0/1, score) rows, optionally with a row weight and a
 grouping column (fold, bootstrap replicate).  Count metrics are conditional
 sums in one aggregation.  Curve metrics compress rows to one cell per
 distinct score first; cumulative counts then come from a prefix sum over
-the cells (bucketed when scores are continuous), never from a window over
+ranges of the cells, as many as their number asks for, never from a window over
 raw rows.
 """
 
 from __future__ import annotations
 
-import math
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.prefix import PART, PART_ROWS, lay_out, prefix_sums, sums_before
+from quire.session import cut_lineage
+
 METRICS = ("accuracy", "precision", "recall", "f1")
 
 
@@ -65,49 +69,18 @@ def score_cells(df: DataFrame, label: str = "label", score: str = "score", weigh
         F.sum(F.when(y == 0, w).otherwise(0.0)).alias("neg"))
 
 
-def prefix_below(cells: DataFrame, by: list[str], order: str, cols: list[str],
-                 buckets: int = 1) -> DataFrame:
-    """Adds ``{c}_below`` = sum of ``c`` over rows of the same ``by`` group
-    with a smaller ``order`` value (exclusive prefix sum).
-
-    ``buckets > 1``: order-preserving buckets from approximate quantiles;
-    bucket totals get a window over (groups x buckets) rows, the exact part
-    is a window partitioned by (group, bucket) - no task sees a whole group.
-    """
-    if buckets <= 1:
-        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return cells.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0.0)).alias(f"{c}_below")
-                                   for c in cols])
-    probs = [i / buckets for i in range(1, buckets)]
-    keys = by or []
-    src = cells if keys else cells.withColumn("_g", F.lit(0))
-    keys = keys or ["_g"]
-    # quantile cut points: (groups x buckets) values, broadcast
-    bounds = src.groupBy(*keys).agg(F.percentile_approx(order, probs, 10000).alias("_b"))
-    b = (src.join(F.broadcast(bounds), keys)
-         .withColumn("_bk", F.size(F.filter("_b", lambda t: t < F.col(order)))).drop("_b"))
-    tot = b.groupBy(*keys, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    wb = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*keys, "_bk", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0.0)).alias(f"_o_{c}")
-                                     for c in cols])
-    wi = Window.partitionBy(*keys, "_bk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    j = b.join(off, [*keys, "_bk"])
-    return j.select(*cells.columns, *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(wi), F.lit(0.0)))
-                                      .alias(f"{c}_below") for c in cols])
-
-
-def roc_auc(cells: DataFrame, by: list[str] | None = None, buckets: int = 16) -> DataFrame:
+def roc_auc(cells: DataFrame, by: list[str] | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """Mann-Whitney AUC with ties counted half, from score cells:
     sum_c pos_c * (neg below c + neg_c / 2) / (P * N); NULL for one class."""
     by = by or []
-    c = prefix_below(cells, by, "score", ["neg"], buckets)
+    c = prefix_sums(cells, by, "score", ["neg"], part_rows)
     g = c.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)).alias("u"),
                            F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return g.select(*by, F.when((F.col("P") > 0) & (F.col("N") > 0),
                                 F.col("u") / (F.col("P") * F.col("N"))).alias("roc_auc"))
 
 
-def pr_auc(cells: DataFrame, by: list[str] | None = None, buckets: int = 16) -> DataFrame:
+def pr_auc(cells: DataFrame, by: list[str] | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """E5: trapezoid area under the precision-recall curve with the end
     point (recall 0, precision 1); thresholds are the distinct scores.
 
@@ -117,9 +90,9 @@ def pr_auc(cells: DataFrame, by: list[str] | None = None, buckets: int = 16) ->
     out_by = by or []
     if not by:
         cells, by = cells.withColumn("_g", F.lit(0)), ["_g"]
-    c = prefix_below(cells, by, "score", ["pos", "neg"], buckets)
+    c = cut_lineage(prefix_sums(cells, by, "score", ["pos", "neg"], part_rows))
     # per-group totals: one row per group, joined back on the group key
-    tot = c.join(cells.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")), by)
+    tot = c.join(c.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")), by)
     tp = F.col("P") - F.col("pos_below")
     fp = F.col("N") - F.col("neg_below")
     ptp, pfp = tp - F.col("pos"), fp - F.col("neg")
@@ -182,81 +155,115 @@ def sanitise(c: Column) -> Column:
 
 
 # ------------------------------------------------------------------ E8 / E9
-def _u(*parts: Column) -> Column:
-    """Uniform (0, 1) from a 64-bit hash of the parts."""
-    h = F.xxhash64(*parts)
-    return (F.pmod(h, F.lit(2 ** 52)).cast("double") + 0.5) / float(2 ** 52)
-
-
-POISSON_PART = 32
-
-
-def _poisson_table(mean: float) -> list[float]:
-    """Cumulative Poisson probabilities up to where they reach 1 in double precision."""
-    out, p, c, k = [], math.exp(-mean), math.exp(-mean), 0
-    while p > 1e-18 or k < mean:
-        out.append(c)
-        k += 1
-        p *= mean / k
-        c += p
-    return out
-
-
-def poisson_count(m: Column, seed: int, *key: Column) -> Column:
-    """Draw Poisson(m) for a cell of m rows: the bootstrap multiplicity of m
-    rows each drawn Poisson(1) times is Poisson(m).
-
-    One exact method for every m: the cell is split into independent parts
-    of mean ``POISSON_PART`` and a smaller rest, each drawn by inverse CDF,
-    and the draws are added."""
-    table = F.array(*[F.lit(c) for c in _poisson_table(POISSON_PART)])
-    parts = F.floor(m / POISSON_PART).cast("int")
-    rest = m - parts * POISSON_PART
-    whole = F.when(parts > 0, F.aggregate(
-        F.sequence(F.lit(1), F.greatest(parts, F.lit(1))), F.lit(0),
-        lambda acc, i: acc + F.size(F.filter(table, lambda c: c < _u(F.lit(seed), *key, i)))))
-    u = _u(F.lit(seed), *key, F.lit(0))
-    init = F.struct(F.lit(0).alias("k"), F.exp(-rest).alias("p"), F.exp(-rest).alias("c"))
-    # the rest's mean is below POISSON_PART, so its table ends before that one's
-    last = F.aggregate(
-        F.sequence(F.lit(1), F.lit(len(_poisson_table(POISSON_PART)))), init,
-        lambda acc, i: F.when(acc["c"] < u, F.struct(
-            i.alias("k"), (acc["p"] * rest / i).alias("p"), (acc["c"] + acc["p"] * rest / i).alias("c")))
-        .otherwise(acc))["k"]
-    return F.coalesce(whole, F.lit(0)) + last
+#: Cells of one range in the bootstrap, and distinct scores whose replicates a task holds at once.
+BOOT_ROWS, BOOT_BLOCK = 50_000, 256
+COUNTS = ("tp", "fp", "tn", "fn")
+
+
+def poisson_counts(rows: float, key: int, seed: int, n: int) -> np.ndarray:
+    """``n`` draws of Poisson(rows): how often a cell of so many rows is drawn in ``n`` replicates.
+
+    Rows drawn Poisson(1) times each come to Poisson(rows) in all.  The generator is a counter
+    hashed with (key, seed), so a cell's draws do not depend on its task; the sampler is
+    transformed rejection, whose time does not grow with ``rows``.
+    """
+    mask = (1 << 64) - 1
+    return np.random.Generator(np.random.Philox(key=[key & mask, seed & mask])).poisson(rows, n).astype("float64")
+
+
+def replicate_blocks(cells: pd.DataFrame, n_boot: int, seed: int):
+    """Blocks of a range's distinct scores, rising: class counts (pos, neg: scores x replicates) and the confusion counts."""
+    cells = cells.sort_values(["score", "label", "pred"], kind="stable")
+    score, label, pred = (cells[c].to_numpy() for c in ("score", "label", "pred"))
+    first = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]])) if len(score) else np.zeros(0, "int64")
+    ends = np.append(first, len(score))
+    for at in range(0, len(first), BOOT_BLOCK):
+        lo, hi = ends[at], ends[min(at + BOOT_BLOCK, len(first))]
+        w = np.stack([poisson_counts(m, k, seed, n_boot) for m, k in zip(cells["m"].iloc[lo:hi], cells["key"].iloc[lo:hi])])
+        y, p, starts = label[lo:hi] == 1, pred[lo:hi] == 1, first[at:at + BOOT_BLOCK] - lo
+        yield (np.add.reduceat(w * y[:, None], starts), np.add.reduceat(w * ~y[:, None], starts),
+               {"tp": w[y & p].sum(axis=0), "fp": w[~y & p].sum(axis=0), "tn": w[~y & ~p].sum(axis=0), "fn": w[y & ~p].sum(axis=0)})
+
+
+def replicate_totals(laid: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """``PART, b`` with confusion counts and ``u``, the pairs (positive above negative, ties half) inside the range."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, below, u = {c: np.zeros(n_boot) for c in COUNTS}, np.zeros(n_boot), np.zeros(n_boot)
+        for pos, neg, counts in replicate_blocks(pdf, n_boot, seed):
+            under = below + np.cumsum(neg, axis=0) - neg
+            u += (pos * (under + neg / 2)).sum(axis=0)
+            below = below + neg.sum(axis=0)
+            for c in COUNTS:
+                out[c] += counts[c]
+        return pd.DataFrame({PART: int(pdf[PART].iloc[0]), "b": np.arange(n_boot), **out, "u": u})
+
+    return laid.groupBy(PART).applyInPandas(run, f"{PART} int, b int, " + ", ".join(f"{c} double" for c in (*COUNTS, "u")))
+
+
+def replicate_areas(laid: DataFrame, before: DataFrame, n_boot: int, seed: int) -> DataFrame:
+    """``b, area``: each range's part of the area under the precision-recall curve.
+
+    ``before`` holds, for each range and replicate, the counts of lower ranges (``pos``, ``neg``) and all (``P``, ``N``).
+    """
+
+    def run(cells: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values("b")
+        p_left, n_left = (known[a].to_numpy() - known[b].to_numpy() for a, b in (("P", "pos"), ("N", "neg")))
+        total, area = known["P"].to_numpy(), np.zeros(n_boot)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for pos, neg, _ in replicate_blocks(cells, n_boot, seed):
+                tp, fp = p_left - (np.cumsum(pos, axis=0) - pos), n_left - (np.cumsum(neg, axis=0) - neg)
+                above_tp, above_fp = tp - pos, fp - neg
+                here = np.where(tp + fp > 0, tp / (tp + fp), 1.0)
+                higher = np.where(above_tp + above_fp > 0, above_tp / (above_tp + above_fp), 1.0)
+                # A score that no row of the replicate has is no point of its curve: pos = 0 adds nothing.
+                area += (pos / total * (here + higher) / 2).sum(axis=0)
+                p_left, n_left = above_tp[-1], above_fp[-1]
+        return pd.DataFrame({"b": np.arange(n_boot), "area": area})
+
+    return (laid.groupBy(PART).cogroup(before.groupBy(PART)).applyInPandas(run, "b int, area double"))
 
 
 def bootstrap_ci(df: DataFrame, label: str = "label", score: str = "score", pred: str = "pred",
                  n_boot: int = 500, alpha: float = 0.05, seed: int = 42, with_accuracy: bool = False,
-                 widen_equal: float = 0.0) -> DataFrame:
-    """E8 (E9 with ``with_accuracy`` and ``widen_equal=0.01``): percentile CI
+                 with_pr_auc: bool = True, widen_equal: float = 0.0, part_rows: int = BOOT_ROWS) -> DataFrame:
+    """E8 (E9 with ``with_accuracy``, ``with_pr_auc=False`` and ``widen_equal=0.01``): percentile CI
     of precision, recall, F1 (zero division 0), ROC AUC and PR AUC over
     Poisson bootstrap replicates.
 
-    Rows are first compressed to (score, label, pred) cells; each replicate
-    draws a Poisson count per cell, so the work is cells x replicates, not
-    rows x replicates.  Replicates with one class are skipped; fewer than 10
+    Rows are first compressed to (score, label, pred) cells, laid out in ranges of scores.  A cell draws its
+    counts in all replicates at once (``poisson_counts``), so the work is cells x
+    replicates whatever the number of rows; prefix sums run along the cells for all
+    replicates together.  The second curve needs what lies below a range and draws again, with the same
+    result.  Replicates with one class are skipped; fewer than 10
     valid replicates, fewer than 10 rows or a single class give 0 bounds.
     """
-    cells = df.groupBy(F.col(score).cast("double").alias("score"), F.col(label).alias("label"),
-                       F.col(pred).alias("pred")).agg(F.count(F.lit(1)).cast("double").alias("m"))
-    # every cell appears once per replicate (cells x n_boot rows, generated)
-    drawn = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    drawn = drawn.withColumn("w", poisson_count(F.col("m"), seed, F.col("b"), F.col("score"),
-                                                F.col("label"), F.col("pred")).cast("double"))
-    drawn = drawn.where(F.col("w") > 0)
-    cm = count_metrics(drawn, "label", "pred", 0.0, weight="w", by=["b"])
-    sc = score_cells(drawn, "label", "score", weight="w", by=["b"])
-    per = (cm.join(roc_auc(sc, ["b"]), "b").join(pr_auc(sc, ["b"]), "b")
-           .where((F.col("tp") + F.col("fn") > 0) & (F.col("fp") + F.col("tn") > 0)))
-    names = (["accuracy"] if with_accuracy else []) + ["precision", "recall", "f1", "roc_auc", "pr_auc"]
+    cells = (df.select(F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("label"),
+                       F.col(pred).cast("int").alias("pred")).where(F.col("label").isin(0, 1))
+             .groupBy("score", "label", "pred").agg(F.count(F.lit(1)).cast("double").alias("m"))
+             .withColumn("key", F.xxhash64("score", "label", "pred")))
+    laid = lay_out(cells, ["score"], part_rows)
+    totals = cut_lineage(replicate_totals(laid, n_boot, seed))
+    tp, fp, tn, fn = (F.col(c) for c in COUNTS)
+    classes = totals.select(PART, "b", (tp + fn).alias("pos"), (fp + tn).alias("neg"))
+    before = sums_before(classes, ["b"], ["pos", "neg"])
+    pairs = totals.join(before, [PART, "b"]).groupBy("b").agg(
+        *[F.sum(c).alias(c) for c in COUNTS], F.sum(F.col("u") + (tp + fn) * F.col("neg")).alias("u"))
+    per = pairs.where((tp + fn > 0) & (fp + tn > 0)).select(
+        "b", *metric_columns(0.0), (F.col("u") / ((tp + fn) * (fp + tn))).alias("roc_auc"))
+    if with_pr_auc:
+        whole = classes.groupBy("b").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+        areas = replicate_areas(laid, before.join(whole, "b"), n_boot, seed)
+        per = per.join(areas.groupBy("b").agg(F.sum("area").alias("pr_auc")), "b")
+    names = (["accuracy"] if with_accuracy else []) + ["precision", "recall", "f1", "roc_auc"] + (["pr_auc"] if with_pr_auc else [])
     lo_p, hi_p = alpha / 2, 1 - alpha / 2
     aggs = [F.count(F.lit(1)).alias("valid")]
     for m in names:
         aggs += [F.percentile(m, lo_p).alias(f"{m}_lo"), F.percentile(m, hi_p).alias(f"{m}_hi"),
                  F.count(m).alias(f"{m}_n")]
     agg = per.agg(*aggs)
-    base = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(label).alias("n_classes"))
+    base = laid.agg(F.sum("m").alias("n_rows"), F.count_distinct("label").alias("n_classes"))
     j = agg.withColumn("_g", F.lit(0)).join(base.withColumn("_g", F.lit(0)), "_g")
     out = []
     ok = (F.col("n_rows") >= 10) & (F.col("n_classes") >= 2)

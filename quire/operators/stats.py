@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.exprs import round_half_even
+from quire.functions.prefix import PART_ROWS, prefix_sums
 from quire.functions.quantiles import exact_quantiles
+from quire.session import cut_lineage
 
 
 # ------------------------------------------------------------------ A1 - A3
@@ -167,42 +169,25 @@ def pearson_vs_target(df: DataFrame, features: list[str], target: str) -> DataFr
     return a.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def midranks(counts: DataFrame, part: str, value: str, n: str = "n", buckets: int = 1) -> DataFrame:
+def midranks(counts: DataFrame, part: str, value: str, n: str = "n", part_rows: int = PART_ROWS) -> DataFrame:
     """Exact average ranks of distinct values within each ``part``.
 
-    ``counts`` holds one row per (part, value) with its multiplicity ``n``.
-    With ``buckets > 1`` values are cut into order-preserving buckets by
-    approximate quantiles; bucket totals (buckets rows per part) get a small
-    window, and the exact prefix inside each bucket is a window partitioned
-    by (part, bucket) - so no single task holds a whole column.
+    ``counts`` holds one row per (part, value) with its multiplicity ``n``; the running
+    counts go by ranges of bounded size, so no task holds a whole column.
     Rank = (#rows with smaller value) + (n + 1) / 2.
     """
-    if buckets <= 1:
-        w = Window.partitionBy(part).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.withColumn("below", F.coalesce(F.sum(n).over(w), F.lit(0))).withColumn(
-            "rank", F.col("below") + (F.col(n) + 1) / 2.0)
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = counts.groupBy(part).agg(F.percentile_approx(value, probs, 10000).alias("_b"))
-    b = (counts.join(F.broadcast(bounds), part)
-         .withColumn("_bucket", F.size(F.filter("_b", lambda t: t < F.col(value)))).drop("_b"))
-    tot = b.groupBy(part, "_bucket").agg(F.sum(n).alias("_bt"))
-    wb = Window.partitionBy(part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.withColumn("_off", F.coalesce(F.sum("_bt").over(wb), F.lit(0))).drop("_bt")
-    wi = Window.partitionBy(part, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (b.join(off, [part, "_bucket"])
-            .withColumn("below", F.col("_off") + F.coalesce(F.sum(n).over(wi), F.lit(0)))
-            .withColumn("rank", F.col("below") + (F.col(n) + 1) / 2.0)
-            .drop("_off", "_bucket"))
-
-
-def spearman_vs_target(df: DataFrame, features: list[str], target: str, buckets: int = 1) -> DataFrame:
+    return prefix_sums(counts, [part], value, [n], part_rows).withColumnRenamed(f"{n}_below", "below").withColumn(
+        "rank", F.col("below") + (F.col(n) + 1) / 2.0)
+
+
+def spearman_vs_target(df: DataFrame, features: list[str], target: str, part_rows: int = PART_ROWS) -> DataFrame:
     """Spearman rho (average ranks on ties) of each feature with the
     target, computed as the weighted Pearson r of mid-ranks over the
     compressed (feature, x, y, count) cells."""
-    cells = _long(df, features, target).groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    cells = cut_lineage(_long(df, features, target).groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n")))
     xr = midranks(cells.groupBy("feature", "x").agg(F.sum("n").alias("n")), "feature", "x",
-                  buckets=buckets).select("feature", "x", F.col("rank").alias("rx"))
-    yr = midranks(cells.groupBy("feature", "y").agg(F.sum("n").alias("n")), "feature", "y").select(
+                  part_rows=part_rows).select("feature", "x", F.col("rank").alias("rx"))
+    yr = midranks(cells.groupBy("feature", "y").agg(F.sum("n").alias("n")), "feature", "y", part_rows=part_rows).select(
         "feature", "y", F.col("rank").alias("ry"))
     j = cells.join(xr, ["feature", "x"]).join(yr, ["feature", "y"])
     n = F.sum("n")
@@ -218,11 +203,11 @@ def spearman_vs_target(df: DataFrame, features: list[str], target: str, buckets:
                                       cov / F.sqrt(vx * vy)).alias("spearman"))
 
 
-def correlation_table(df: DataFrame, features: list[str], target: str, buckets: int = 1) -> DataFrame:
+def correlation_table(df: DataFrame, features: list[str], target: str, part_rows: int = PART_ROWS) -> DataFrame:
     """(feature, pearson, spearman); constant features get NULLs.
     Callers order with ``orderBy(desc_nulls_last('pearson'), 'feature')``."""
     p = pearson_vs_target(df, features, target)
-    s = spearman_vs_target(df, features, target, buckets)
+    s = spearman_vs_target(df, features, target, part_rows)
     return p.join(s, "feature", "left").select(
         "feature", "pearson", F.when(F.col("pearson").isNotNull(), F.col("spearman")).alias("spearman"))
 

@@ -135,7 +135,7 @@ def grid_search(df: DataFrame, features: list[str], label: str, cfg: ModelConfig
                 .addGrid(rf.minInstancesPerNode, sorted({max(1, (s + 1) // 2) for s in cfg.min_samples_split}))
                 .build())
         cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=scorer(cfg.scoring, label),
-                            foldCol=fold, parallelism=parallelism, seed=cfg.random_state)
+                            numFolds=cfg.n_folds, foldCol=fold, parallelism=parallelism, seed=cfg.random_state)
         m = cv.fit(data)
         for pm, score in zip(grid, m.avgMetrics):
             results.append(({p.name: v for p, v in pm.items()} | {"weight": wcol}, float(score)))

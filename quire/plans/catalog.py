@@ -147,7 +147,7 @@ def a12_spearman_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefix sum (no whole-column window)."""
     df = table(spark, sf_dir, "lineitem").select(
         *LI, (F.col("l_returnflag") == "R").cast("int").alias("label"))
-    return S.correlation_table(df, LI, "label", buckets=16)
+    return S.correlation_table(df, LI, "label")
 
 
 @register("a14_pearson_matrix", O.pearson_matrix_sql())
@@ -307,7 +307,8 @@ def e8_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("e9_bootstrap_ci_wide")
 def e9_bootstrap_ci_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1000 replicates, accuracy included, equal bounds widened by 0.01."""
-    return E.bootstrap_ci(_scores(spark, sf_dir), n_boot=1000, with_accuracy=True, widen_equal=0.01)
+    return E.bootstrap_ci(_scores(spark, sf_dir), n_boot=1000, with_accuracy=True, with_pr_auc=False,
+                          widen_equal=0.01)
 
 
 @register("e10_class_report", O.class_report_sql())

@@ -89,8 +89,8 @@ def test_correlations_match_pandas(spark):
     ints = pdf.copy()
     ints["x3"] = np.round(ints["x3"])
     dfi = spark.createDataFrame(ints)
-    for frame, p, buckets in ((df, pdf, 1), (dfi, ints, 1), (df, pdf, 4)):
-        got = {r["feature"]: r for r in S.correlation_table(frame, ["x0", "x3", "c"], "y", buckets).collect()}
+    for frame, p, part_rows in ((df, pdf, 10 ** 6), (dfi, ints, 10 ** 6), (df, pdf, 60)):
+        got = {r["feature"]: r for r in S.correlation_table(frame, ["x0", "x3", "c"], "y", part_rows).collect()}
         for c in ("x0", "x3"):
             assert got[c]["pearson"] == pytest.approx(p[c].corr(p["y"]), rel=1e-9)
             rho = p[c].rank().corr(p["y"].rank())  # Spearman = Pearson of average ranks
@@ -165,8 +165,9 @@ def test_curves_match_bruteforce(spark):
     pos, neg = s[y == 1], s[y == 0]
     auc = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
     assert E.roc_auc(cells).first()["roc_auc"] == pytest.approx(auc, rel=1e-12)
-    assert E.roc_auc(cells, buckets=4).first()["roc_auc"] == pytest.approx(auc, rel=1e-12)
-    assert E.pr_auc(cells).first()["pr_auc"] == pytest.approx(_sk_pr_auc(y, s), rel=1e-12)
+    assert E.roc_auc(cells, part_rows=3).first()["roc_auc"] == pytest.approx(auc, rel=1e-12)
+    for part_rows in (10 ** 6, 3):
+        assert E.pr_auc(cells, part_rows=part_rows).first()["pr_auc"] == pytest.approx(_sk_pr_auc(y, s), rel=1e-12)
 
 
 def test_count_metrics_zero_division(spark):
@@ -194,12 +195,60 @@ def test_bootstrap_deterministic_and_bounded(spark):
     assert E.bootstrap_ci(tiny, n_boot=20).first()["f1_ci_upper"] == 0.0
 
 
-def test_poisson_draw_mean(spark):
-    df = spark.range(4000).select(E.poisson_count(F.lit(3.0), 1, F.col("id")).alias("k"),
-                                  E.poisson_count(F.lit(400.0), 1, F.col("id")).alias("big"))
-    r = df.agg(F.avg("k"), F.var_pop("k"), F.avg("big")).first()
-    assert r[0] == pytest.approx(3.0, rel=0.08) and r[1] == pytest.approx(3.0, rel=0.15)
-    assert r[2] == pytest.approx(400.0, rel=0.02)
+def _draws(m, n, key=5, seed=1):
+    return E.poisson_counts(m, key, seed, n)
+
+
+@pytest.mark.parametrize("m", [1, 2, 9, 10, 33, 1000, 10 ** 6])
+def test_draws_have_the_law_at_every_cell_size(m):
+    x, n = _draws(m, 400_000), 400_000
+    assert abs(x.mean() - m) < 5 * (m / n) ** 0.5
+    assert abs(x.var() / m - 1) < 5 * ((2 + 1 / m) / n) ** 0.5
+    assert abs((((x - x.mean()) / x.std()) ** 3).mean() - m ** -0.5) < 0.03
+    if m < 40:  # the whole distribution
+        p = np.exp(-m)
+        for k in range(60):
+            assert abs((x == k).mean() - p) < 5 * (p / n) ** 0.5 + 1e-9
+            p *= m / (k + 1)
+
+
+def test_draw_time_does_not_grow_with_the_cell():
+    import time
+    took = {}
+    for m in (50, 10 ** 9):
+        t = time.perf_counter()
+        for k in range(50):
+            _draws(m, 1000, key=k)
+        took[m] = time.perf_counter() - t
+    assert took[10 ** 9] < 3 * took[50] + 0.05
+
+
+def test_replicates_equal_plain_weighted_metrics(spark):
+    """Every replicate against metrics of rows repeated as often as their cell was drawn."""
+    rng, n_boot = np.random.default_rng(8), 40
+    y, s = rng.integers(0, 2, 300), np.round(rng.random(300), 2)
+    df = spark.createDataFrame(pd.DataFrame({"label": y, "score": s, "pred": (s >= 0.6).astype(int)}))
+    cells = df.groupBy("score", "label", "pred").count().withColumn("key", F.xxhash64("score", F.col("label").cast("int"), F.col("pred").cast("int"))).collect()
+    w = {(c["score"], c["label"], c["pred"]): E.poisson_counts(c["count"], c["key"], 42, n_boot) for c in cells}
+    want = {m: [] for m in ("precision", "recall", "f1", "roc_auc", "pr_auc", "accuracy")}
+    for b in range(n_boot):
+        rows = [(k, int(v[b])) for k, v in w.items() for _ in [0]]
+        ys = np.concatenate([[k[1]] * c for k, c in rows]).astype(int)
+        ss = np.concatenate([[k[0]] * c for k, c in rows])
+        ps = np.concatenate([[k[2]] * c for k, c in rows]).astype(int)
+        tp, fp, fn = ((ys == 1) & (ps == 1)).sum(), ((ys == 0) & (ps == 1)).sum(), ((ys == 1) & (ps == 0)).sum()
+        pos, neg = ss[ys == 1], ss[ys == 0]
+        auc = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+        for m, v in (("precision", tp / (tp + fp)), ("recall", tp / (tp + fn)), ("f1", 2 * tp / (2 * tp + fp + fn)), ("roc_auc", auc),
+                     ("pr_auc", _sk_pr_auc(ys, ss)), ("accuracy", (ys == ps).mean())):
+            want[m].append(v)
+    for part_rows in (10 ** 6, 20):
+        got = E.bootstrap_ci(df, n_boot=n_boot, alpha=0.1, with_accuracy=True, part_rows=part_rows).first().asDict()
+        assert got.pop("valid") == n_boot
+        for m, v in want.items():
+            assert got[f"{m}_ci_lower"] == pytest.approx(np.percentile(v, 5), rel=1e-9)
+            assert got[f"{m}_ci_upper"] == pytest.approx(np.percentile(v, 95), rel=1e-9)
+    assert "pr_auc_ci_lower" not in E.bootstrap_ci(df, n_boot=10, with_pr_auc=False).columns
 
 
 def _screen(spark, groups):
