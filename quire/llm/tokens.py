@@ -4,11 +4,10 @@ Both supported pre-tokenizers cut at a single space or line feed between other
 characters, so a text is cut there first and each different piece is encoded
 once per worker, in a cache of bounded size.  Pieces that are one Latin word
 and at most one punctuation mark go straight to the tokenizer's model (a word
-and a mark are separate pre-tokens); every other piece goes through the whole
+and a mark are separate pre-tokens, and many pieces share a word); every other piece goes through the whole
 tokenizer.  A text in which white space is anything but single spaces and line
 feeds goes through the tokenizer as a whole, unless white space is dropped
-anyway.  Ids are the same as ``Tokenizer.encode(text, add_special_tokens=False)``
-with special tokens' strings taken as text.
+anyway.  Ids are the same as ``Tokenizer.encode(text, add_special_tokens=False)`` gives.
 """
 
 from __future__ import annotations
@@ -20,7 +19,13 @@ import re
 import numpy as np
 
 WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
-ODD_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$")
+
+
+def odd_space(text: str) -> bool:
+    """Whether white space is anything but single spaces and line feeds between other characters."""
+    if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", "\n\n", " \n", "\n ")):
+        return True
+    return len("".join(text.split())) + text.count(" ") + text.count("\n") != len(text)
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -31,9 +36,9 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class _Cache(dict):
-    """Piece to its ids as little-endian 32-bit bytes.
+    """Text to its ids as little-endian 32-bit bytes.
 
-    Two generations of at most ``limit`` pieces: a full one is set aside, and
+    Two generations of at most ``limit`` texts: a full one is set aside, and
     what is asked for again comes back from there.
     """
 
@@ -41,12 +46,14 @@ class _Cache(dict):
         super().__init__()
         self.encode, self.limit, self.aside = encode, limit, {}
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, text: str) -> bytes:
         if len(self) >= self.limit:
             self.aside = dict(self)
             self.clear()
-        ids = self.aside.get(piece)
-        self[piece] = ids = self.encode(piece) if ids is None else ids
+        ids = self.aside.get(text)
+        if ids is None:
+            ids = self.encode(text)
+        self[text] = ids
         return ids
 
 
@@ -58,32 +65,46 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             shape = json.load(f)
         #: Whether white space yields no tokens, and letters are lower-cased.
         self.drops_space = shape.get("normalizer") is not None
         self.alphabet = byte_alphabet()
-        self.plain = _Cache(lambda p: self._piece(p, ""), cache_pieces)
-        self.spaced = _Cache(lambda p: self._piece(p, " "), cache_pieces)
-        self.words = _Cache(self._model, 2 * cache_pieces)
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.words = _Cache(self._word, cache_pieces)
+        self.after_space = _Cache(self._word_after_space, cache_pieces)
+        self.plain = _Cache(self._piece, cache_pieces)
+        self.spaced = _Cache(self._piece_after_space, cache_pieces)
         self.newline = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def _shown(self, word: str) -> str:
+        return word if word.isascii() else "".join([self.alphabet[b] for b in word.encode("utf-8")])
+
+    def _word(self, word: str) -> bytes:
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(self._shown(word))])
 
-    def _model(self, word: str) -> bytes:
-        shown = word if word.isascii() and word[:1] != " " else "".join(map(self.alphabet.get, word.encode("utf-8")))
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], dtype="<u4").tobytes()
+    def _word_after_space(self, word: str) -> bytes:
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(self.alphabet[32] + self._shown(word))])
 
-    def _piece(self, piece: str, before: str) -> bytes:
+    def _piece(self, piece: str) -> bytes:
         m = WORD.fullmatch(piece)
-        if not m:
-            return self._whole(before + piece)
+        if m is None:
+            return self._whole(piece)
         word, mark = m.groups()
-        ids = self.words[word.lower() if self.drops_space else before + word]
+        ids = self.words[word.lower() if self.drops_space else word]
         return ids + self.words[mark] if mark else ids
 
+    def _piece_after_space(self, piece: str) -> bytes:
+        m = WORD.fullmatch(piece)
+        if m is None:
+            return self._whole(" " + piece)
+        word, mark = m.groups()
+        return self.after_space[word] + self.words[mark] if mark else self.after_space[word]
+
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of ``text`` (null: none) as ``uint32``."""
         text = text or ""
@@ -91,14 +112,14 @@ class TextEncoder:
             data = b"".join(map(self.plain.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
         elif not text:
             data = b""
-        elif ODD_SPACE.search(text):
+        elif odd_space(text):
             data = self._whole(text)
         else:
             parts = []
             for line in text.split("\n"):
-                pieces = line.split(" ")
-                parts.append(self.plain[pieces[0]])
-                parts.extend(map(self.spaced.__getitem__, pieces[1:]))
+                first, *rest = line.split(" ")
+                parts.append(self.plain[first])
+                parts.extend(map(self.spaced.__getitem__, rest))
                 parts.append(self.newline)
             data = b"".join(parts[:-1])
         return np.frombuffer(data, dtype="<u4")

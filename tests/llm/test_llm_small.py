@@ -150,13 +150,14 @@ def test_remove_repeated_keeps_rows_and_columns(spark, texts):
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_cached_encoder_is_the_tokenizer(name):
     path = public_tokenizers.path(name)
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+    plain = Tokenizer.from_file(path)  # as the library gives it, special strings in a text included
     enc = tokens.TextEncoder(path, cache_pieces=50)  # so small that it forgets
     r = random.Random(1)
-    for _ in range(400):
-        text = "".join(r.choice(["a", "bc", "É", "ß", "Thon", " ", " ", "\n", "  ", "'s", ".", ",", "12", "\t", "漢", "İ", "Σ",
-                                 "<|endoftext|>", "é", "\x1c"]) for _ in range(r.randrange(25)))
+    made = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|><|startoftext|>b", "x <|endoftext|", "<|endoftext|", "<<|endoftext|>>", "", " "]
+    for _ in range(600):
+        made.append("".join(r.choice(["a", "bc", "É", "ß", "Thon", " ", " ", "\n", "  ", "'s", ".", ",", "12", "\t", "漢", "İ", "Σ",
+                                      "<|endoftext|>", "<|startoftext|>", "<|", "|>", "<", "é", "\x1c"]) for _ in range(r.randrange(25))))
+    for text in made:
         assert enc.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
     assert enc.encode(None).tolist() == []
 
