@@ -11,10 +11,12 @@ membership, never exact values.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.neighbours import Metric, search
+from quire.session import cut_lineage
+
 HASH_BUCKETS = 65536
 
 
@@ -112,62 +114,7 @@ def oversample_random(df: DataFrame, by: str, key: str, seed: int = 42) -> DataF
     return df.withColumn("synthetic", F.lit(False)).unionByName(extra.withColumn("synthetic", F.lit(True)))
 
 
-# ------------------------------------------------------------------ kNN
-def knn(queries: DataFrame, candidates: DataFrame, id_col: str, vec_col: str, k: int,
-        blocks: int = 8, exclude_self: bool = True, extra_cols: tuple = ()) -> DataFrame:
-    """Exact k nearest neighbours (Euclidean) of every query among the
-    candidates: (qid, nid, dist, rnk, extra...).
-
-    Rows are hashed into ``blocks`` blocks on each side; every (query block,
-    candidate block) pair is one cogroup task that computes its distance
-    matrix in numpy (chunked) and emits only its local top-k per query.
-    A final small window keeps the global top-k (blocks * k rows per
-    query).  Exact kNN costs O(n_q * n_c) distance evaluations by nature;
-    only top-k rows ever leave a task.
-    """
-    q = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv"),
-                       F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).alias("qb"))
-    q = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
-    c = candidates.select(F.col(id_col).alias("nid"), F.col(vec_col).alias("nv"),
-                          *[F.col(e) for e in extra_cols],
-                          F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).alias("cb"))
-    c = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"))
-    extra_schema = "".join(f", {e} {t}" for e, t in candidates.select(*extra_cols).dtypes)
-    schema = f"qid long, nid long, dist double{extra_schema}"
-
-    def local_topk(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or cpdf.empty:
-            return pd.DataFrame({"qid": [], "nid": [], "dist": [], **{e: [] for e in extra_cols}})
-        cv = np.stack(cpdf["nv"].to_numpy()).astype(np.float64)
-        cn = (cv * cv).sum(1)
-        nids = cpdf["nid"].to_numpy()
-        out = []
-        for s in range(0, len(qpdf), 2048):
-            part = qpdf.iloc[s:s + 2048]
-            qv = np.stack(part["qv"].to_numpy()).astype(np.float64)
-            d2 = (qv * qv).sum(1)[:, None] + cn[None, :] - 2 * qv @ cv.T
-            d2 = np.maximum(d2, 0.0)
-            if exclude_self:
-                d2[part["qid"].to_numpy()[:, None] == nids[None, :]] = np.inf
-            kk = min(k, d2.shape[1])
-            idx = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
-            rows = np.repeat(np.arange(len(part)), kk)
-            cols = idx.ravel()
-            dd = d2[rows, cols]
-            keep = np.isfinite(dd)
-            frame = {"qid": part["qid"].to_numpy()[rows][keep], "nid": nids[cols][keep],
-                     "dist": np.sqrt(dd[keep])}
-            for e in extra_cols:
-                frame[e] = cpdf[e].to_numpy()[cols][keep]
-            out.append(pd.DataFrame(frame))
-        return pd.concat(out, ignore_index=True)
-
-    local = (q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
-             .applyInPandas(local_topk, schema))
-    w = Window.partitionBy("qid").orderBy("dist", "nid")
-    return local.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= k)
-
-
+# ------------------------------------------------------------------ SMOTE family
 def _vec(c: str) -> Column:
     return F.col(c).cast("array<double>")
 
@@ -176,9 +123,27 @@ def _interpolate(x: Column, nn: Column, u: Column) -> Column:
     return F.zip_with(x, nn, lambda a, b: a + u * (b - a))
 
 
+def category_penalties(rows: DataFrame, classes: list, categorical_idx: tuple) -> dict:
+    """For each class the squared distance that a differing category counts.
+
+    The median, over the other positions, of the class's standard deviations stands at one-hot
+    entries in halves, so a differing pair adds ``median ** 2 / 2``.
+    """
+    spread = (rows.where(F.col("label").isin(classes)).select("label", F.posexplode("v").alias("pos", "x"))
+              .where(~F.col("pos").isin(list(categorical_idx)))
+              .groupBy("label", "pos").agg(F.stddev_pop("x").alias("s"))
+              .groupBy("label").agg(F.median("s").alias("m")).collect())
+    known = {r["label"]: r["m"] ** 2 / 2 for r in spread}
+    return {c: known.get(c, 0.0) for c in classes}
+
+
+#: Synthetic rows of one seed that a task makes at a time.
+DRAWS = 10_000
+
+
 def smote_family(df: DataFrame, label: str, key: str, vec: str, method: str = "smote",
-                 k: int = 3, m: int = 10, seed: int = 42, blocks: int = 8,
-                 categorical_idx: tuple = ()) -> DataFrame:
+                 k: int = 3, m: int = 10, seed: int = 42, categorical_idx: tuple = (),
+                 block_rows: int | None = None) -> DataFrame:
     """R5 SMOTE, R6 ADASYN, R7 SMOTENC, R8 BorderlineSMOTE (borderline-1).
 
     Minority classes are raised to the majority count.  Seeds:
@@ -187,7 +152,12 @@ def smote_family(df: DataFrame, label: str, key: str, vec: str, method: str = "s
     proportion to their majority share among k nearest of all rows.  A
     synthetic row is x + u * (nn - x) toward one of the seed's k nearest
     minority neighbours; SMOTENC gives categorical positions the most
-    frequent neighbour value instead.  Output adds ``synthetic``.
+    frequent neighbour value instead and counts them in the distance
+    (``category_penalties``).  Output adds ``synthetic``.
+
+    One neighbour search serves all classes.  A seed, its neighbours' vectors and its
+    number of draws are one row, so a seed with very many draws joins nothing; its draws are made in
+    pieces of ``DRAWS`` that are dealt out over tasks.
     """
     if method not in ("smote", "adasyn", "smotenc", "borderline"):
         raise ValueError(f"unknown resampling method {method!r}")
@@ -195,62 +165,62 @@ def smote_family(df: DataFrame, label: str, key: str, vec: str, method: str = "s
     mx = max(counts.values())
     base = df.select(key, label, _vec(vec).alias(vec))
     pieces = [base.withColumn("synthetic", F.lit(False))]
-    for cls, n_c in sorted(counts.items()):
-        need = mx - n_c
-        if need <= 0 or n_c < 2:
-            continue
-        kk = min(k, n_c - 1)
-        minority = base.where(F.col(label) == cls)
-        nn = knn(minority, minority, key, vec, kk, blocks).select(
-            F.col("qid").alias(key), F.col("nid"), F.col("rnk"))
-        if method in ("borderline", "adasyn"):
+    needs = {c: mx - n for c, n in sorted(counts.items()) if n < mx and n >= 2}
+    if not needs:
+        return pieces[0]
+    rows = base.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vec).alias("v"),
+                       F.col(label).isin(list(needs)).alias("query"))
+    of_all = {"borderline": m, "adasyn": k}.get(method, 0)
+    metric = Metric()
+    if of_all:
+        rows = rows.withColumn("part", F.lit(0))
+    else:  # only rows of a class are compared
+        rows = rows.where("query").withColumn("part", F.col("label"))
+        if method == "smotenc" and categorical_idx:
+            metric = Metric(tuple(categorical_idx), category_penalties(rows, list(needs), categorical_idx))
+    near = cut_lineage(search(rows, k, of_all, metric, block_rows).frame)
+    vectors = rows.where("query").select(F.col("id").alias("nid"), F.col("v").alias("nv"))
+    sides = (near.where("rank_same is not null").join(vectors, "nid").groupBy("qid")
+             .agg(F.sort_array(F.collect_list(F.struct("rank_same", "nv"))).alias("near")))
+    queries = rows.where("query").select(F.col("id").alias("qid"), F.col("label").alias("_c"), F.col("v").alias("_x")).join(sides, "qid")
+    for cls, need in needs.items():
+        kk = min(k, counts[cls] - 1)
+        minority = queries.where(F.col("_c") == cls)
+        if of_all:
             mm = m if method == "borderline" else kk
-            allnn = knn(minority, base, key, vec, mm, blocks, extra_cols=(label,))
-            maj = allnn.groupBy(F.col("qid").alias(key)).agg(
-                F.sum((F.col(label) != cls).cast("int")).alias("n_maj"))
-            if method == "borderline":
-                seeds = maj.where((F.col("n_maj") >= mm / 2.0) & (F.col("n_maj") < mm)).select(key)
-                weights = seeds.withColumn("w", F.lit(1.0))
-            else:
-                weights = maj.select(key, (F.col("n_maj") / float(mm)).alias("w")).where(F.col("w") > 0)
+            maj = near.where(F.col("rank_all") <= mm).groupBy("qid").agg(F.sum((~F.col("same")).cast("int")).alias("n_maj"))
+            w = (F.when((F.col("n_maj") >= mm / 2.0) & (F.col("n_maj") < mm), 1.0) if method == "borderline"
+                 else F.col("n_maj") / float(mm))
+            seeds = minority.join(maj, "qid").withColumn("w", w).where("w > 0")
         else:
-            weights = minority.select(key, F.lit(1.0).alias("w"))
-        # Every seed gets floor(need * w / W) rows plus one for the largest
-        # remainders: exact total, proportional to the weights (uniform for
+            seeds = minority.withColumn("w", F.lit(1.0))
+        # Every seed gets floor(need * w / W) rows plus one for the first seeds in
+        # shuffled order: exact total, proportional to the weights (uniform for
         # SMOTE/Borderline; the majority share for ADASYN).
-        ranked = hash_rank(weights.withColumn("_c", F.lit(cls)), "_c", key, seed)
-        tot = ranked.agg(F.sum("w").alias("W"), F.count(F.lit(1)).alias("S")).first()
-        if not tot["S"]:
+        ranked = cut_lineage(hash_rank(seeds, "_c", "qid", seed))
+        total = ranked.agg(F.sum("w").alias("W")).first()["W"]
+        if not total:
             continue
-        share = F.col("w") * need / F.lit(tot["W"])
-        ranked = ranked.withColumn("_base", F.floor(share).cast("long"))
+        ranked = ranked.withColumn("_base", F.floor(F.col("w") * need / F.lit(total)).cast("long"))
         left = need - ranked.agg(F.sum("_base")).first()[0]
-        # the remainder goes to the first ``left`` seeds in shuffled order
-        alloc = ranked.withColumn("_n", F.col("_base") + (F.col("rank") <= left).cast("long"))
-        draws = alloc.where(F.col("_n") > 0).select(
-            key, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_j"))
-        draws = draws.withColumn("_pick", F.pmod(_h(seed + 7, F.col(key), F.col("_j")), F.lit(kk)) + 1)
-        draws = draws.withColumn("_u", (F.pmod(_h(seed + 11, F.col(key), F.col("_j")), F.lit(2 ** 30))
-                                         .cast("double") / float(2 ** 30)))
-        j = (draws.join(nn, (draws[key] == nn[key]) & (draws["_pick"] == nn["rnk"]))
-             .drop(nn[key]))
-        vx = minority.select(F.col(key).alias("_sk"), F.col(vec).alias("_x"))
-        vn = minority.select(F.col(key).alias("nid"), F.col(vec).alias("_n"))
-        j = j.join(vx, j[key] == vx["_sk"]).join(vn, "nid")
-        new = _interpolate(F.col("_x"), F.col("_n"), F.col("_u"))
-        if method == "smotenc" and categorical_idx:
-            allk = nn.join(vn, "nid").groupBy(key).agg(F.collect_list("_n").alias("_nbrs"))
-            j = j.join(allk, key)
-            for i in categorical_idx:
-                vals = F.transform("_nbrs", lambda v: v[i])
-                counts_i = F.transform(F.array_distinct(vals), lambda v: F.struct(
-                    (-F.size(F.filter(vals, lambda y: y == v))).alias("neg_n"), v.alias("v")))
-                mode = F.array_min(counts_i)["v"]
-                new = F.transform(new, lambda a, pos: F.when(pos == i, mode).otherwise(a))
+        alloc = ranked.withColumn("_n", F.col("_base") + (F.col("rank") <= left).cast("long")).where("_n > 0")
+        chunks = alloc.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / DRAWS))))
+        if need > DRAWS:
+            chunks = chunks.repartition(F.col("qid"), F.col("_at"))
+        draws = chunks.withColumn("_j", F.explode(F.sequence(
+            F.col("_at") * DRAWS + 1, F.least(F.col("_n"), (F.col("_at") + 1) * DRAWS))))
+        pick = F.pmod(_h(seed + 7, F.col("qid"), F.col("_j")), F.lit(kk)).cast("int")
+        u = F.pmod(_h(seed + 11, F.col("qid"), F.col("_j")), F.lit(2 ** 30)).cast("double") / float(2 ** 30)
+        new = _interpolate(F.col("_x"), F.get(F.col("near"), pick)["nv"], u)
+        for i in categorical_idx if method == "smotenc" else ():
+            vals = F.transform("near", lambda s: s["nv"][i])  # noqa: B023
+            seen = F.transform(F.array_distinct(vals), lambda v: F.struct(
+                (-F.size(F.filter(vals, lambda y: y == v))).alias("neg_n"), v.alias("v")))  # noqa: B023
+            mode = F.array_min(seen)["v"]
+            new = F.transform(new, lambda a, pos: F.when(pos == i, mode).otherwise(a))  # noqa: B023
         # synthetic ids are negative, derived from (seed, source row, draw)
-        out = j.select((-F.pmod(_h(seed + 13, F.col(key), F.col("_j")), F.lit(2 ** 62)) - 1).alias(key),
-                       F.lit(cls).alias(label), new.alias(vec), F.lit(True).alias("synthetic"))
-        pieces.append(out)
+        pieces.append(draws.select((-F.pmod(_h(seed + 13, F.col("qid"), F.col("_j")), F.lit(2 ** 62)) - 1).alias(key),
+                                   F.lit(cls).alias(label), new.alias(vec), F.lit(True).alias("synthetic")))
     res = pieces[0]
     for p in pieces[1:]:
         res = res.unionByName(p)

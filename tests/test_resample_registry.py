@@ -46,17 +46,6 @@ def test_over_under_sampling_counts(spark):
     assert c[0] == c[1] == (y == 1).sum()
 
 
-def test_knn_matches_bruteforce(spark):
-    x = RNG.normal(size=(120, 5))
-    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(120), "v": list(x)}))
-    got = R.knn(df, df, "id", "v", 3, blocks=4).toPandas()
-    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
-    np.fill_diagonal(d, np.inf)
-    exp = np.argsort(d, axis=1)[:, :3]
-    for q in range(120):
-        assert sorted(got[got.qid == q].nid.tolist()) == sorted(exp[q].tolist())
-
-
 @pytest.mark.parametrize("method", ["smote", "borderline", "adasyn"])
 def test_smote_family_balanced_and_on_segments(spark, method):
     n = 200
