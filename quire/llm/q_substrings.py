@@ -15,7 +15,8 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words of repeated 35-word windows."""
     small, removals = repeated_passages(table(spark, sf_dir, "documents"), window=35)
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
-    return (small.join(digest_removals(removals), "doc_id", "left")
+    lost = digest_removals(removals).withColumnsRenamed({"doc_id": "d", "key": "k"})
+    return (small.join(lost, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
             .select("doc_id", "n_words",
                     F.when(F.col("gone"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
                     F.when(F.col("gone"), nothing).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256")))

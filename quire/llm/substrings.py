@@ -13,23 +13,24 @@ sequence also starts elsewhere is removed.
    of its anchor.  Equal segments travel once, with their count.  An anchor
    with over ``hot`` occurrences is dealt out window by window instead, by the
    window's own hash, so no shard gathers a common passage's surroundings.
-4. A shard counts its windows' words exactly, joins repeated windows into
-   passages, compiles them into an automaton (over word numbers) and streams
-   its segments through it to find every occurrence of a passage.
+4. A shard confirms which of its windows recur (by fingerprints in arrays, equal ones
+   compared word by word), joins them into passages, compiles these into an automaton
+   (over word numbers) and streams all segments routed to it through the automaton, which gives
+   every place of a passage.  Shards hold about ``SHARD_BYTES`` of text each.
 5. The found places return to the documents by segment, and words are removed.
 
 Documents without a repeated anchor hold no passage, so no text of theirs is
 streamed.  All comparison that decides is on words; hashes only route.
+A text is known by two hashes of itself, never by its doc_id.
 
 Defined cases: a null text has no words; texts shorter than a window lose
-nothing; rows that repeat (doc_id included) are copies of each other;
-rows without a doc_id are compared with their copies only.
+nothing; rows that repeat (doc_id included) are copies of each other; rows of one
+doc_id with different texts, and rows without a doc_id, are each judged by their own text.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -42,6 +43,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import stage, words_of
 
 GRAM = 8
+SHARD_BYTES = 4 << 20
 
 
 def sha256_of(words: list[bytes]) -> str:
@@ -65,8 +67,14 @@ def anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np
     return grams[place[first]].view("int64"), first, last
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and two hashes ``t1, t2`` that stand for the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t1"),
+                       F.xxhash64(F.lit("second"), "text").alias("t2"))
+
+
 def outline(docs: DataFrame, window: int) -> DataFrame:
-    """One row per document: class key, word count, digest of all words, and its anchors."""
+    """One row per row of ``named``: class key, word count, digest of all words, and its anchors."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,21 +87,21 @@ def outline(docs: DataFrame, window: int) -> DataFrame:
                     rows.append((xxhash.xxh3_128_digest(b" ".join(words)), len(words), sha256_of(words), *found))
                 key, n, sha, h, a, b = zip(*rows)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id").cast(pa.int64()), pa.array(key, pa.binary()), pa.array(n, pa.int64()),
+                    part.column("doc_id"), part.column("t1"), part.column("t2"), pa.array(key, pa.binary()), pa.array(n, pa.int64()),
                     pa.array(sha), pa.array(h, pa.list_(pa.int64())), pa.array(a, pa.list_(pa.int64())),
-                    pa.array(b, pa.list_(pa.int64()))], names=["doc_id", "key", "n_words", "sha", "h", "a", "b"])
+                    pa.array(b, pa.list_(pa.int64()))], names=["doc_id", "t1", "t2", "key", "n_words", "sha", "h", "a", "b"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, key binary, n_words long, sha string, h array<long>, a array<long>, b array<long>")
+    return docs.mapInArrow(run, "doc_id long, t1 long, t2 long, key binary, n_words long, sha string, "
+                                "h array<long>, a array<long>, b array<long>")
 
 
 def cut_segments(held: DataFrame, window: int, hot: int) -> DataFrame:
-    """``shard, key, doc_id, start, words`` of the segments that ``held(doc_id, text, runs)`` names."""
+    """``shard, key, doc, start, words`` of the segments that ``held(doc, text, runs)`` names; ``doc`` is a class key."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, text, runs in zip(pdf["doc_id"], pdf["text"], pdf["runs"]):
+            for doc, text, runs in zip(pdf["doc"], pdf["text"], pdf["runs"]):
                 words = words_of(text, lower=False)
                 for r in runs:
                     h, n, a, b = r["h"], r["n"], r["a"], r["b"]
@@ -105,34 +113,53 @@ def cut_segments(held: DataFrame, window: int, hot: int) -> DataFrame:
                             piece = b" ".join(words[s:s + window])
                             rows.append((xxhash.xxh3_64_intdigest(piece) - (1 << 63), xxhash.xxh3_128_digest(piece), doc, s, piece))
                 if len(rows) >= 20_000:
-                    yield pd.DataFrame(rows, columns=["shard", "key", "doc_id", "start", "words"])
+                    yield pd.DataFrame(rows, columns=["shard", "key", "doc", "start", "words"])
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=["shard", "key", "doc_id", "start", "words"])
-
-    return held.select("doc_id", "text", "runs").mapInPandas(
-        run, "shard long, key binary, doc_id long, start long, words binary")
-
-
-def passages_of(texts: list[tuple[int, ...]], counts: list[int], window: int) -> set[tuple[int, ...]]:
-    """Runs of repeated windows in ``texts`` (word numbers), each text occurring ``counts`` times."""
-    seen: Counter = Counter()
-    for t, n in zip(texts, counts):
-        for s in range(len(t) - window + 1):
-            seen[t[s:s + window]] += n
-    passages = set()
-    for t in texts:
-        start = None
-        for s in range(len(t) - window + 2):
-            if s <= len(t) - window and seen[t[s:s + window]] > 1:
-                start = s if start is None else start
-            elif start is not None:
-                passages.add(t[start:s - 1 + window])
-                start = None
-    return passages
-
-
-def locate(texts: list[tuple[int, ...]], passages: set[tuple[int, ...]]) -> Iterator[list[tuple[int, int]]]:
+                yield pd.DataFrame(rows, columns=["shard", "key", "doc", "start", "words"])
+
+    return held.select("doc", "text", "runs").mapInPandas(
+        run, "shard long, key binary, doc binary, start long, words binary")
+
+
+def recurring(flat: np.ndarray, lengths: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
+    """For each place of ``flat`` (texts of word numbers, one after the other) whether a window starts there that occurs
+    more than once, text ``i`` standing for ``counts[i]`` equal ones."""
+    out = np.zeros(len(flat), dtype=bool)
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    starts = np.flatnonzero(np.arange(len(flat)) + window <= ends)
+    if not len(starts):
+        return out
+    weight = np.repeat(counts, lengths)[starts]
+    for seed in range(1, 100):
+        h, size = (flat.astype("uint64") + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15), 1
+        h ^= h >> np.uint64(32)
+        while size < window:  # fingerprints of 2, 4, 8 .. words, then of the window as two that overlap
+            step = min(size, window - size)
+            h = h[:len(h) - step] * np.uint64(0xD6E8FEB86659FD93) + h[step:]
+            h ^= h >> np.uint64(31)
+            h *= np.uint64(0x94D049BB133111EB)
+            size += step
+        _, first, group = np.unique(h[starts], return_index=True, return_inverse=True)
+        several = (np.bincount(group, weights=weight) > 1)[group]
+        here, there = starts[several], starts[first[group[several]]]
+        if all(np.array_equal(flat[here + i], flat[there + i]) for i in range(window)):
+            out[here] = True
+            return out
+    raise ArithmeticError("different windows kept equal fingerprints")
+
+
+def passages_of(flat: np.ndarray, lengths: np.ndarray, counts: np.ndarray, window: int) -> list[tuple[int, ...]]:
+    """The different stretches of recurring windows in texts, each occurring ``counts`` times."""
+    again = recurring(flat, lengths, counts, window)
+    # A window that starts in one text ends in it, so at least window - 1 places part the runs of two texts.
+    edge = np.diff(np.concatenate([[False], again, [False]]).astype("int8"))
+    firsts, afters = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    distinct = {flat[a:b - 1 + window].tobytes() for a, b in zip(firsts.tolist(), afters.tolist())}
+    return [tuple(np.frombuffer(x, dtype=flat.dtype).tolist()) for x in distinct]
+
+
+def locate(texts: Iterable[tuple[int, ...]], passages: list[tuple[int, ...]]) -> Iterator[list[tuple[int, int]]]:
     """For each text the places (first word, word after) that passages cover, found by one automaton."""
     import ahocorasick
 
@@ -153,18 +180,28 @@ def locate(texts: list[tuple[int, ...]], passages: set[tuple[int, ...]]) -> Iter
         yield spans
 
 
-def search_shards(segments: DataFrame, window: int, shard_rows: int) -> DataFrame:
+def search_shards(segments: DataFrame, window: int, shard_bytes: int) -> DataFrame:
     """``key, spans`` of the segments in which repeated passages lie."""
     distinct = segments.groupBy("shard", "key").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("n"))
     spark = segments.sparkSession
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), segments.count() // shard_rows + 1)
+    size = segments.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // shard_bytes + 1)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         numbers: dict[bytes, int] = {}
-        texts = [tuple(numbers.setdefault(w, len(numbers)) for w in words.split(b" ")) for words in pdf["words"]]
-        found = list(locate(texts, passages_of(texts, pdf["n"].tolist(), window)))
-        hit = [i for i, f in enumerate(found) if f]
-        return pd.DataFrame({"key": pdf["key"].iloc[hit], "spans": [[list(s) for s in found[i]] for i in hit]})
+        number, parts = numbers.setdefault, []
+        for words in pdf["words"]:
+            cut = words.split(b" ")
+            parts.append(np.fromiter((number(w, len(numbers)) for w in cut), dtype="int32", count=len(cut)))
+        lengths = np.array([len(x) for x in parts], dtype="int64")
+        flat = np.concatenate(parts)
+        passages = passages_of(flat, lengths, pdf["n"].to_numpy(), window)
+        keys, spans = [], []
+        for key, found in zip(pdf["key"], locate((tuple(x.tolist()) for x in parts), passages)):
+            if found:
+                keys.append(key)
+                spans.append([list(x) for x in found])
+        return pd.DataFrame({"key": keys, "spans": spans}, dtype=object)
 
     return (distinct.withColumn("__s", F.pmod(F.xxhash64("shard"), F.lit(shards))).groupBy("__s")
             .applyInPandas(search, "key binary, spans array<array<long>>"))
@@ -178,66 +215,82 @@ def without(words: list[bytes], spans: Iterable[tuple[int, int]]) -> list[bytes]
 
 
 def repeated_passages(docs: DataFrame, *, window: int = 35, hot: int = 4096,
-                      shard_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
+                      shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """(outline, removals) of ``docs(doc_id, text)``.
 
-    The outline has one row per input row with ``doc_id, n_words, sha, gone``
-    (whether all its words go) and ``key``; removals are ``doc_id, key, text,
-    spans`` for the rows that lose some of their words.
+    The outline has one row per input row with ``doc_id, t1, t2, key, n_words, sha, gone``
+    (whether all its words go); removals are ``doc_id, key, t1, t2, text, spans`` for the texts that
+    lose some of their words, each one row of the outline.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = named(docs)
     rows = stage(outline(docs, window), "outline")
     classes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"))
-    small = stage(rows.select("doc_id", "key", "n_words", "sha").join(classes, "key").withColumn(
-        "gone", (F.col("copies") > 1) & (F.col("n_words") >= window)), "classes")
+    small = stage(rows.select("doc_id", "t1", "t2", "key", "n_words", "sha").join(classes.select("key", "copies"), "key").withColumn(
+        "gone", (F.col("copies") > 1) & (F.col("n_words") >= window)).drop("copies"), "classes")
     # One row of each class, also where an id repeats.
-    standing = (rows.where(F.size("h") > 0).select("doc_id", "key", "h", "a", "b")
-                .join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"]).dropDuplicates(["key"]))
-    runs = standing.select("doc_id", "key", F.explode(F.arrays_zip("h", "a", "b")).alias("r")).select("doc_id", "r.*")
+    standing = (rows.where(F.size("h") > 0).select("doc_id", "t1", "t2", "key", "h", "a", "b")
+                .join(classes.select("key", "copies", "rep"), "key").where(F.col("doc_id").eqNullSafe(F.col("rep")))
+                .dropDuplicates(["key"]))
+    runs = standing.select("doc_id", "t1", "t2", "key", (F.col("copies") > 1).alias("gone"),
+                           F.explode(F.arrays_zip("h", "a", "b")).alias("r")).select("doc_id", "t1", "t2", "key", "gone", "r.*")
     # A table of its own, so that the join's two sides are plain shuffles and a very common anchor can be split.
     several = stage(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
-    named = runs.join(several, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "n", "a", "b")).alias("runs"))
-    held = stage(docs.join(named, "doc_id"), "held")
+    found = (runs.join(several, "h").groupBy("doc_id", "t1", "t2", F.col("key").alias("doc"), "gone")
+             .agg(F.collect_list(F.struct("h", "n", "a", "b")).alias("runs")))
+    texts = docs.select(F.col("doc_id").alias("__d"), F.col("t1").alias("__1"), F.col("t2").alias("__2"), "text")
+    held = stage(found.join(texts, (F.col("t1") == F.col("__1")) & (F.col("t2") == F.col("__2")) & F.col("doc_id").eqNullSafe(F.col("__d")))
+                 .drop("__d", "__1", "__2"), "held")
     segments = stage(cut_segments(held, window, hot), "segments")
-    spans = search_shards(segments, window, shard_rows)
+    spans = search_shards(segments, window, shard_bytes)
     place = F.transform("spans", lambda s: F.struct((s[0] + F.col("start")).alias("a"), (s[1] + F.col("start")).alias("b")))
-    removed = (segments.select("doc_id", "key", "start").join(spans, "key").select("doc_id", place.alias("s"))
-               .groupBy("doc_id").agg(F.flatten(F.collect_list("s")).alias("spans")))
-    partly = small.where(~F.col("gone")).select("doc_id").distinct()
-    return small, held.select("doc_id", "text").join(removed, "doc_id").join(partly, "doc_id", "left_semi")
+    removed = (segments.select("doc", "key", "start").join(spans, "key").select("doc", place.alias("s"))
+               .groupBy("doc").agg(F.flatten(F.collect_list("s")).alias("spans")))
+    # A class of several rows is gone as a whole; any other with a window is one row.
+    left = held.where(~F.col("gone")).select("doc_id", "doc", "t1", "t2", "text").join(removed, "doc")
+    return small, left.withColumnRenamed("doc", "key")
 
 
 def digest_removals(removals: DataFrame) -> DataFrame:
-    """``doc_id, n_removed, kept_sha256`` of removals(doc_id, text, spans)."""
+    """``doc_id, key, n_removed, kept_sha256`` of removals(doc_id, key, text, spans)."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
+            for doc, key, text, spans in zip(pdf["doc_id"], pdf["key"], pdf["text"], pdf["spans"]):
                 words = words_of(text, lower=False)
                 kept = without(words, [(s["a"], s["b"]) for s in spans])
-                rows.append((doc, len(words) - len(kept), sha256_of(kept)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_removed", "kept_sha256"])
+                rows.append((None if pd.isna(doc) else int(doc), key, len(words) - len(kept), sha256_of(kept)))
+            yield pd.DataFrame(rows, columns=["doc_id", "key", "n_removed", "kept_sha256"]).astype({"doc_id": "Int64"})
 
-    return removals.mapInPandas(run, "doc_id long, n_removed long, kept_sha256 string")
+    return removals.select("doc_id", "key", "text", "spans").mapInPandas(
+        run, "doc_id long, key binary, n_removed long, kept_sha256 string")
 
 
-def remove_repeated(docs: DataFrame, *, window: int = 35) -> DataFrame:
+def remove_repeated(docs: DataFrame, *, window: int = 35, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with the words of repeated windows taken out of ``text`` (and ``n_chars``, if there is one, recounted).
 
     Texts that lose words become the words left, joined by single spaces;
-    others stay as they are.  No row is dropped.
+    others stay as they are.  No row is dropped or repeated.
     """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             left = [b" ".join(without(words_of(t, lower=False), [(s["a"], s["b"]) for s in spans])).decode("utf-8")
                     for t, spans in zip(pdf["text"], pdf["spans"])]
-            yield pd.DataFrame({"__id": pdf["doc_id"], "__left": left})
-
-    small, removals = repeated_passages(docs, window=window)
-    changed = removals.mapInPandas(run, "__id long, __left string").unionByName(
-        small.where("gone").select(F.col("doc_id").alias("__id"), F.lit("").alias("__left")).distinct())
-    joined = docs.join(changed, docs["doc_id"] == F.col("__id"), "left")
-    columns = {"text": F.coalesce("__left", "text"), "n_chars": F.coalesce(F.length("__left").cast("long"), "n_chars")}
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "t1": pdf["t1"], "t2": pdf["t2"], "left": left})
+
+    small, removals = repeated_passages(docs, window=window, shard_bytes=shard_bytes)
+    changed = removals.select("doc_id", "t1", "t2", "text", "spans").mapInPandas(run, "doc_id long, t1 long, t2 long, left string").unionByName(
+        small.where("gone").select("doc_id", "t1", "t2", F.lit("").alias("left"))).dropDuplicates(["doc_id", "t1", "t2"])
+    free = "__change"
+    while any(c.startswith(free) for c in docs.columns):
+        free += "_"
+    changed = changed.select(*[F.col(c).alias(free + c) for c in ("doc_id", "t1", "t2", "left")])
+    left = F.col(f"{free}left")
+    joined = docs.join(changed, (F.xxhash64(docs["text"]) == F.col(f"{free}t1"))
+                       & (F.xxhash64(F.lit("second"), docs["text"]) == F.col(f"{free}t2"))
+                       & docs["doc_id"].cast("long").eqNullSafe(F.col(f"{free}doc_id")), "left")
+    columns = {"text": F.coalesce(left, docs["text"])}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.coalesce(F.length(left).cast("long"), docs["n_chars"])
     return joined.select(*[columns[c].alias(c) if c in columns else docs[c] for c in docs.columns])
