@@ -8,17 +8,18 @@ million do), so under any common order of tokens they share one of their first
 token is, from a count sketch of fixed size, so frequent values stay out of
 the prefixes.  Lists of one document are skipped.
 
-Inside a list not every pair is formed.  First each document is joined with up
-to ``LEADERS`` leaders of the list.  Pairs that agree on ``MATCHES``
-coordinates make clusters, and those confirmed on the full texts make
-components.  What may still be linked is then merged in two ways:
-
+No pair of documents becomes a row before it is known to agree.  The members of a list
+travel with a tag of ``COORDS`` bytes (the low byte of each minimum) and are compared in
+blocks of ``BLOCK`` documents; a document yields one row, with the least document
+that agrees with it on ``MATCHES`` coordinates and the least of all it is joined with there:
+
+- the latter make clusters.  Lists of several blocks whose documents are in several clusters are
+  compared again: every document outside a list's main cluster with all other documents
+  of that list, again by tags in blocks and one row for each cluster that a document agrees with;
+- the former, confirmed on the full texts, make components;
 - inside a cluster of several components, the documents outside its main
-  component are compared with all of the cluster, as sets in blocks of
-  ``BLOCK`` documents.  A block yields a row for each component that a document
-  links to, never one for each pair;
-- lists that hold several clusters are merged again: every document outside a
-  list's main cluster meets all documents of other clusters there.
+  component are compared with all of the cluster, as sets in blocks.
+  A block yields a row for each component that a document links to.
 
 After that no pair of different components is left untested, so the components
 are those of all links.
@@ -44,7 +45,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import components, stage, words_of
 
-COORDS, MATCHES, LEADERS, CELLS, BLOCK = 64, 36, 8, 1 << 18, 512
+COORDS, MATCHES, CELLS, BLOCK = 64, 36, 1 << 18, 512
+#: Rows of lists that a task compares at a time, and pairs of them it holds at once.
+BUCKET_ROWS, PAIRS = 20_000, 200_000
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, COORDS, dtype="uint64") | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, COORDS, dtype="uint64")
@@ -137,20 +140,118 @@ def postings(reps: DataFrame) -> DataFrame:
     return reps.select("doc_id", "sig").mapInPandas(post, "token long, doc_id long")
 
 
-def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs(a, b)`` whose signatures agree often enough and whose set sizes allow a link."""
+def tagged(reps: DataFrame) -> DataFrame:
+    """``doc_id, n, tag`` of ``reps(doc_id, n_shingles, sig)``; the tag has a byte for each coordinate."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": pdf["n_shingles"], "tag": [s[::4] for s in pdf["sig"]]})
+
+    return reps.select("doc_id", "n_shingles", "sig").mapInPandas(run, "doc_id long, n long, tag binary")
+
 
-    @F.pandas_udf("int")
-    def matches(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype="int32")
-        sx, sy = (np.frombuffer(b"".join(s), "uint32").reshape(-1, COORDS) for s in (x, y))
-        return pd.Series((sx == sy).sum(axis=1).astype("int32"))
+def tag_matrix(tags: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(tags), dtype="uint8").reshape(-1, COORDS)
 
-    side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n_shingles").alias(f"n_{c}"))
-    return (pairs.join(side("a"), "a").join(side("b"), "b")
-            .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-            .where(matches("sig_a", "sig_b") >= MATCHES).select("a", "b"))
+
+def agree(tags: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows ``i`` and ``j`` agree often enough and have sizes that allow a link."""
+    out = 100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])
+    at = np.flatnonzero(out)
+    for lo in range(0, len(at), PAIRS):
+        part = at[lo:lo + PAIRS]
+        out[part] = (tags[i[part]] == tags[j[part]]).sum(axis=1) >= MATCHES
+    return out
+
+
+def agreeing_within(units: np.ndarray, tags: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All agreeing pairs of rows of one unit; ``units`` is sorted."""
+    first = np.flatnonzero(np.concatenate([[True], units[1:] != units[:-1]]))
+    after = np.repeat(np.append(first[1:], len(units)), np.diff(np.append(first, len(units))))
+    left, right, at, step = [], [], np.arange(len(units)), 1
+    while True:
+        at = at[at + step < after[at]]
+        if not len(at):
+            break
+        hit = at[agree(tags, sizes, at, at + step, percent)]
+        left.append(hit)
+        right.append(hit + step)
+        step += 1
+    none = np.zeros(0, dtype="int64")
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def bucketed(rows: DataFrame, *unit: str) -> DataFrame:
+    """``rows`` with a ``bucket`` that holds whole units and about ``BUCKET_ROWS`` rows."""
+    spark = rows.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // BUCKET_ROWS + 1)
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*unit), F.lit(buckets)))
+
+
+def list_groups(lists: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, near, low`` from ``lists(token, docs, doc_id, n, tag)``: for each document with an agreeing
+    one in its block of a list the least such, and the least document that agreements there join it with."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["unit", "doc_id"])
+        ids = pdf["doc_id"].to_numpy()
+        i, j = agreeing_within(pdf["unit"].to_numpy(), tag_matrix(pdf["tag"]), pdf["n"].to_numpy(), percent)
+        near = np.full(len(ids), np.iinfo("int64").max)
+        np.minimum.at(near, i, ids[j])
+        np.minimum.at(near, j, ids[i])
+        low = np.arange(len(ids))  # rows of a unit are in the order of their ids
+        while len(i):
+            new = low.copy()
+            np.minimum.at(new, i, low[j])
+            np.minimum.at(new, j, low[i])
+            new = new[new]
+            if np.array_equal(new, low):
+                break
+            low = new
+        hit = np.unique(np.concatenate([i, j]))
+        return pd.DataFrame({"doc_id": ids[hit], "near": near[hit], "low": ids[low[hit]]})
+
+    block = F.pmod(F.xxhash64("doc_id", "token"), F.ceil(F.col("docs") / BLOCK))
+    units = bucketed(lists.withColumn("unit", F.xxhash64("token", block)), "unit")
+    return units.groupBy("bucket").applyInPandas(run, "doc_id long, near long, low long").distinct()
+
+
+def crossing_groups(lists: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """``src, dst``: documents of lists of several blocks and, for each other cluster in a list, one that agrees with them there."""
+    wide = lists.where(F.col("docs") > BLOCK)
+    named = wide.join(clusters, wide["doc_id"] == clusters["node"], "left").withColumn("comp", F.coalesce("component", "doc_id"))
+    sizes = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"),
+                                      F.sum("size").alias("members")).where("comps > 1").select(
+        F.col("token"), F.col("m.comp").alias("main"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"),
+        F.ceil((F.col("members") - F.col("m.size")) / BLOCK).cast("int").alias("outer_blocks"))
+    mixed = stage(named.select("token", "doc_id", "n", "tag", "comp").join(main, "token"), "mixed")
+    part = lambda n: F.pmod(F.xxhash64("doc_id", "token"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["token", "block", "outer_block", "doc_id", "n", "tag", "comp", "outside"]
+    inner = (mixed.withColumn("outside", F.lit(False)).withColumn("block", part("blocks"))
+             .withColumn("outer_block", every("outer_blocks")).select(*columns))
+    outer = (mixed.where("comp <> main").withColumn("outside", F.lit(True)).withColumn("outer_block", part("outer_blocks"))
+             .withColumn("block", every("blocks")).select(*columns))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        src, dst = [], []
+        for _, unit in pdf.groupby(["token", "block", "outer_block"]):
+            x, y = unit[unit["outside"]], unit[~unit["outside"]]
+            tags, sizes = tag_matrix([*x["tag"], *y["tag"]]), np.concatenate([x["n"], y["n"]])
+            i, j = np.divmod(np.arange(len(x) * len(y)), max(1, len(y)))
+            cx, cy = x["comp"].to_numpy(), y["comp"].to_numpy()
+            keep = cx[i] != cy[j]
+            i, j = i[keep], j[keep]
+            hit = agree(tags, sizes, i, j + len(x), percent)
+            found = pd.DataFrame({"src": x["doc_id"].to_numpy()[i[hit]], "comp": cy[j[hit]], "dst": y["doc_id"].to_numpy()[j[hit]]})
+            found = found.groupby(["src", "comp"], as_index=False)["dst"].min()
+            src.append(found["src"])
+            dst.append(found["dst"])
+        return pd.DataFrame({"src": pd.concat(src).astype("int64"), "dst": pd.concat(dst).astype("int64")})
+
+    rows = bucketed(inner.unionByName(outer), "token", "block", "outer_block")
+    return rows.groupBy("bucket").applyInPandas(run, "src long, dst long").distinct()
 
 
 def linked(a: Column, b: Column, size: int, percent: int) -> Column:
@@ -178,32 +279,6 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
         F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def leader_pairs(lists: DataFrame) -> DataFrame:
-    """Each document of a list with up to ``LEADERS`` others: the least id of every hash bucket there."""
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(LEADERS))
-    leaders = lists.groupBy("token").agg(F.array_compact(F.array(
-        *[F.min(F.when(bucket == i, F.col("doc_id"))) for i in range(LEADERS)])).alias("leaders"))
-    return (lists.join(leaders, "token").select("doc_id", F.explode("leaders").alias("leader")).where("doc_id <> leader")
-            .select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct())
-
-
-def crossing_pairs(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """All pairs of different components that still share a list.
-
-    The documents outside a list's largest component meet all others there;
-    the pairs that the largest component has within itself are never formed.
-    """
-    named = lists.join(found, lists["doc_id"] == found["node"], "left").select(
-        "token", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    sizes = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where(
-        "comps > 1").select("token", F.col("m.comp").alias("main"))
-    mixed = stage(named.join(main, "token"), "mixed")
-    outside = mixed.where("comp <> main").select("token", F.col("doc_id").alias("x"), F.col("comp").alias("cx"))
-    return (outside.join(mixed.select("token", "doc_id", "comp"), "token").where("cx <> comp")
-            .select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct())
-
-
 def block_links(pdf: pd.DataFrame, size: int, percent: int) -> pd.DataFrame:
     """Links from the ``outside`` rows of a block to its other rows: one for each component that a document links to."""
     inner = pdf[~pdf["outside"]]
@@ -268,21 +343,21 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     reps = stage(sets.where("set_key is not null").join(is_rep, "doc_id", "left_semi")
                  .dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig"), "reps")
     posted = stage(postings(reps), "postings")
-    several = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
-    lists = stage(posted.join(several, "token", "left_semi"), "lists")
+    several = posted.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    lists = stage(posted.join(several, "token").join(stage(tagged(reps), "tags"), "doc_id"), "lists")
 
-    first = stage(agreeing(leader_pairs(lists), reps, percent), "pairs")
+    groups = stage(list_groups(lists, percent), "groups")
+    clusters = components(groups.select(F.col("doc_id").alias("src"), F.col("low").alias("dst")))
+    crossing = crossing_groups(lists, clusters, percent)
+    clusters = components(clusters.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(crossing))
+
+    first = stage(groups.select(F.least("doc_id", "near").alias("a"), F.greatest("doc_id", "near").alias("b")).distinct(), "pairs")
     used = first.select(F.col("a").alias("doc_id")).union(first.select(F.col("b").alias("doc_id"))).distinct()
     edges = stage(confirm(first, docs.join(used, "doc_id", "left_semi"), size, percent), "links")
     found = components(edges)
-    clusters = components(first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     inside = cluster_links(clusters, found, docs, size, percent)
-
-    second = stage(agreeing(crossing_pairs(lists, clusters).join(first, ["a", "b"], "left_anti"), reps, percent), "pairs")
-    used = second.select(F.col("a").alias("doc_id")).union(second.select(F.col("b").alias("doc_id"))).distinct()
-    across = confirm(second, docs.join(used, "doc_id", "left_semi"), size, percent)
     merged = found.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-    found = components(merged.unionByName(inside).unionByName(across))
+    found = components(merged.unionByName(inside))
     rep_of = F.coalesce("component", "rep", "doc_id")
     return (keyed.join(found.withColumnRenamed("node", "rep"), "rep", "left")
             .select("doc_id", "n_shingles", rep_of.alias("component_id"), F.col("doc_id").eqNullSafe(rep_of).alias("kept")))
