@@ -9,7 +9,7 @@ token is, from a count sketch of fixed size, so frequent values stay out of
 the prefixes.  Lists of one document are skipped.
 
 No pair of documents becomes a row before it is known to agree.  The members of a list
-travel with a tag of ``COORDS`` bytes (the low byte of each minimum) and are compared in
+travel with a tag (the low four bits of each minimum) and are compared in
 blocks of ``BLOCK`` documents; a document yields one row, with the least document
 that agrees with it on ``MATCHES`` coordinates and the least of all it is joined with there:
 
@@ -141,17 +141,21 @@ def postings(reps: DataFrame) -> DataFrame:
 
 
 def tagged(reps: DataFrame) -> DataFrame:
-    """``doc_id, n, tag`` of ``reps(doc_id, n_shingles, sig)``; the tag has a byte for each coordinate."""
+    """``doc_id, n, tag`` of ``reps(doc_id, n_shingles, sig)``; the tag has half a byte for each coordinate."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": pdf["n_shingles"], "tag": [s[::4] for s in pdf["sig"]]})
+            low = np.frombuffer(b"".join(pdf["sig"]), "uint32").reshape(-1, COORDS).astype("uint8") & 15
+            tags = low[:, ::2] | (low[:, 1::2] << 4)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": pdf["n_shingles"], "tag": [t.tobytes() for t in tags]})
 
-    return reps.select("doc_id", "n_shingles", "sig").mapInPandas(run, "doc_id long, n long, tag binary")
+    return reps.select("doc_id", "n_shingles", "sig").mapInPandas(run, "doc_id long, n int, tag binary")
 
 
 def tag_matrix(tags: Iterable[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(tags), dtype="uint8").reshape(-1, COORDS)
+    """A row for each tag, a column for each coordinate (their order does not matter)."""
+    both = np.frombuffer(b"".join(tags), dtype="uint8").reshape(-1, COORDS // 2)
+    return np.hstack([both & 15, both >> 4])
 
 
 def agree(tags: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -212,7 +216,7 @@ def list_groups(lists: DataFrame, percent: int) -> DataFrame:
         return pd.DataFrame({"doc_id": ids[hit], "near": near[hit], "low": ids[low[hit]]})
 
     block = F.pmod(F.xxhash64("doc_id", "token"), F.ceil(F.col("docs") / BLOCK))
-    units = bucketed(lists.withColumn("unit", F.xxhash64("token", block)), "unit")
+    units = bucketed(lists.select(F.xxhash64("token", block).alias("unit"), "doc_id", "n", "tag"), "unit")
     return units.groupBy("bucket").applyInPandas(run, "doc_id long, near long, low long").distinct()
 
 
@@ -343,7 +347,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     reps = stage(sets.where("set_key is not null").join(is_rep, "doc_id", "left_semi")
                  .dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig"), "reps")
     posted = stage(postings(reps), "postings")
-    several = posted.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    several = posted.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("docs")).where("docs > 1")
     lists = stage(posted.join(several, "token").join(stage(tagged(reps), "tags"), "doc_id"), "lists")
 
     groups = stage(list_groups(lists, percent), "groups")
