@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import components, stage, words_of
+from quire.llm.common import components, release_memory, stage, tidy, words_of
 
 COORDS, MATCHES, CELLS, BLOCK = 64, 36, 1 << 18, 512
 #: Rows of lists that a task compares at a time, and pairs of them it holds at once.
@@ -101,7 +101,7 @@ def sketch_sets(docs: DataFrame, size: int) -> DataFrame:
                     pa.array([next(sigs).tobytes() if len(s) else None for s in sets], pa.binary())],
                     names=["doc_id", "n_shingles", "set_key", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
 def _tokens(sigs: Iterable[bytes]) -> np.ndarray:
@@ -137,7 +137,7 @@ def postings(reps: DataFrame) -> DataFrame:
             yield pd.DataFrame({"token": first.ravel().view("int64"),
                                 "doc_id": np.repeat(pdf["doc_id"].to_numpy(), first.shape[1])})
 
-    return reps.select("doc_id", "sig").mapInPandas(post, "token long, doc_id long")
+    return reps.select("doc_id", "sig").mapInPandas(tidy(post), "token long, doc_id long")
 
 
 def tagged(reps: DataFrame) -> DataFrame:
@@ -213,6 +213,7 @@ def list_groups(lists: DataFrame, percent: int) -> DataFrame:
                 break
             low = new
         hit = np.unique(np.concatenate([i, j]))
+        release_memory()
         return pd.DataFrame({"doc_id": ids[hit], "near": near[hit], "low": ids[low[hit]]})
 
     block = F.pmod(F.xxhash64("doc_id", "token"), F.ceil(F.col("docs") / BLOCK))

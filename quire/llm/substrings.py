@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stage, words_of
+from quire.llm.common import release_memory, stage, tidy, words_of
 
 GRAM = 8
 SHARD_BYTES = 4 << 20
@@ -91,7 +91,7 @@ def outline(docs: DataFrame, window: int) -> DataFrame:
                     pa.array(sha), pa.array(h, pa.list_(pa.int64())), pa.array(a, pa.list_(pa.int64())),
                     pa.array(b, pa.list_(pa.int64()))], names=["doc_id", "t1", "t2", "key", "n_words", "sha", "h", "a", "b"])
 
-    return docs.mapInArrow(run, "doc_id long, t1 long, t2 long, key binary, n_words long, sha string, "
+    return docs.mapInArrow(tidy(run), "doc_id long, t1 long, t2 long, key binary, n_words long, sha string, "
                                 "h array<long>, a array<long>, b array<long>")
 
 
@@ -119,7 +119,7 @@ def cut_segments(held: DataFrame, window: int, hot: int) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["shard", "key", "doc", "start", "words"])
 
     return held.select("doc", "text", "runs").mapInPandas(
-        run, "shard long, key binary, doc binary, start long, words binary")
+        tidy(run), "shard long, key binary, doc binary, start long, words binary")
 
 
 def recurring(flat: np.ndarray, lengths: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
@@ -201,6 +201,8 @@ def search_shards(segments: DataFrame, window: int, shard_bytes: int) -> DataFra
             if found:
                 keys.append(key)
                 spans.append([list(x) for x in found])
+        del numbers, number, parts, flat, passages
+        release_memory()
         return pd.DataFrame({"key": keys, "spans": spans}, dtype=object)
 
     return (distinct.withColumn("__s", F.pmod(F.xxhash64("shard"), F.lit(shards))).groupBy("__s")
@@ -280,7 +282,7 @@ def remove_repeated(docs: DataFrame, *, window: int = 35, shard_bytes: int = SHA
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "t1": pdf["t1"], "t2": pdf["t2"], "left": left})
 
     small, removals = repeated_passages(docs, window=window, shard_bytes=shard_bytes)
-    changed = removals.select("doc_id", "t1", "t2", "text", "spans").mapInPandas(run, "doc_id long, t1 long, t2 long, left string").unionByName(
+    changed = removals.select("doc_id", "t1", "t2", "text", "spans").mapInPandas(tidy(run), "doc_id long, t1 long, t2 long, left string").unionByName(
         small.where("gone").select("doc_id", "t1", "t2", F.lit("").alias("left"))).dropDuplicates(["doc_id", "t1", "t2"])
     free = "__change"
     while any(c.startswith(free) for c in docs.columns):

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stage
+from quire.llm.common import release_memory, stage, tidy
 
 WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -137,7 +137,7 @@ def featurise(texts: Iterable[str | None], index: dict[str, int], cache: dict) -
         for w in distinct:
             t = cache.get(w)
             if t is None:
-                if len(cache) > 500_000:
+                if len(cache) > 100_000:
                     cache.clear()
                 cache[w] = t = tuple(index[x] for x in terms_of(w) if x in index)
             if t:
@@ -160,9 +160,11 @@ def choose_terms(sample: DataFrame, categories: Sequence[str], terms: int, least
                         seen[t] += row
                     else:
                         seen[t] = row.copy()
-            yield pd.DataFrame({"term": list(seen), "n": [v.tolist() for v in seen.values()]})
+            while seen:  # in pieces, so that the batch's counts are not held twice
+                part = [seen.popitem() for _ in range(min(len(seen), 20_000))]
+                yield pd.DataFrame({"term": [t for t, _ in part], "n": [v.tolist() for _, v in part]})
 
-    each = sample.select("text", *categories).mapInPandas(count, "term string, n array<long>")
+    each = sample.select("text", *categories).mapInPandas(tidy(count), "term string, n array<long>")
     sums = (each.groupBy("term").agg(*[F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(2 * k)])
             .where(sum(F.col(f"n{i}") for i in range(2 * k)) >= least_docs * k))
     totals = sample.agg(*[F.sum((F.col(c) == v).cast("long")).alias(f"t{i + k * (1 - v)}")
@@ -208,7 +210,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *,
 
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)).cast("int").alias("fold")
     rows = stage(sample.select("text", fold, F.array(*[F.col(c).cast("double") for c in categories]).alias("y"))
-                 .mapInPandas(features, "fold int, y array<double>, terms array<int>, dense array<double>"), "features")
+                 .mapInPandas(tidy(features), "fold int, y array<double>, terms array<int>, dense array<double>"), "features")
     for number, _ in enumerate(categories):
 
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -266,13 +268,17 @@ def with_chain(docs: DataFrame, chain: Chain, column: str) -> DataFrame:
 
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model, cache = shared.value, {}
-        for batch in texts:
-            rows = []
-            for found, dense in featurise(batch, model.index, cache):
-                for w in model.weights:
-                    dense = [*dense, probability(w, found, dense)]
-                rows.append(dense[STYLE:])
-            yield pd.DataFrame(rows, columns=names, dtype="float64")
+        try:
+            for batch in texts:
+                rows = []
+                for found, dense in featurise(batch, model.index, cache):
+                    for w in model.weights:
+                        dense = [*dense, probability(w, found, dense)]
+                    rows.append(dense[STYLE:])
+                yield pd.DataFrame(rows, columns=names, dtype="float64")
+        finally:
+            cache.clear()
+            release_memory()
 
     return docs.withColumn(column, F.pandas_udf(predict, ", ".join(f"{n} double" for n in names))("text"))
 
