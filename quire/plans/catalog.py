@@ -391,6 +391,7 @@ def r8_borderline_smote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ models
 from quire.operators import train as TR  # noqa: E402
+from quire.operators import publish as PB  # noqa: E402
 from quire.operators import registry as RG  # noqa: E402
 from quire.plans import jobs as J  # noqa: E402
 from quire.session import ensure_checkpoint_dir  # noqa: E402
@@ -524,6 +525,22 @@ def w5_batch_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.batch_score(FX.payloads(spark, sf_dir), model, scaler, chosen, FK_V1)
 
 
+def _published(spark, sf_dir):
+    """A registry whose current version is the scoring model of this input; returns its folder."""
+    model, scaler, chosen = _scoring_model(spark, sf_dir)
+    root = _artifact_dir(spark, "published")
+    importances = list(zip(chosen, model.featureImportances.toArray().tolist()))
+    folder = PB.prepare(spark, root, model, scaler, importances, {"cv_f1": 0.5, "cv_score_std": 0.05}, "20250101_000000")
+    PB.promote(spark, root, folder, None)
+    return root
+
+
+@register("w5_registry_score")
+def w5_registry_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W5 with C11 and C14: publish the model and scaler, load them by the registry with their checksums, score."""
+    return J.score_from_registry(FX.payloads(spark, sf_dir), _published(spark, sf_dir), FK_V1)
+
+
 @register("c7_three_group_features")
 def c7_three_group_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three-group survey variant (fht + set + kmsi) up to features
@@ -601,11 +618,15 @@ def c9_c10_latest_and_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("c11_c14_artifact_manifest")
 def c11_c14_artifact_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C11: SHA-256 manifest of the saved model files (binaryFile) verified
-    against itself; C14: latest registry paths resolved against it."""
+    """C11: the models' files verified against the checksums taken when they were saved, after one file of
+    the older model was changed; C14: latest registry paths resolved against the files."""
     reg, root = _two_versions(spark, sf_dir)
+    saved = RG.manifest(spark, os.path.join(root, "models"))
+    # A few files for each model.
+    expected = spark.createDataFrame(saved.select("path", "sha256").collect(), "path string, sha256 string")
+    first = expected.where(F.col("path").contains("model_v1")).agg(F.min("path")).first()[0]
+    PB.rewrite(spark, first, spark.read.format("binaryFile").load(first).first()["content"] + b" ")
     man = RG.manifest(spark, os.path.join(root, "models"))
-    expected = spark.createDataFrame(man.select("path", "sha256").collect(), "path string, sha256 string")
     ver = RG.verify(man, expected)
     # C14: the latest row's model path is a folder (MLlib's layout).
     resolved = RG.resolve_artifacts(RG.latest(reg), man).select(

@@ -101,6 +101,7 @@ def feature_run(spark: SparkSession, sf_dir: str, spec: SurveySpec = FK_V1,
 
 # ---------------------------------------------------------------------- W2
 from quire.operators import evaluate as E  # noqa: E402
+from quire.operators import publish as PB  # noqa: E402
 from quire.operators import resample as R  # noqa: E402
 from quire.operators import stats as S  # noqa: E402
 from quire.operators import train as TR  # noqa: E402
@@ -315,3 +316,11 @@ def batch_score(requests: DataFrame, model, scaler: dict, features: list[str],
         F.lit("rejected").alias("approval_loan_status"),
         F.array(*[F.lit(f) for f in features]).alias("used_features"))
     return scored.select(*cols).unionByName(unrouted)
+
+
+def score_from_registry(requests: DataFrame, root: str, spec: SurveySpec = FK_V1, model_path: str | None = None,
+                        scaler_path: str | None = None, **kw) -> DataFrame:
+    """W5 by the registry at ``root``: the current version's model and scaler, or those at explicit paths,
+    are verified against their checksums (C11, C14) before anything is scored."""
+    loaded = PB.load(requests.sparkSession, root, model_path, scaler_path)
+    return batch_score(requests, loaded.model, loaded.scaler, loaded.features, spec, **kw)
