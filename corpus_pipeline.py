@@ -28,11 +28,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of least doc_id, of each group of near copies (five-word shingles, 0.8).
 
-    Rows without a doc_id cannot be grouped and stay.
+    Rows without a doc_id cannot be grouped and stay.  Rows of one doc_id with different texts are
+    one node of the graph: if it is kept all of them stay, each text once.
     """
     named = docs.where("doc_id is not null")
     kept = near_duplicates(named, size=5, percent=80).where("kept").select("doc_id").distinct()
-    return (named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return (named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
             .unionByName(docs.where("doc_id is null")))
 
 
