@@ -41,6 +41,58 @@ def class_counts(df: DataFrame, by: str) -> dict:
     return {r[0]: r[1] for r in df.groupBy(by).count().collect()}
 
 
+def _per_class(column: str, values: dict) -> Column:
+    return F.element_at(F.create_map(*[x for c, v in values.items() for x in (F.lit(c), F.lit(v).cast("bigint"))]),
+                        F.col(column))
+
+
+def _reached(cells: DataFrame, order: list[str], need: dict) -> dict:
+    """Per class the cell (``_c``, order.., ``n``) in which the running count reaches ``need``, as a row with ``upto``."""
+    upto = F.sum("n").over(Window.partitionBy("_c").orderBy(*order))
+    rows = (cells.withColumn("upto", upto).withColumn("_need", _per_class("_c", need))
+            .where((F.col("upto") >= F.col("_need")) & (F.col("upto") - F.col("n") < F.col("_need"))).collect())
+    return {r["_c"]: r for r in rows}
+
+
+def first_of_class(df: DataFrame, by: str, key: str, take: dict, counts: dict, seed: int = 42) -> Column | None:
+    """A condition on ``df``, true for the ``take[c]`` rows of each class c that come first by
+    (xxhash64(seed, key), key): those of least ``hash_rank``.
+
+    The last hash taken is selected by refining a histogram: counts over the 16 leading
+    bits, then over the next 16 inside the one bucket it lies in, then over the few keys that
+    share 32 bits.  Only counts are shuffled, at most one row a class reaches the driver, and the
+    condition itself moves no row.  None if rows of one key lie on both sides of the end.
+    """
+    need = {c: k for c, k in take.items() if 0 < k < counts[c]}
+    last, lead = {}, {}
+    if need:
+        h = (df.select(F.col(by).alias("_c"), F.col(key).alias("_key")).where(F.col("_c").isin(*need))
+             .withColumn("_h", _h(seed, F.col("_key"))))
+        left = dict(need)
+        for bits in (16, 32):
+            inside = h.where(F.shiftrightunsigned("_h", 80 - bits) == _per_class("_c", lead)) if lead else h
+            cells = inside.groupBy("_c", F.shiftrightunsigned("_h", 64 - bits).alias("_at")).agg(F.count(F.lit(1)).alias("n"))
+            hit = _reached(cells, ["_at"], left)
+            lead = {c: r["_at"] for c, r in hit.items()}
+            left = {c: left[c] - (r["upto"] - r["n"]) for c, r in hit.items()}
+        cells = (h.where(F.shiftrightunsigned("_h", 32) == _per_class("_c", lead))
+                 .groupBy("_c", "_h", "_key").agg(F.count(F.lit(1)).alias("n")))
+        last = _reached(cells, ["_h", "_key"], left)
+        if any(r["upto"] != left[c] for c, r in last.items()):
+            return None
+    here, kind = _h(seed, F.col(key)), df.schema[key].dataType
+    at, out = F.shiftrightunsigned(here, 32), None
+    for c, k in take.items():
+        inside = F.lit(k > 0)
+        if c in last:
+            r = last[c]
+            # nulls sort first and are alone with their hash
+            upto = F.col(key).isNull() if r["_key"] is None else F.coalesce(F.col(key) <= F.lit(r["_key"]).cast(kind), F.lit(True))
+            inside = (at < lead[c]) | ((at == lead[c]) & ((here < r["_h"]) | ((here == r["_h"]) & upto)))
+        out = F.when(F.col(by) == c, inside) if out is None else out.when(F.col(by) == c, inside)
+    return F.lit(False) if out is None else out.otherwise(False)
+
+
 def stratified_shares(counts: dict, total_take: int) -> dict:
     """Largest-remainder split of ``total_take`` over classes in proportion
     to their counts (remainder ties -> smaller class value)."""
@@ -56,21 +108,22 @@ def stratified_shares(counts: dict, total_take: int) -> dict:
 def stratified_split(df: DataFrame, by: str, key: str, test_size: float = 0.2,
                      seed: int = 42) -> DataFrame:
     """Adds ``is_test``; exactly ceil(test_size * n) test rows, shared
-    over classes by largest remainder."""
+    over classes by largest remainder.  A plain condition on the key (``first_of_class``);
+    rows are ranked only where a key's copies must be parted."""
     counts = class_counts(df, by)
     n_test = int(np.ceil(test_size * sum(counts.values())))
     take = stratified_shares(counts, n_test)
-    tk = F.create_map(*[x for c, v in take.items() for x in (F.lit(c), F.lit(v))])
+    first = first_of_class(df, by, key, take, counts, seed)
+    if first is not None:
+        return df.withColumn("is_test", first)
+    tk =F.create_map(*[x for c, v in take.items() for x in (F.lit(c), F.lit(v))])
     r = hash_rank(df, by, key, seed)
     return r.withColumn("is_test", F.col("rank") <= F.element_at(tk, F.col(by))).drop("rank")
 
 
 def random_split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """R1 unstratified (legacy script): exactly ceil(test_size * n) rows."""
-    df2 = df.withColumn("_all", F.lit(0))
-    n = df.count()
-    r = hash_rank(df2, "_all", key, seed)
-    return r.withColumn("is_test", F.col("rank") <= int(np.ceil(test_size * n))).drop("rank", "_all")
+    return stratified_split(df.withColumn("_all", F.lit(0)), "_all", key, test_size, seed).drop("_all")
 
 
 def stratified_folds(df: DataFrame, by: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -79,8 +132,14 @@ def stratified_folds(df: DataFrame, by: str, key: str, k: int = 5, seed: int = 4
 
 
 def undersample(df: DataFrame, by: str, key: str, seed: int = 42) -> DataFrame:
-    """Keep min(n_c) shuffled rows of every class."""
-    m = min(class_counts(df, by).values())
+    """Keep min(n_c) shuffled rows of every class, by a condition on the key as R1."""
+    counts = class_counts(df, by)
+    if not counts:
+        return df
+    m = min(counts.values())
+    first = first_of_class(df, by, key, dict.fromkeys(counts, m), counts, seed)
+    if first is not None:
+        return df.where(first)
     return hash_rank(df, by, key, seed).where(F.col("rank") <= m).drop("rank")
 
 

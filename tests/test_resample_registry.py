@@ -46,6 +46,37 @@ def test_over_under_sampling_counts(spark):
     assert c[0] == c[1] == (y == 1).sum()
 
 
+@pytest.mark.parametrize("as_text", [False, True])
+def test_selected_rows_are_those_of_least_rank(spark, as_text):
+    df, _ = _labelled(spark, 3000)
+    df = df.withColumn("id", F.concat(F.lit("k"), "id")) if as_text else df
+    counts = R.class_counts(df, "label")
+    for take in ({0: 700, 1: 31}, {0: 1, 1: counts[1]}, {0: 0, 1: counts[1] - 1}):
+        got = df.where(R.first_of_class(df, "label", "id", take, counts, 7))
+        tk = F.when(F.col("label") == 0, take[0]).otherwise(take[1])
+        want = R.hash_rank(df, "label", "id", 7).where(F.col("rank") <= tk)
+        assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in want.select("id").collect())
+
+
+def test_split_and_undersample_move_no_wide_row(spark):
+    df, y = _labelled(spark)
+    wide = df.withColumn("payload", F.repeat(F.lit("x"), 100))
+    for out in (R.stratified_split(wide, "label", "id"), R.undersample(wide, "label", "id")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_copies_of_a_key_and_null_keys_keep_the_counts_exact(spark):
+    rows = [(7, 0)] * 40 + [(None, 0)] * 10 + [(i, 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, label int")
+    assert R.first_of_class(df, "label", "id", {0: 20, 1: 20}, {0: 50, 1: 20}) is None
+    c = {r[0]: r[1] for r in R.undersample(df, "label", "id").groupBy("label").count().collect()}
+    assert c == {0: 20, 1: 20}
+    s = R.stratified_split(df, "label", "id", 0.2)
+    assert s.where("is_test").count() == 14 and s.count() == 70
+    assert R.random_split(df, "id", 0.5).where("is_test").count() == 35
+
+
 @pytest.mark.parametrize("method", ["smote", "borderline", "adasyn"])
 def test_smote_family_balanced_and_on_segments(spark, method):
     n = 200
