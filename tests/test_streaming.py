@@ -4,11 +4,14 @@ import os
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from quire.operators import train as TR
 from quire.plans.jobs import batch_score
 from quire.sources import fixtures as FX
+from quire.streaming import scoring
 from quire.streaming.scoring import start_scoring_stream
 from tests.conftest import SF_SMALL
 
@@ -41,3 +44,38 @@ def test_stream_matches_batch_and_replays_cleanly(spark, tmp_dir):
     # restart over the same checkpoint and source: nothing new, no duplicates
     start_scoring_stream(spark, src, req.schema, out, ckpt, model, scaler, feats).awaitTermination()
     assert spark.read.parquet(out).count() == len(s)
+    # a later file repeats ids of earlier batches, twice, beside new ones
+    old = req.orderBy("resp_id").limit(5)
+    new = old.withColumn("resp_id", F.col("resp_id") + 10_000_000)
+    old.unionByName(old).unionByName(new).coalesce(1).write.mode("append").parquet(src)
+    start_scoring_stream(spark, src, req.schema, out, ckpt, model, scaler, feats).awaitTermination()
+    ids = [r[0] for r in spark.read.parquet(out).select("resp_id").collect()]
+    assert len(ids) == len(set(ids)) == len(s) + 5
+    # the output of one checkpoint is refused to another
+    with pytest.raises(StreamingQueryException, match="another checkpoint"):
+        start_scoring_stream(spark, src, req.schema, out, os.path.join(tmp_dir, "other"), model, scaler, feats).awaitTermination()
+    assert spark.read.parquet(out).count() == len(ids)
+
+
+def test_a_batch_replayed_after_a_failure_replaces_its_output(spark, tmp_dir, monkeypatch):
+    model, scaler, feats = _model(spark)
+    req = FX.payloads(spark, SF_SMALL)
+    src, out, ckpt = (os.path.join(tmp_dir, x) for x in ("requests", "scored", "ckpt"))
+    first = req.orderBy("resp_id").limit(8)
+    first.coalesce(1).write.mode("append").parquet(src)
+    first.unionByName(req.orderBy(F.desc("resp_id")).limit(4)).coalesce(1).write.mode("append").parquet(src)
+    real, seen = scoring.batch_score, []
+
+    def failing(batch, *a, **k):
+        seen.append(sorted(r[0] for r in batch.select("resp_id").collect()))
+        if len(seen) == 2:
+            raise RuntimeError("executor lost")
+        return real(batch, *a, **k)
+
+    monkeypatch.setattr(scoring, "batch_score", failing)
+    with pytest.raises(StreamingQueryException):
+        start_scoring_stream(spark, src, req.schema, out, ckpt, model, scaler, feats).awaitTermination()
+    start_scoring_stream(spark, src, req.schema, out, ckpt, model, scaler, feats).awaitTermination()
+    assert len(seen) == 3 and seen[1] == seen[2]  # the same rows again
+    ids = [r[0] for r in spark.read.parquet(out).select("resp_id").collect()]
+    assert len(ids) == len(set(ids)) == 12
