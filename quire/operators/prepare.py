@@ -7,10 +7,11 @@ training and scoring share the same code path.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.exprs import all_of, finite_or_null
+from quire.functions.prefix import PART, PART_ROWS, lay_out, sums_before
 from quire.functions.quantiles import exact_quantiles
 from quire.spec import SurveySpec
 
@@ -131,17 +132,30 @@ def apply_onehot(df: DataFrame, vocab: dict) -> DataFrame:
     return df.select(*exprs)
 
 
-def apply_label(df: DataFrame, vocab: dict) -> DataFrame:
-    """Level -> 0..k-1 in sorted order, as BIGINT (literal map lookup)."""
-    exprs = []
-    for c in df.columns:
-        if c in vocab:
-            m = F.create_map(*[x for i, lvl in enumerate(vocab[c]) for x in (F.lit(lvl), F.lit(i))])
-            v = F.coalesce(F.col(c).cast("string"), F.lit("missing"))
-            exprs.append(F.try_element_at(m, v).cast("bigint").alias(c))
-        else:
-            exprs.append(F.col(c))
-    return df.select(*exprs)
+def fit_labels(df: DataFrame, column: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """The dictionary ``level, code`` of a column (NULL -> 'missing'), codes 0..k-1 in sorted order.
+
+    Levels are numbered inside ranges of about ``part_rows`` and shifted by what
+    lies in earlier ranges, so a column may have any number of levels; none reaches the driver.
+    """
+    levels = df.select(F.coalesce(F.col(column).cast("string"), F.lit("missing")).alias("level")).distinct()
+    laid = lay_out(levels, ["level"], part_rows)
+    before = sums_before(laid.groupBy(PART).agg(F.count(F.lit(1)).alias("n")), [], ["n"])
+    inside = F.row_number().over(Window.partitionBy(PART).orderBy("level"))
+    return laid.join(before, PART).select("level", (F.col("n") + inside - 1).cast("bigint").alias("code"))
+
+
+def apply_labels(df: DataFrame, dictionaries: dict) -> DataFrame:
+    """Each column of ``dictionaries`` becomes its level's code (BIGINT); NULL for a level unseen at fit time.
+
+    Left joins; whether a dictionary is broadcast is left to Spark's byte threshold."""
+    out = df
+    for i, (c, levels) in enumerate(dictionaries.items()):
+        level, code = f"_level{i}", f"_code{i}"
+        v = F.coalesce(F.col(c).cast("string"), F.lit("missing"))
+        out = out.join(levels.select(F.col("level").alias(level), F.col("code").alias(code)), v == F.col(level), "left")
+    codes = {c: f"_code{i}" for i, c in enumerate(dictionaries)}
+    return out.select(*[F.col(codes[c]).alias(c) if c in codes else F.col(c) for c in df.columns])
 
 
 def prune_suffixes(df: DataFrame, suffixes=("_sum", "_count", "_var")) -> DataFrame:
@@ -154,7 +168,7 @@ def quality_report(df: DataFrame, name: str = "frame", min_rows: int = 1, min_co
                    required: list[str] | None = None) -> DataFrame:
     """Every rule of the data-quality gate in ONE aggregation.
 
-    Returns (check, passed, detail) rows, lazily; ``assert_quality`` turns
+    Returns (check, passed, detail) rows, lazily; ``enforce`` turns
     a failure into an exception.
     """
     cols = df.columns
@@ -185,11 +199,17 @@ def quality_report(df: DataFrame, name: str = "frame", min_rows: int = 1, min_co
                  d.alias("detail")) for k, p, d in checks])).alias("r")).select("r.*")
 
 
-def assert_quality(report: DataFrame) -> None:
-    bad = report.where(~F.col("passed")).collect()
+def enforce(df: DataFrame, name: str = "frame", warn: tuple = (), **rules) -> DataFrame:
+    """P22 as a gate: the report of ``quality_report(df, name, **rules)``, or ``DataQualityError`` if a rule fails.
+
+    Rules named in ``warn`` are reported and stop nothing.  The report returned
+    holds its eight rows and no longer refers to ``df``."""
+    report = quality_report(df, name, **rules)
+    rows = report.collect()
+    bad = [r for r in rows if not r["passed"] and r["check"] not in warn]
     if bad:
-        raise DataQualityError("; ".join(f"{r['frame']}.{r['check']} failed ({r['detail']})"
-                                         for r in bad))
+        raise DataQualityError("; ".join(f"{r['frame']}.{r['check']} failed ({r['detail']})" for r in bad))
+    return df.sparkSession.createDataFrame(rows, report.schema)
 
 
 def drop_key(df: DataFrame, key: str = "user_id") -> DataFrame:

@@ -144,13 +144,17 @@ def grid_search(df: DataFrame, features: list[str], label: str, cfg: ModelConfig
 
 
 def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, k: int,
-                params: dict | None = None) -> DataFrame:
-    """M4: for each fold, fit on the others and score it; union of folds."""
+                params: dict | None = None, estimator=None) -> DataFrame:
+    """M4: for each fold, fit on the others and score it; union of folds.
+
+    ``estimator(rows)`` gives the learner for one fold's training rows; by
+    default it is a forest with ``params``."""
     params = params or {}
     data = assemble(df, features)
     parts = []
     for f in range(k):
-        m = forest(label, **params).fit(data.where(F.col(fold) != f))
+        rows = data.where(F.col(fold) != f)
+        m = (estimator(rows) if estimator else forest(label, **params)).fit(rows)
         parts.append(probability_of_one(m.transform(data.where(F.col(fold) == f))))
     out = parts[0]
     for p in parts[1:]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quire.plans import oracle as O
 from quire.plans.jobs import feature_run, load_wide, survey_sources
 from quire.operators.answers import accepted, parse_answers, rejected
-from quire.sources.survey import labelled_load
+from quire.sources.survey import labelled_load, legacy_cohort, pending_customers
 from quire.spec import FK_V1, TRAINING_SLUG
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -394,6 +394,7 @@ from quire.operators import train as TR  # noqa: E402
 from quire.operators import publish as PB  # noqa: E402
 from quire.operators import registry as RG  # noqa: E402
 from quire.plans import jobs as J  # noqa: E402
+from quire.plans import trainers as W4  # noqa: E402
 from quire.session import ensure_checkpoint_dir  # noqa: E402
 
 # Grid of the registered training queries: the reference's grid shape
@@ -730,7 +731,7 @@ def p17_onehot_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p18_label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label encoding of part.p_brand, 0..k-1 in sorted order."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    return PR.apply_label(p, PR.fit_categories(p, ["p_brand"]))
+    return PR.apply_labels(p, {"p_brand": PR.fit_labels(p, "p_brand")})
 
 
 @register("p22_quality_report",
@@ -790,14 +791,47 @@ def e6_cv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w4_logistic_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W4 (logistic trainer): T2 top Pearson -> R1 split -> T7 backward
     elimination -> M2 balanced logistic fit -> E10 per-class test report."""
+    res = _logistic_chain(spark, sf_dir)
+    return res.report.withColumn("features", F.lit(",".join(res.features)))
+
+
+def _logistic_chain(spark, sf_dir):
     prep = J.preprocess(feature_run(spark, sf_dir).features, FK_V1)
     corr = S.correlation_table(prep.frame, prep.features, "ust")
     cand = [r["feature"] for r in T.top_by(corr, "pearson", N_SELECT).orderBy("position").collect()]
-    s = R.stratified_split(_weighted(prep), "ust", "user_id", 0.2, 42)
-    tr, te = s.where(~F.col("is_test")), s.where(F.col("is_test"))
-    n = tr.count()
-    keep, _ = TR.backward_elimination(tr, te, cand, "ust", n_rows=n)
-    m = TR.logistic("ust", "w", n_rows=n).fit(TR.assemble(tr, keep))
-    pt = TR.probability_of_one(m.transform(TR.assemble(te, keep)))
-    pt = pt.withColumn("pred", E.decide(F.col("p1"), 0.5)).withColumnRenamed("ust", "label")
-    return E.per_class_report(pt).withColumn("features", F.lit(",".join(keep)))
+    return W4.logistic_chain(prep.frame, cand)
+
+
+@register("t7_cv_figures")
+def t7_cv_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test and cross-validated figures of the set that backward elimination keeps."""
+    return W4.figures_table(spark, _logistic_chain(spark, sf_dir).metrics)
+
+
+@register("w4_forest_chain")
+def w4_forest_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W4 (alternative trainer): T4 -> R1 -> R3 -> M3 -> T6 -> E1-E6, E9."""
+    prep = J.preprocess(feature_run(spark, sf_dir).features, FK_V1)
+    corr = S.correlation_table(prep.frame, prep.features, "ust")
+    cand = T.select_uncorrelated_top(spark, prep.frame, corr, N_SELECT)
+    cfg = TR.ModelConfig(**QUERY_CFG | {"n_bootstraps": 1000, "oversampling_method": "random", "scoring": "roc_auc"})
+    return W4.figures_table(spark, W4.forest_chain(prep.frame, cand, cfg).metrics)
+
+
+@register("w4_legacy_chain")
+def w4_legacy_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W4 (legacy trainer): S3 -> R1 -> M1 -> E3, E4, E6 -> T9."""
+    res = W4.legacy_chain(FX.legacy_users(spark, sf_dir), "user_id")
+    return W4.figures_table(spark, res.metrics | {f"importance_{f}": v for f, v in res.importances})
+
+
+@register("s3_legacy_cohort", O.legacy_cohort_sql())
+def s3_legacy_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: settled users and recovered payers with their eleven answers."""
+    return legacy_cohort(FX.legacy_users(spark, sf_dir), key="user_id")
+
+
+@register("s4_pending_customers", O.pending_customers_sql())
+def s4_pending_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers not scored yet."""
+    return pending_customers(FX.new_customers(spark, sf_dir))

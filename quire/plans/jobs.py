@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quire.operators.answers import accepted, fill_int, parse_answers, rejected
 from quire.operators.features import apply_nonfinite_fill, engineer, fit_nonfinite_fill
-from quire.operators.prepare import (apply_fill, coerce_numeric, dedup_exact, fit_impute, fit_mode,
-                                     quality_report, recode, target_domain)
+from quire.operators.prepare import (DataQualityError, apply_fill, coerce_numeric, dedup_exact, enforce, fit_impute,
+                                     fit_mode, recode, target_domain)
 from quire.session import cut_lineage
 from quire.sources import fixtures
 from quire.sources.survey import labelled_load
@@ -44,16 +44,19 @@ def load_wide(src: dict, spec: SurveySpec = FK_V1, slug: str = TRAINING_SLUG,
 
 
 def clean(wide: DataFrame, spec: SurveySpec = FK_V1, method: str = "median",
-          fits: dict | None = None, cached: list | None = None) -> DataFrame:
+          fits: dict | None = None, cached: list | None = None, gate=None) -> DataFrame:
     """P8 -> P9 -> P10 -> P12 -> P13 (data_cleaning).
 
-    The frame that is kept in memory is appended to ``cached`` for the caller to release."""
+    The frame that is kept in memory is appended to ``cached`` for the caller to release;
+    ``gate`` is called with it before anything is fitted."""
     fits = {} if fits is None else fits
     # The de-duplicated frame feeds several small fits and the final plan:
     # keep it (memory+disk; lost blocks are recomputed from lineage).
     df = dedup_exact(wide).persist(StorageLevel.MEMORY_AND_DISK)
     if cached is not None:
         cached.append(df)
+    if gate is not None:
+        gate(df)
     t = spec.target
     nulls = df.agg(F.count_if(F.col(t).isNull()).alias("n")).first()["n"]
     if nulls:
@@ -77,25 +80,35 @@ def transform(df: DataFrame, spec: SurveySpec = FK_V1, fits: dict | None = None)
 def feature_run(spark: SparkSession, sf_dir: str, spec: SurveySpec = FK_V1,
                 slug: str = TRAINING_SLUG, method: str = "median") -> FeatureRun:
     """Load -> parse -> clean -> transform -> engineer (F1-F6, F8), with
-    a P22 report after each step."""
+    a P22 gate after each step: a frame that fails it raises ``DataQualityError``
+    and no later step runs.  A single class of the target is only reported here,
+    the trainers refuse it.
+
+    The gates read the de-duplicated frame that is kept in memory (it has rows and values just if
+    the loaded one has) and the checkpointed result, so none of them reads the sources again."""
     fits: dict = {}
-    wide, rejects = load_wide(survey_sources(spark, sf_dir), spec, slug)
-    reports = [quality_report(wide, "raw", target=spec.target)]
+    reports: list = []
     cached: list = []
-    cleaned = clean(wide, spec, method, fits, cached)
-    reports.append(quality_report(cleaned, "cleaned", target=spec.target))
-    transformed = transform(cleaned, spec, fits)
-    reports.append(quality_report(transformed, "transformed", target=spec.target))
-    eng = engineer(transformed, spec)
-    fits["nonfinite"] = fit_nonfinite_fill(eng, exclude=(spec.target, spec.key))
-    eng = apply_nonfinite_fill(eng, fits["nonfinite"])
-    # Stage boundary: the engineered frame is written to the shared
-    # checkpoint folder (survives executor loss, keeps later plans small).
-    eng = cut_lineage(eng)
-    for frame in cached:
-        frame.unpersist()
-    reports.append(quality_report(eng, "engineered", target=spec.target,
-                                  required=spec.engineered_columns()))
+
+    def gate(df: DataFrame, name: str, **rules) -> None:
+        reports.append(enforce(df, name, warn=("target_two_classes",), target=spec.target, **rules))
+
+    wide, rejects = load_wide(survey_sources(spark, sf_dir), spec, slug)
+    try:
+        cleaned = clean(wide, spec, method, fits, cached, gate=lambda df: gate(df, "raw"))
+        gate(cleaned, "cleaned")
+        transformed = transform(cleaned, spec, fits)
+        gate(transformed, "transformed")
+        eng = engineer(transformed, spec)
+        fits["nonfinite"] = fit_nonfinite_fill(eng, exclude=(spec.target, spec.key))
+        eng = apply_nonfinite_fill(eng, fits["nonfinite"])
+        # Stage boundary: the engineered frame is written to the shared
+        # checkpoint folder (survives executor loss, keeps later plans small).
+        eng = cut_lineage(eng)
+    finally:
+        for frame in cached:
+            frame.unpersist()
+    gate(eng, "engineered", required=spec.engineered_columns())
     return FeatureRun(eng, rejects, reports, fits)
 
 
@@ -136,10 +149,15 @@ def preprocess(features: DataFrame, spec: SurveySpec = FK_V1, method: str = "med
 
 
 def preprocess_and_select(features: DataFrame, spec: SurveySpec = FK_V1, n: int = 10):
-    """Preprocess, correlate (A11-A13), select top Spearman."""
+    """Preprocess, gate (P22), correlate (A11-A13), select top Spearman.
+
+    ``DataQualityError`` if the prepared frame fails the gate or no feature is selected."""
     prep = preprocess(features, spec)
+    enforce(prep.frame, "preprocessed", target=spec.target)
     corr = S.correlation_table(prep.frame, prep.features, spec.target)
     chosen = [r["feature"] for r in top_by(corr, "spearman", n).orderBy("position").collect()]
+    if not chosen:
+        raise DataQualityError("no feature was selected")
     return prep, corr, chosen
 
 
@@ -219,6 +237,8 @@ def train_and_evaluate(prepared: DataFrame, selected: list[str], cfg: TR.ModelCo
     metrics = {k: (0.0 if v is None or v != v or v < 0 else float(v)) for k, v in metrics.items()}
     imp = sorted(zip(chosen, [float(x) for x in final.featureImportances.toArray()]),
                  key=lambda t: (-t[1], t[0]))
+    train.unpersist()
+    split.unpersist()
     return {"metrics": metrics, "model": final, "features": chosen, "importances": imp,
             "removed": removed, "added": added, "best_params": best, "grid": grid,
             "class_balance": balance, "recall_gap_warning":

@@ -457,6 +457,22 @@ def label_encode_sql() -> str:
             " FROM part")
 
 
+def legacy_cohort_sql() -> str:
+    k = "CAST(c_custkey AS BIGINT)"
+    sets = ", ".join(f"CAST(1 + (({k} * {p} + {1009 * i}) % 10007) % 3 AS INTEGER) AS set{i}"
+                     for i, p in enumerate(ANSWER_PRIMES[:11], 1))
+    return with_([f"u AS (SELECT {k} AS user_id, {sets}, CAST({k} % 7 AS INTEGER) AS init_payoff_score,"
+                  f" CAST(({k} * 31) % 11 AS INTEGER) AS payoff_score FROM customer)",
+                  "s AS (SELECT *, CAST(CASE WHEN user_id % 13 = 0 THEN 2 WHEN set1 + set2 + (user_id * 17) % 5 >= 7 THEN 1"
+                  " ELSE 0 END AS INTEGER) AS user_status FROM u)"],
+                 "SELECT * FROM s WHERE user_status = 1 OR (user_status = 0 AND payoff_score > 4)")
+
+
+def pending_customers_sql() -> str:
+    return ("SELECT CAST(c_custkey AS BIGINT) AS customer_id, CAST(0 AS INTEGER) AS processed FROM customer"
+            " WHERE c_custkey % 3 = 0")
+
+
 def quality_sql(src_ctes: list[str], src: str, cols: list[str], target: str, name: str) -> str:
     nn = ", ".join(f"count({c}) AS nn_{i}" for i, c in enumerate(cols))
     greatest_nn = "greatest(" + ", ".join(f"nn_{i}" for i in range(len(cols))) + ")"

@@ -30,6 +30,22 @@ def _answer_value(key: Column, i: int) -> Column:
     return (F.lit(1) + ((key * F.lit(ANSWER_PRIMES[i - 1]) + F.lit(1009 * i)) % 10007) % 3).cast("int")
 
 
+def legacy_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide ``users`` table of the legacy cohort: ``set_1``..``set_11``, two payoff scores and a status of 0, 1 or 2."""
+    k = F.col("c_custkey")
+    risk = F.col("set_1") + F.col("set_2") + (F.col("user_id") * 17) % 5
+    return (table(spark, sf_dir, "customer")
+            .select(k.alias("user_id"), *[_answer_value(k, i).alias(f"set_{i}") for i in range(1, 12)],
+                    (k % 7).cast("int").alias("init_payoff_score"), ((k * 31) % 11).cast("int").alias("payoff_score"))
+            .withColumn("user_status", F.when(F.col("user_id") % 13 == 0, 2).when(risk >= 7, 1).otherwise(0)))
+
+
+def new_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``customer_id, processed``: two of three customers were scored before."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("customer_id"), F.when(k % 3 == 0, 0).otherwise(1).alias("processed"))
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
 

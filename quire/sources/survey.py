@@ -46,12 +46,12 @@ def labelled_load(users: DataFrame, answers: DataFrame, features: DataFrame,
             .select("user_id", "feature_id", "answer", "ust"))
 
 
-def legacy_cohort(users: DataFrame, n_items: int = 11) -> DataFrame:
+def legacy_cohort(users: DataFrame, n_items: int = 11, key: str | None = None) -> DataFrame:
     """S3: ``set_i -> seti`` and keep settled users or recovered payers:
-    ``user_status = 1 OR (user_status = 0 AND payoff_score > 4)``."""
+    ``user_status = 1 OR (user_status = 0 AND payoff_score > 4)``.  ``key`` names an id to carry along."""
     cols = [F.col(f"set_{i}").alias(f"set{i}") for i in range(1, n_items + 1)]
     keep = (F.col("user_status") == 1) | ((F.col("user_status") == 0) & (F.col("payoff_score") > 4))
-    return users.where(keep).select(*cols, "init_payoff_score", "user_status", "payoff_score")
+    return users.where(keep).select(*([key] if key else []), *cols, "init_payoff_score", "user_status", "payoff_score")
 
 
 def pending_customers(new_customers: DataFrame) -> DataFrame:
