@@ -791,15 +791,15 @@ def e6_cv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w4_logistic_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W4 (logistic trainer): T2 top Pearson -> R1 split -> T7 backward
     elimination -> M2 balanced logistic fit -> E10 per-class test report."""
-    res = _logistic_chain(spark, sf_dir)
+    res = _logistic_chain(spark, sf_dir, cross_validate=False)
     return res.report.withColumn("features", F.lit(",".join(res.features)))
 
 
-def _logistic_chain(spark, sf_dir):
+def _logistic_chain(spark, sf_dir, **kw):
     prep = J.preprocess(feature_run(spark, sf_dir).features, FK_V1)
     corr = S.correlation_table(prep.frame, prep.features, "ust")
     cand = [r["feature"] for r in T.top_by(corr, "pearson", N_SELECT).orderBy("position").collect()]
-    return W4.logistic_chain(prep.frame, cand)
+    return W4.logistic_chain(prep.frame, cand, **kw)
 
 
 @register("t7_cv_figures")

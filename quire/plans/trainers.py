@@ -90,7 +90,8 @@ test_figures.__test__ = False  # not a test of pytest's
 
 
 def logistic_chain(frame: DataFrame, candidates: list[str], key: str = "user_id", label: str = "ust",
-                   test_size: float = 0.2, n_folds: int = 5, seed: int = 42, threshold: float = 0.5) -> Trained:
+                   test_size: float = 0.2, n_folds: int = 5, seed: int = 42, threshold: float = 0.5,
+                   cross_validate: bool = True) -> Trained:
     """Backward elimination of a balanced logistic model on one stratified split.
 
     The model returned is fitted on the training rows.  Cross-validation
@@ -112,9 +113,11 @@ def logistic_chain(frame: DataFrame, candidates: list[str], key: str = "user_id"
         # the report outlives the rows that are released here
         report = E.per_class_report(scored.withColumnRenamed(label, "label"))
         report = frame.sparkSession.createDataFrame(report.collect(), report.schema)
-        oof = TR.out_of_fold(rows, kept, label, "fold", n_folds,
-                             estimator=lambda part: TR.logistic(label, "w", n_rows=part.count()))
-        metrics = test_figures(scored, label) | cross_validated(oof, label, n_folds, threshold)
+        metrics = test_figures(scored, label)
+        if cross_validate:
+            oof = TR.out_of_fold(rows, kept, label, "fold", n_folds,
+                                 estimator=lambda part: TR.logistic(label, "w", n_rows=part.count()))
+            metrics |= cross_validated(oof, label, n_folds, threshold)
     finally:
         rows.unpersist()
     weight = sorted(zip(kept, [abs(float(x)) for x in model.coefficients.toArray()]), key=lambda t: (-t[1], t[0]))
