@@ -213,25 +213,94 @@ def correlation_table(df: DataFrame, features: list[str], target: str, part_rows
 
 
 # ------------------------------------------------------------------ A14 - A16
+#: Partial results of this many tasks meet in one group of the first merge.
+MERGE_FAN = 256
+_PARTIAL = "task BIGINT, i INT, n ARRAY<DOUBLE>, mean ARRAY<DOUBLE>, co ARRAY<DOUBLE>"
+
+
+def _block_moments(x: np.ndarray, present: np.ndarray) -> np.ndarray:
+    """(3, p, p) of a block of rows: the number of rows that have both columns, the mean of the first
+    over them, the sum of products of deviations from these means."""
+    one = present.astype(float)
+    n = one.T @ one
+    shift = np.where(present, x, 0.0).sum(axis=0) / np.maximum(np.diag(n), 1.0)
+    x = np.where(present, x - shift, 0.0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = np.where(n > 0, (x.T @ one) / n, 0.0)
+        co = x.T @ x - n * mean * mean.T
+    return np.stack([n, np.where(n > 0, mean + shift[:, None], 0.0), co])
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Moments of two disjoint sets of rows taken together, entry by entry."""
+    (na, ma, ca), (nb, mb, cb) = a, b
+    both, n = (na > 0) & (nb > 0), na + nb
+    gap = np.where(both, mb - ma, 0.0)  # an empty side has mean 0 and must not move the other's
+    share = nb / np.maximum(n, 1.0)
+    return np.stack([n, np.where(na > 0, ma + gap * share, mb), ca + cb + gap * gap.T * na * share])
+
+
+def _task_moments(columns: list[str]):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        total = None
+        for batch in batches:
+            if not batch.num_rows or not columns:
+                continue
+            cols = [batch.column(k) for k in range(len(columns))]
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in cols]).astype(float)
+            present = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in cols])
+            block = _block_moments(x, present)
+            total = block if total is None else _merged(total, block)
+        if total is not None:
+            yield _packed(pa, TaskContext.get().partitionId(), total)
+    return run
+
+
+def _packed(pa, task: int, m: np.ndarray):
+    """Moments as a record batch: the whole matrix in one row (``i`` is its width)."""
+    p = m.shape[1]
+    return pa.RecordBatch.from_pydict(
+        {"task": pa.array([task], pa.int64()), "i": pa.array([p], pa.int32()),
+         **{k: pa.array([m[j].ravel()], pa.list_(pa.float64())) for j, k in enumerate(("n", "mean", "co"))}})
+
+
+def _merge_moments(table):
+    import pyarrow as pa
+
+    total = None
+    for row in table.sort_by("task").to_batches(max_chunksize=1):
+        p = row.column("i")[0].as_py()
+        m = np.stack([row.column(k).flatten().to_numpy().reshape(p, p) for k in ("n", "mean", "co")])
+        total = m if total is None else _merged(total, m)
+    return pa.Table.from_batches([_packed(pa, table.column("task")[0].as_py() // MERGE_FAN, total)])
+
+
 def gram(df: DataFrame, features: list[str]) -> dict:
-    """One pass: n, means, sample covariances and raw cross products for
-    all pairs (p(p+1)/2 aggregates; p is tens here)."""
+    """One pass: n, means, sample covariances and raw cross products for all pairs.
+
+    A task takes its rows in Arrow batches, a batch by two matrix products, and gives one
+    row of 3 p^2 numbers; these meet in groups of ``MERGE_FAN`` tasks, then in one.  The
+    plan does not grow with p.  A null leaves its row out of the pairs of its column only; a NaN
+    or an infinity makes all pairs of its column NaN.  Deviations are taken from the means of the
+    rows at hand, so large means lose no digits.
+    """
     p = len(features)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(features):
-        aggs.append(F.avg(c).alias(f"m{i}"))
-    for i in range(p):
-        for j in range(i, p):
-            a, b = F.col(features[i]).cast("double"), F.col(features[j]).cast("double")
-            aggs += [F.covar_samp(a, b).alias(f"c{i}_{j}"), F.sum(a * b).alias(f"g{i}_{j}")]
-    row = df.agg(*aggs).first()
-    cov, raw = np.zeros((p, p)), np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] if row[f"c{i}_{j}"] is not None else np.nan
-            raw[i, j] = raw[j, i] = row[f"g{i}_{j}"] or 0.0
-    return {"n": row["n"], "mean": np.array([row[f"m{i}"] for i in range(p)], dtype=float),
-            "cov": cov, "raw": raw, "features": list(features)}
+    parts = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(features)]).mapInArrow(
+        _task_moments(list(features)), _PARTIAL)
+    once = parts.withColumn("at", F.floor(F.col("task") / MERGE_FAN)).groupBy("at").applyInArrow(
+        _merge_moments, _PARTIAL)
+    row = once.withColumn("at", F.lit(0)).groupBy("at").applyInArrow(_merge_moments, _PARTIAL).first() if p else None
+    n, mean, co = ((np.array(row[k]).reshape(p, p) for k in ("n", "mean", "co")) if row
+                   else (np.zeros((p, p)) for _ in range(3)))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cov = np.where(n > 1, co / (n - 1), np.nan)
+        raw = co + n * mean * mean.T
+        own = np.where(np.diag(n) > 0, np.diag(mean), np.nan)
+    return {"n": int(np.diag(n).max()) if p else 0, "mean": own, "cov": cov, "raw": raw, "features": list(features)}
 
 
 def corr_from_gram(g: dict) -> np.ndarray:

@@ -113,6 +113,33 @@ def a6_outlier_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.remove_outliers(_lineitem(spark, sf_dir), LI)
 
 
+def _charges(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(*LI_KEY, *[F.expr(e).alias(c) for c, e in O.CHARGES.items()])
+
+
+_CHARGES = dict(cols=list(O.CHARGES), first=(O.charges_cte(),), table="charges")
+
+
+@register("a4_outlier_median_charges", O.outlier_sql("median", **_CHARGES))
+def a4_outlier_median_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 on amounts that hold outliers."""
+    df = _charges(spark, sf_dir)
+    return S.apply_outliers(df, S.profile(df, list(O.CHARGES)), "median")
+
+
+@register("a5_outlier_cap_charges", O.outlier_sql("cap", **_CHARGES))
+def a5_outlier_cap_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 on amounts that hold outliers: two columns are clipped, the skewed one takes the median."""
+    df = _charges(spark, sf_dir)
+    return S.apply_outliers(df, S.profile(df, list(O.CHARGES)), "cap")
+
+
+@register("a6_outlier_remove_charges", O.outlier_remove_sql(**_CHARGES))
+def a6_outlier_remove_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 on amounts that hold outliers: rows leave for two columns, the skewed one takes the median."""
+    return S.remove_outliers(_charges(spark, sf_dir), list(O.CHARGES))
+
+
 @register("a7_scaler_fit", O.scaler_fit_sql())
 def a7_scaler_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and population std (0 -> 1) per column."""
@@ -156,13 +183,13 @@ def a14_pearson_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.pearson_matrix(spark, _lineitem(spark, sf_dir), LI)
 
 
-@register("a15_vif")
+@register("a15_vif", O.vif_sql(True))
 def a15_vif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VIF with intercept = diag of the inverse correlation matrix."""
     return S.vif(spark, _lineitem(spark, sf_dir), LI, intercept=True)
 
 
-@register("a16_vif_uncentred")
+@register("a16_vif_uncentred", O.vif_sql(False))
 def a16_vif_uncentred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VIF without intercept (uncentred R^2) from the raw Gram matrix."""
     return S.vif(spark, _lineitem(spark, sf_dir), LI, intercept=False)

@@ -213,10 +213,21 @@ def _fence_cte(name: str, src: str, c: str) -> str:
             f" FROM {src}, (SELECT avg({c}) AS m FROM {src}) mm)")
 
 
-def outlier_sql(method: str, cols=LI_COLS) -> str:
+#: Columns of lineitem that hold outliers: two moderately skewed, so that they are clipped or their
+#: rows removed, and one with |skewness| > 1, which always takes the median.
+CHARGES = {"discount_value": "l_extendedprice * l_discount", "tax_units": "l_quantity * l_tax",
+           "unit_discount": "l_extendedprice / l_quantity * l_discount"}
+
+
+def charges_cte() -> str:
+    return ("charges AS (SELECT l_orderkey, l_linenumber, "
+            + ", ".join(f"{e} AS {c}" for c, e in CHARGES.items()) + " FROM lineitem)")
+
+
+def outlier_sql(method: str, cols=LI_COLS, first: tuple = (), table: str = "lineitem") -> str:
     key = "l_orderkey, l_linenumber"
-    base = f"base AS (SELECT {key}, {', '.join(cols)} FROM lineitem)"
-    ctes = [base] + [_fence_cte(f"f_{c}", "base", c) for c in cols]
+    base = f"base AS (SELECT {key}, {', '.join(cols)} FROM {table})"
+    ctes = [*first, base] + [_fence_cte(f"f_{c}", "base", c) for c in cols]
     exprs = []
     for c in cols:
         fc = f"(SELECT {{}} FROM f_{c})"
@@ -230,9 +241,9 @@ def outlier_sql(method: str, cols=LI_COLS) -> str:
     return with_(ctes, f"SELECT {key}, {', '.join(exprs)} FROM base")
 
 
-def outlier_remove_sql(cols=LI_COLS) -> str:
+def outlier_remove_sql(cols=LI_COLS, first: tuple = (), table: str = "lineitem") -> str:
     key = "l_orderkey, l_linenumber"
-    ctes = [f"t0 AS (SELECT {key}, {', '.join(cols)} FROM lineitem)"]
+    ctes = [*first, f"t0 AS (SELECT {key}, {', '.join(cols)} FROM {table})"]
     for i, c in enumerate(cols):
         src, dst = f"t{i}", f"t{i + 1}"
         ctes.append(_fence_cte(f"f{i}", src, c))
@@ -285,6 +296,28 @@ def pearson_matrix_sql(cols=LI_COLS, table: str = "lineitem") -> str:
         for a in cols for b in cols)
 
 
+def _det(m: list[list[str]]) -> str:
+    """A determinant of SQL terms, expanded along the first row."""
+    if len(m) == 1:
+        return m[0][0]
+    return "(" + " ".join(f"{'-' if j % 2 else '+'} {m[0][j]} * " + _det([r[:j] + r[j + 1:] for r in m[1:]])
+                          for j in range(len(m))) + ")"
+
+
+def vif_sql(intercept: bool, cols=LI_COLS, table: str = "lineitem") -> str:
+    """VIF of every column as a cofactor over the determinant of the correlations (or, without
+    intercept, of the cosines)."""
+    term = (lambda a, b: f"corr({a}, {b})") if intercept else (
+        lambda a, b: f"sum({a} * {b}) / (sqrt(sum({a} * {a})) * sqrt(sum({b} * {b})))")
+    p = len(cols)
+    name = [[f"m{min(i, j)}_{max(i, j)}" if i != j else "1.0::DOUBLE" for j in range(p)] for i in range(p)]
+    cells = ", ".join(f"{term(cols[i], cols[j])} AS m{i}_{j}" for i in range(p) for j in range(i + 1, p))
+    rest = lambda i: [[name[a][b] for b in range(p) if b != i] for a in range(p) if a != i]
+    return f"WITH m AS (SELECT {cells} FROM {table})\n" + "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS feature, {_det(rest(i))} / {_det(name)} AS vif, false AS collinear FROM m"
+        for i, c in enumerate(cols))
+
+
 def class_balance_sql(src: str, target: str) -> str:
     return (f"SELECT {target} AS class, n, n * 100.0 / sum(n) OVER () AS percent,"
             f" CAST(min(n) OVER () AS DOUBLE) / max(n) OVER () AS balance_ratio,"
