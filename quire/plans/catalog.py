@@ -421,6 +421,7 @@ from quire.operators import train as TR  # noqa: E402
 from quire.operators import publish as PB  # noqa: E402
 from quire.operators import registry as RG  # noqa: E402
 from quire.plans import jobs as J  # noqa: E402
+from quire.plans import leakfree as LF  # noqa: E402
 from quire.plans import trainers as W4  # noqa: E402
 from quire.session import ensure_checkpoint_dir  # noqa: E402
 
@@ -539,6 +540,17 @@ def w3_train_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([row], ", ".join(f"{k} DOUBLE" for k in keys) + ", final_features STRING")
 
 
+@register("w3_train_leak_free")
+def w3_train_leak_free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W3 with every fit inside the folds: outliers, scaler, feature choice and over-sampling see the
+    other folds' original rows only (one row of figures)."""
+    res = LF.train_leak_free(feature_run(spark, sf_dir).features, TR.ModelConfig(**QUERY_CFG), n_select=N_SELECT)
+    m = res["metrics"]
+    keys = sorted(m)
+    row = tuple(float(m[k]) for k in keys) + (",".join(res["features"]),)
+    return spark.createDataFrame([row], ", ".join(f"{k} DOUBLE" for k in keys) + ", final_features STRING")
+
+
 def _scoring_model(spark, sf_dir):
     prep, chosen = _prepared(spark, sf_dir)
     model = TR.fit_forest(_weighted(prep), chosen, "ust", n_trees=50, depth=5)

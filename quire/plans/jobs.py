@@ -175,6 +175,40 @@ def oversample_frame(df: DataFrame, features: list[str], label: str, key: str, m
     return res.select(key, label, *[F.col("_v")[i].alias(f) for i, f in enumerate(features)])
 
 
+def training_figures(oof: DataFrame, scored: DataFrame, label: str, cfg: TR.ModelConfig) -> dict:
+    """Figures of out-of-fold predictions (``fold``, ``p1``; M4, recall per fold as E6)
+    and of scored test rows (``p1``)."""
+    oof = oof.withColumn("pred", E.decide(F.col("p1"), cfg.decision_threshold))
+    cvm = E.count_metrics(oof, label, "pred", 1.0).first()
+    cells = E.score_cells(oof, label, "p1")
+    per_fold = E.count_metrics(oof, label, "pred", 1.0, by=["fold"])
+    two = oof.groupBy("fold").agg((F.count_distinct(label) == 2).alias("two_classes"))
+    cvs = E.cv_summary(per_fold.join(two, "fold"), "recall").first()
+    pt = scored.withColumn("pred", E.decide(F.col("p1"), cfg.decision_threshold))
+    tm = E.count_metrics(pt, label, "pred", 1.0).first()
+    tcells = E.score_cells(pt, label, "p1")
+    n_test = pt.count()
+    ci = E.bootstrap_ci(pt.select(label, F.col("p1").alias("score"), "pred").withColumnRenamed(label, "label"),
+                        n_boot=cfg.n_bootstraps, alpha=cfg.alpha, seed=cfg.random_state).first()
+    z = E.z_value(cfg.alpha)
+    acc = tm["accuracy"] or 0.0
+    se = (acc * (1 - acc) / n_test) ** 0.5 if n_test else 0.0
+    metrics = {
+        "cv_accuracy": cvm["accuracy"], "cv_precision": cvm["precision"], "cv_recall": cvm["recall"],
+        "cv_f1": cvm["f1"], "cv_roc_auc": E.roc_auc(cells).first()["roc_auc"],
+        "cv_pr_auc": E.pr_auc(cells).first()["pr_auc"],
+        "cv_score_mean": cvs["cv_score_mean"], "cv_score_std": cvs["cv_score_std"],
+        "test_accuracy": tm["accuracy"], "test_precision": tm["precision"], "test_recall": tm["recall"],
+        "test_f1": tm["f1"], "test_roc_auc": E.roc_auc(tcells).first()["roc_auc"],
+        "test_pr_auc": E.pr_auc(tcells).first()["pr_auc"],
+        "accuracy_ci_lower": max(0.0, acc - z * se) if n_test >= 10 else 0.0,
+        "accuracy_ci_upper": min(1.0, acc + z * se) if n_test >= 10 else 0.0,
+        **{k: ci[k] for k in ci.asDict() if k.endswith(("_lower", "_upper")) and not k.startswith("accuracy")},
+    }
+    metrics["overfitting_gap"] = abs((metrics["cv_accuracy"] or 0.0) - (metrics["test_accuracy"] or 0.0))
+    return {k: (0.0 if v is None or v != v or v < 0 else float(v)) for k, v in metrics.items()}
+
+
 def train_and_evaluate(prepared: DataFrame, selected: list[str], cfg: TR.ModelConfig,
                        key: str = "user_id", label: str = "ust") -> dict:
     """P24 -> A17 -> R1 -> R3/R5-R8 -> M3 -> T5 -> T8 -> M1 -> E1-E8,
@@ -203,38 +237,9 @@ def train_and_evaluate(prepared: DataFrame, selected: list[str], cfg: TR.ModelCo
     chosen = TR.select_by_importance(spark, model, selected, cfg.n_features_to_select)
     chosen, removed, added = TR.vif_replacement(train_w, label, chosen, selected, cfg.max_vif, **params)
     final = TR.fit_forest(train_w, chosen, label, **params)
-    # CV figures from out-of-fold predictions (M4), recall per fold
     oof = TR.out_of_fold(train_w, chosen, label, "fold", cfg.n_folds, params)
-    oof = oof.withColumn("pred", E.decide(F.col("p1"), cfg.decision_threshold))
-    cvm = E.count_metrics(oof, label, "pred", 1.0).first()
-    cells = E.score_cells(oof, label, "p1")
-    per_fold = E.count_metrics(oof.withColumn("fold", F.col("fold")), label, "pred", 1.0, by=["fold"])
-    two = oof.groupBy("fold").agg((F.count_distinct(label) == 2).alias("two_classes"))
-    cvs = E.cv_summary(per_fold.join(two, "fold"), "recall").first()
     pt = TR.probability_of_one(final.transform(TR.assemble(test, chosen)))
-    pt = pt.withColumn("pred", E.decide(F.col("p1"), cfg.decision_threshold))
-    tm = E.count_metrics(pt, label, "pred", 1.0).first()
-    tcells = E.score_cells(pt, label, "p1")
-    n_test = pt.count()
-    ci = E.bootstrap_ci(pt.select(label, F.col("p1").alias("score"), "pred").withColumnRenamed(label, "label"),
-                        n_boot=cfg.n_bootstraps, alpha=cfg.alpha, seed=cfg.random_state).first()
-    z = E.z_value(cfg.alpha)
-    acc = tm["accuracy"] or 0.0
-    se = (acc * (1 - acc) / n_test) ** 0.5 if n_test else 0.0
-    metrics = {
-        "cv_accuracy": cvm["accuracy"], "cv_precision": cvm["precision"], "cv_recall": cvm["recall"],
-        "cv_f1": cvm["f1"], "cv_roc_auc": E.roc_auc(cells).first()["roc_auc"],
-        "cv_pr_auc": E.pr_auc(cells).first()["pr_auc"],
-        "cv_score_mean": cvs["cv_score_mean"], "cv_score_std": cvs["cv_score_std"],
-        "test_accuracy": tm["accuracy"], "test_precision": tm["precision"], "test_recall": tm["recall"],
-        "test_f1": tm["f1"], "test_roc_auc": E.roc_auc(tcells).first()["roc_auc"],
-        "test_pr_auc": E.pr_auc(tcells).first()["pr_auc"],
-        "accuracy_ci_lower": max(0.0, acc - z * se) if n_test >= 10 else 0.0,
-        "accuracy_ci_upper": min(1.0, acc + z * se) if n_test >= 10 else 0.0,
-        **{k: ci[k] for k in ci.asDict() if k.endswith(("_lower", "_upper")) and not k.startswith("accuracy")},
-    }
-    metrics["overfitting_gap"] = abs((metrics["cv_accuracy"] or 0.0) - (metrics["test_accuracy"] or 0.0))
-    metrics = {k: (0.0 if v is None or v != v or v < 0 else float(v)) for k, v in metrics.items()}
+    metrics = training_figures(oof, pt, label, cfg)
     imp = sorted(zip(chosen, [float(x) for x in final.featureImportances.toArray()]),
                  key=lambda t: (-t[1], t[0]))
     train.unpersist()
