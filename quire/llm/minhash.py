@@ -185,16 +185,17 @@ def agreeing_within(units: np.ndarray, tags: np.ndarray, sizes: np.ndarray, perc
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def bucketed(rows: DataFrame, *unit: str) -> DataFrame:
-    """``rows`` with a ``bucket`` that holds whole units and about ``BUCKET_ROWS`` rows."""
+def bucketed(rows: DataFrame, n: int, *unit: str) -> DataFrame:
+    """``rows``, ``n`` of them, with a ``bucket`` that holds whole units and about ``BUCKET_ROWS`` rows."""
     spark = rows.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // BUCKET_ROWS + 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // BUCKET_ROWS + 1)
     return rows.withColumn("bucket", F.pmod(F.xxhash64(*unit), F.lit(buckets)))
 
 
-def list_groups(lists: DataFrame, percent: int) -> DataFrame:
-    """``doc_id, near, low`` from ``lists(token, docs, doc_id, n, tag)``: for each document with an agreeing
-    one in its block of a list the least such, and the least document that agreements there join it with."""
+def list_groups(lists: DataFrame, tags: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, near, low`` from ``lists(token, docs, doc_id)`` and ``tags(doc_id, n, tag)``: for each document
+    with an agreeing one in its block of a list the least such, and the least document that agreements there
+    join it with.  Tags join the lists on their way to the blocks and are not written with them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["unit", "doc_id"])
@@ -217,11 +218,12 @@ def list_groups(lists: DataFrame, percent: int) -> DataFrame:
         return pd.DataFrame({"doc_id": ids[hit], "near": near[hit], "low": ids[low[hit]]})
 
     block = F.pmod(F.xxhash64("doc_id", "token"), F.ceil(F.col("docs") / BLOCK))
-    units = bucketed(lists.select(F.xxhash64("token", block).alias("unit"), "doc_id", "n", "tag"), "unit")
+    units = lists.select(F.xxhash64("token", block).alias("unit"), "doc_id").join(tags, "doc_id")
+    units = bucketed(units, lists.count(), "unit")
     return units.groupBy("bucket").applyInPandas(run, "doc_id long, near long, low long").distinct()
 
 
-def crossing_groups(lists: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+def crossing_groups(lists: DataFrame, tags: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """``src, dst``: documents of lists of several blocks and, for each other cluster in a list, one that agrees with them there."""
     wide = lists.where(F.col("docs") > BLOCK)
     named = wide.join(clusters, wide["doc_id"] == clusters["node"], "left").withColumn("comp", F.coalesce("component", "doc_id"))
@@ -230,7 +232,7 @@ def crossing_groups(lists: DataFrame, clusters: DataFrame, percent: int) -> Data
                                       F.sum("size").alias("members")).where("comps > 1").select(
         F.col("token"), F.col("m.comp").alias("main"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"),
         F.ceil((F.col("members") - F.col("m.size")) / BLOCK).cast("int").alias("outer_blocks"))
-    mixed = stage(named.select("token", "doc_id", "n", "tag", "comp").join(main, "token"), "mixed")
+    mixed = stage(named.select("token", "doc_id", "comp").join(main, "token").join(tags, "doc_id"), "mixed")
     part = lambda n: F.pmod(F.xxhash64("doc_id", "token"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["token", "block", "outer_block", "doc_id", "n", "tag", "comp", "outside"]
@@ -255,7 +257,8 @@ def crossing_groups(lists: DataFrame, clusters: DataFrame, percent: int) -> Data
             dst.append(found["dst"])
         return pd.DataFrame({"src": pd.concat(src).astype("int64"), "dst": pd.concat(dst).astype("int64")})
 
-    rows = bucketed(inner.unionByName(outer), "token", "block", "outer_block")
+    rows = inner.unionByName(outer)
+    rows = bucketed(rows, rows.select("token").count(), "token", "block", "outer_block")
     return rows.groupBy("bucket").applyInPandas(run, "src long, dst long").distinct()
 
 
@@ -349,11 +352,11 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
                  .dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig"), "reps")
     posted = stage(postings(reps), "postings")
     several = posted.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("docs")).where("docs > 1")
-    lists = stage(posted.join(several, "token").join(stage(tagged(reps), "tags"), "doc_id"), "lists")
+    lists, tags = stage(posted.join(several, "token"), "lists"), stage(tagged(reps), "tags")
 
-    groups = stage(list_groups(lists, percent), "groups")
+    groups = stage(list_groups(lists, tags, percent), "groups")
     clusters = components(groups.select(F.col("doc_id").alias("src"), F.col("low").alias("dst")))
-    crossing = crossing_groups(lists, clusters, percent)
+    crossing = crossing_groups(lists, tags, clusters, percent)
     clusters = components(clusters.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(crossing))
 
     first = stage(groups.select(F.least("doc_id", "near").alias("a"), F.greatest("doc_id", "near").alias("b")).distinct(), "pairs")
