@@ -23,7 +23,7 @@ from quire.operators import train as TR
 from quire.operators.prepare import DataQualityError, enforce, prune_suffixes
 from quire.operators.select import top_by
 from quire.plans.jobs import oversample_frame, training_figures
-from quire.session import cut_lineage
+from quire.session import compact, cut_lineage
 from quire.spec import FK_V1, SurveySpec
 
 #: (feature, run) columns that are profiled together: bounds the plan of one aggregation.
@@ -84,6 +84,12 @@ def _chosen(fit: DataFrame, features: list[str], label: str, n: int | None) -> l
     return [r["feature"] for r in top_by(corr, "spearman", n).orderBy("position").collect()]
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """The checkpointed rows in partitions that suit their number: every fit reads them."""
+    out = cut_lineage(df)
+    return compact(out, out.count())
+
+
 def _raised(fit: DataFrame, features: list[str], label: str, key: str, cfg: TR.ModelConfig) -> DataFrame:
     out = oversample_frame(fit, features, label, key, cfg.oversampling_method, cfg.random_state, cfg.categorical_features)
     return R.undersample(out, label, key, cfg.random_state) if cfg.use_undersampling else out
@@ -115,7 +121,7 @@ def train_leak_free(features: DataFrame, cfg: TR.ModelConfig, candidates: list[s
     folds = R.stratified_folds(split.where(~F.col("is_test")), label, key, k, cfg.random_state)
     # one frame carries the folds; test rows have none, so no run sees them
     rows = folds.unionByName(split.where("is_test").withColumn("fold", F.lit(None).cast("int")))
-    rows = cut_lineage(rows)
+    rows = _written(rows)
     runs = [*range(k), WHOLE]
     prof, scaler = fit_runs(rows, candidates, runs, method)
     keep = [key, label, "fold"]
@@ -134,7 +140,7 @@ def train_leak_free(features: DataFrame, cfg: TR.ModelConfig, candidates: list[s
             raised = TR.with_class_weight(raised, label, "balanced", "w_bal")
             raised = TR.with_class_weight(raised, label, cfg.cost_weight, "w_cost")
             # synthetic rows are drawn once, for all grid points
-            fitted[r] = cut_lineage(raised.select(key, label, *chosen[r], "w_bal", "w_cost"))
+            fitted[r] = _written(raised.select(key, label, *chosen[r], "w_bal", "w_cost"))
             out = mine.where(F.col("fold") == r) if r != WHOLE else mine.where("fold is null")
             held[r] = out.select(key, label, *chosen[r]).persist(StorageLevel.MEMORY_AND_DISK)
             cached.append(held[r])
