@@ -1,6 +1,10 @@
 """What keeps the survey jobs' cost in proportion to their rows: the parse, spread sources, compact training frames."""
 
+from pyspark.sql import functions as F
+
+from quire.operators import train as TR
 from quire.operators.answers import accepted, parse_answers, rejected
+from quire.session import compact
 from quire.sources import fixtures as FX
 from quire.spec import FK_V1
 
@@ -29,3 +33,22 @@ def test_one_key_file_is_built_by_many_tasks(spark, tmp_dir):
     wide = FX.answers_wide(spark, tmp_dir)
     assert wide.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
     assert sorted(r[0] for r in wide.select("user_id").collect()) == list(range(500))
+
+
+def test_compact_takes_few_partitions_for_few_rows_and_more_for_many(spark):
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(1000, numPartitions=20 * cores)
+    assert compact(df, 1000).rdd.getNumPartitions() == 2 * cores
+    assert compact(df, 250_000 * 5 * cores).rdd.getNumPartitions() == 5 * cores
+    assert compact(df, 1000).agg(F.sum("id")).first()[0] == 999 * 500
+
+
+def test_out_of_fold_rows_do_not_score_again(spark):
+    df = spark.range(300, numPartitions=64).select(
+        "id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 5).cast("int").alias("fold"),
+        ((F.col("id") * 7) % 11 + F.col("id") % 2).cast("double").alias("x"), F.lit(1.0).alias("w"))
+    oof = TR.out_of_fold(df, ["x"], "y", "fold", 5, {"n_trees": 3, "depth": 2})
+    plan = oof._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and "Union" not in plan  # written rows, not five models over the source
+    assert sorted((r["id"], r["fold"]) for r in oof.collect()) == [(i, i % 5) for i in range(300)]
+    assert all(0 <= r["p1"] <= 1 for r in oof.collect())
