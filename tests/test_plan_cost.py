@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from quire.operators import train as TR
 from quire.operators.answers import accepted, parse_answers, rejected
+from quire.plans.jobs import feature_run
 from quire.session import compact
 from quire.sources import fixtures as FX
+from quire.sources.survey import labelled_load
 from quire.spec import FK_V1
 
 
@@ -28,6 +30,32 @@ def test_a_filter_below_a_join_carries_the_parse_once(spark):
         2: "fewer than 18 items", 3: "answer is not a list"}
 
 
+def test_answers_are_parsed_once_and_before_they_are_joined(spark):
+    answers = _raw(spark).select("user_id", F.lit(1).alias("feature_id"), "answer")
+    users = spark.range(10).withColumnRenamed("id", "user_id")
+    statuses = spark.createDataFrame([(u, s, p) for u in range(1, 5) for s, p in (("npl", -1), ("healthy", 6))],
+                                     "user_id long, loan_status string, payoff_score int")
+    load = lambda **kw: labelled_load(users, answers, FX.features(spark), statuses, "fsk_v2.0", True, **kw)
+    early, late = load(parse=lambda a: parse_answers(a, FK_V1)), parse_answers(load(), FK_V1)
+    assert early.columns[:2] == ["user_id", "feature_id"] and set(early.columns) == set(late.columns)
+    assert sorted(map(str, early.select(*late.columns).collect())) == sorted(map(str, late.collect()))
+    for df in (accepted(early).select("user_id", *FK_V1.columns), rejected(early)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RLIKE(") == 2 and plan.index("Join Inner") < plan.index("RLIKE(")
+
+
+def test_features_are_computed_once(spark, tmp_dir):
+    src = {"customer": spark.range(3000).select(F.col("id").alias("c_custkey")),
+           "orders": spark.range(6000).select(
+               F.col("id").alias("o_orderkey"), (F.col("id") % 3000).alias("o_custkey"),
+               F.when(F.col("id") % 2 == 0, "F").otherwise("O").alias("o_orderstatus"))}
+    for name, df in src.items():
+        df.write.parquet(f"{tmp_dir}/{name}.parquet")
+    got = feature_run(spark, tmp_dir).features
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "score_var" in plan and "POWER(" not in plan.upper() and got.count() > 0  # read back, not derived again
+
+
 def test_one_key_file_is_built_by_many_tasks(spark, tmp_dir):
     spark.range(500).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_dir}/customer.parquet")
     wide = FX.answers_wide(spark, tmp_dir)
