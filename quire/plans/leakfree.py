@@ -9,7 +9,7 @@ folds' original rows.  Held rows are original rows only.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -127,7 +127,7 @@ def train_leak_free(features: DataFrame, cfg: TR.ModelConfig, candidates: list[s
     keep = [key, label, "fold"]
     chosen, fitted, held, cached = {}, {}, {}, []
     try:
-        for r in runs:
+        def prepare(r):
             usable = _usable(candidates, r, scaler, prof)
             mine = apply_run(rows, usable, r, (prof, scaler), keep, method)
             fit = mine.where(F.col("fold") != r) if r != WHOLE else mine.where("fold is not null")
@@ -144,17 +144,19 @@ def train_leak_free(features: DataFrame, cfg: TR.ModelConfig, candidates: list[s
             out = mine.where(F.col("fold") == r) if r != WHOLE else mine.where("fold is null")
             held[r] = out.select(key, label, *chosen[r]).persist(StorageLevel.MEMORY_AND_DISK)
             cached.append(held[r])
+
+        TR.side_by_side(prepare, runs, parallelism)
         best, grid = _grid(fitted, held, chosen, range(k), label, cfg, parallelism)
         weight = best[0]["weight"]
         params = {"n_trees": best[0]["numTrees"], "depth": best[0]["maxDepth"],
                   "min_split": 2 * best[0]["minInstancesPerNode"] - 1, "seed": cfg.random_state}
-        oof = None
-        for r in range(k):
+
+        def judged(r):
             m = TR.fit_forest(fitted[r], chosen[r], label, weight=weight, **params)
-            part = TR.probability_of_one(m.transform(TR.assemble(held[r], chosen[r]))).select(
+            return TR.probability_of_one(m.transform(TR.assemble(held[r], chosen[r]))).select(
                 key, label, F.lit(r).alias("fold"), "p1")
-            oof = part if oof is None else oof.unionByName(part)
-        oof = cut_lineage(oof)
+
+        oof = cut_lineage(reduce(DataFrame.unionByName, TR.side_by_side(judged, range(k), parallelism)))
         whole = fitted[WHOLE].withColumn("w", F.col(weight))
         first = TR.fit_forest(whole, chosen[WHOLE], label, weight="w", **params)
         final = TR.select_by_importance(spark, first, chosen[WHOLE], cfg.n_features_to_select)
@@ -196,8 +198,7 @@ def _grid(fitted: dict, held: dict, chosen: dict, folds, label: str, cfg: TR.Mod
         return float(evaluator.evaluate(rf.fit(data[r][0]).transform(data[r][1])))
 
     try:
-        with ThreadPoolExecutor(parallelism) as pool:
-            scores = list(pool.map(lambda a: score(*a), [(p, r) for p in points for r in folds]))
+        scores = TR.side_by_side(lambda a: score(*a), [(p, r) for p in points for r in folds], parallelism)
     finally:
         for fit, _ in data.values():
             fit.unpersist()

@@ -1,5 +1,7 @@
 """What keeps the survey jobs' cost in proportion to their rows: the parse, spread sources, compact training frames."""
 
+from threading import Barrier
+
 from pyspark.sql import functions as F
 
 from quire.operators import train as TR
@@ -80,3 +82,33 @@ def test_out_of_fold_rows_do_not_score_again(spark):
     assert "UDF" not in plan and "Union" not in plan  # written rows, not five models over the source
     assert sorted((r["id"], r["fold"]) for r in oof.collect()) == [(i, i % 5) for i in range(300)]
     assert all(0 <= r["p1"] <= 1 for r in oof.collect())
+
+
+def test_fits_run_side_by_side_in_order():
+    meet = Barrier(3, timeout=20)  # broken unless three are under way together
+
+    def work(x):
+        meet.wait()
+        return x * x
+
+    assert TR.side_by_side(work, [3, 1, 2]) == [9, 1, 4]
+
+
+def test_out_of_fold_and_grid_fits_overlap(spark, monkeypatch):
+    df = spark.range(300, numPartitions=4).select(
+        "id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 3).cast("int").alias("fold"),
+        ((F.col("id") * 7) % 11 + F.col("id") % 2).cast("double").alias("x"), F.lit(1.0).alias("w"))
+    meet, rows = Barrier(3, timeout=60), []
+
+    def estimator(part):
+        rows.append(part.count())
+        meet.wait()
+        return TR.forest("y", 3, 2)
+
+    oof = TR.out_of_fold(df, ["x"], "y", "fold", 3, estimator=estimator)
+    assert rows == [200, 200, 200] and sorted((r["id"], r["fold"]) for r in oof.collect()) == [(i, i % 3) for i in range(300)]
+    asked = []
+    monkeypatch.setattr(TR, "side_by_side", lambda work, items, *a: asked.append(list(items)) or [work(x) for x in items])
+    cfg = TR.ModelConfig(n_estimators=[3], max_depth=[2], min_samples_split=[2], n_folds=3)
+    _, grid = TR.grid_search(df.drop("w"), ["x"], "y", cfg)
+    assert asked == [["w_bal", "w_cost"]] and [p["weight"] for p, _ in grid] == ["w_bal", "w_cost"]
