@@ -1,9 +1,10 @@
-"""What keeps the fits' cost in proportion: quantiles by counts."""
+"""What keeps the fits' cost in proportion: quantiles by counts, methods that the JVM compiles."""
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from quire.functions import quantiles as Q
+from quire.session import configure
 
 
 def test_quantiles_merge_counts_and_no_sketches(spark, monkeypatch):
@@ -30,3 +31,12 @@ def test_quantiles_merge_counts_and_no_sketches(spark, monkeypatch):
     assert got["whole"] == [0.0, 0.0, 1.0, 2.0, 3.0, 4.0, 4.0] and got["none"] == [None] * 7
     assert 2 <= len(passes) <= 6
     assert Q.exact_quantiles(df.limit(1), ["whole"], (0.5,))["whole"][0] in range(5) and Q.exact_quantiles(df, [], (0.5,)) == {}
+
+
+def test_wide_projections_stay_in_methods_the_jvm_compiles(spark):
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    try:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+        assert int(configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)
