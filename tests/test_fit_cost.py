@@ -1,9 +1,12 @@
-"""What keeps the fits' cost in proportion: quantiles by counts, methods that the JVM compiles."""
+"""What keeps the fits' cost in proportion: quantiles by counts, methods that the JVM compiles, rows held once for two versions."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import quantiles as Q
+from quire.operators import train as TR
+from quire.plans import catalog
 from quire.session import configure
 
 
@@ -40,3 +43,29 @@ def test_wide_projections_stay_in_methods_the_jvm_compiles(spark):
         assert int(configure(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
     finally:
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)
+
+
+def test_two_versions_share_held_rows_of_the_models_columns(spark, tmp_dir, monkeypatch):
+    keys = spark.range(1, 401).select(F.col("id").alias("c_custkey"))
+    keys.write.parquet(tmp_dir + "/customer.parquet")
+    spark.range(1600).select(F.col("id").alias("o_orderkey"), (F.col("id") % 400 + 1).alias("o_custkey"), F.when(
+        F.col("id") % 3 == 0, "F").otherwise("O").alias("o_orderstatus")).write.parquet(tmp_dir + "/orders.parquet")
+    held, plain = [], TR.held
+    monkeypatch.setattr(TR, "held", lambda df: held.append(df.columns) or plain(df))
+    reg, _, columns = catalog._two_versions(spark, tmp_dir)
+    assert held == [["fold", "ust", "w", "features"]] and {"user_id", "ust"} < set(columns)
+    rows = {r["timestamp"]: r for r in reg.collect()}
+    assert sorted(rows) == ["20250101_000000", "20250102_000000"]
+    assert all(len(r["final_features"]) == len(catalog.MODEL_FEATURES) and 0 <= r["cv_f1"] <= 1 for r in rows.values())
+    assert {r["model_path"][-1] for r in rows.values()} == {"1", "2"}
+
+
+def test_fold_predictions_equal_those_of_out_of_fold(spark):
+    df = spark.range(200, numPartitions=3).select(
+        "id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 4).cast("int").alias("fold"),
+        ((F.col("id") * 7) % 11 + F.col("id") % 2).cast("double").alias("x"), F.lit(1.0).alias("w"))
+    params = {"n_trees": 3, "depth": 2}
+    want = {r["id"]: r["p1"] for r in TR.out_of_fold(df, ["x"], "y", "fold", 4, params).collect()}
+    with TR.held(TR.assemble(df, ["x"]).drop("x")) as rows:
+        got = {r["id"]: r["p1"] for r in TR.fold_predictions(rows, "y", "fold", 4, params, parallelism=2).collect()}
+    assert got == pytest.approx(want) and len(got) == 200
