@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import stage
+from quire.session import cut_lineage
 
 LIMB = 20
 WORD = 40  # bits of the parts in which sums travel as longs
@@ -492,7 +492,8 @@ def whiten(table: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
     k = len(model.roots)
     if not k:
         return spark.createDataFrame([], out)
-    projected = stage(project(rows, key, dim, scale, model), "whitened")
+    # A checkpoint keeps the partitions, so rows come out in the table's order; files are read largest first.
+    projected = cut_lineage(project(rows, key, dim, scale, model))
     error = identity_error(projected, k)
     shares = F.array(*[F.lit(x) for x in model.explained])
     return (projected.select(key, "deviation", "deviation_exact", F.posexplode("w").alias("at", "whitened"))
