@@ -41,8 +41,9 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -
         enc = encoder(tokenizer)
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.append(enc.encode(text.as_py()), np.uint32(end_id)).astype("<u4")
+            texts = (text.as_py() for text in batch.column("text"))
+            for key, ids in zip(batch.column("doc_id").to_pylist(), enc.encode_all(texts)):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for at in range(0, len(ids), capacity):
                     part = ids[at:at + capacity]
                     rows.append((key, at, len(part), zlib.crc32(part.tobytes()), len(ids)))
