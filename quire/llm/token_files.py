@@ -138,8 +138,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, *
         task, enc = TaskContext.get().partitionId(), encoder(tokenizer)
         number, keys, held, size = 0, [], [], 0
         for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.append(enc.encode(text.as_py()), np.uint32(end_id)).astype("uint32")
+            texts = (text.as_py() for text in batch.column("text"))
+            for key, ids in zip(batch.column("doc_id").to_pylist(), enc.encode_all(texts)):
+                ids = np.append(ids, np.uint32(end_id)).astype("uint32")
                 if held and size + len(ids) > segment_tokens:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([write_segment(task, number, keys, held, percentile)], pa.binary())], names=["content"])
