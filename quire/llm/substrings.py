@@ -10,7 +10,7 @@ sequence also starts elsewhere is removed.
    windows whose anchor occurs twice can repeat.  Neighbouring windows share
    anchors; a document yields some seven anchors per hundred words.
 3. The windows under a repeated anchor form a segment, which goes to the shard
-   of its anchor.  Equal segments travel once, with their count.  An anchor
+   of its anchor.  Equal segments are counted by their hashes first and their words travel once, with the count.  An anchor
    with over ``hot`` occurrences is dealt out window by window instead, by the
    window's own hash, so no shard gathers a common passage's surroundings.
 4. A shard confirms which of its windows recur (by fingerprints in arrays, equal ones
@@ -96,7 +96,9 @@ def outline(docs: DataFrame, window: int) -> DataFrame:
 
 
 def cut_segments(held: DataFrame, window: int, hot: int) -> DataFrame:
-    """``shard, key, doc, start, words`` of the segments that ``held(doc, text, runs)`` names; ``doc`` is a class key."""
+    """``shard, key, doc, start, size, bytes`` of the segments that ``held(doc, text, runs)`` names, ``size`` words from
+    word ``start`` on; ``doc`` is a class key."""
+    columns = ["shard", "key", "doc", "start", "size", "bytes"]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -107,19 +109,44 @@ def cut_segments(held: DataFrame, window: int, hot: int) -> DataFrame:
                     h, n, a, b = r["h"], r["n"], r["a"], r["b"]
                     if n <= hot:
                         piece = b" ".join(words[a:b + window])
-                        rows.append((h, xxhash.xxh3_128_digest(piece), doc, a, piece))
+                        rows.append((h, xxhash.xxh3_128_digest(piece), doc, a, b + window - a, len(piece)))
                     else:
                         for s in range(a, b + 1):
                             piece = b" ".join(words[s:s + window])
-                            rows.append((xxhash.xxh3_64_intdigest(piece) - (1 << 63), xxhash.xxh3_128_digest(piece), doc, s, piece))
+                            rows.append((xxhash.xxh3_64_intdigest(piece) - (1 << 63), xxhash.xxh3_128_digest(piece), doc, s,
+                                         window, len(piece)))
                 if len(rows) >= 20_000:
-                    yield pd.DataFrame(rows, columns=["shard", "key", "doc", "start", "words"])
+                    yield pd.DataFrame(rows, columns=columns)
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=["shard", "key", "doc", "start", "words"])
+                yield pd.DataFrame(rows, columns=columns)
 
     return held.select("doc", "text", "runs").mapInPandas(
-        tidy(run), "shard long, key binary, doc binary, start long, words binary")
+        tidy(run), "shard long, key binary, doc binary, start long, size long, bytes long")
+
+
+def different_segments(segments: DataFrame, held: DataFrame) -> DataFrame:
+    """``shard, key, n, words`` of the different segments, each cut out of the text of its first place once its
+    ``n`` places are counted, so that words are shuffled once and not for each place."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for text, parts in zip(pdf["text"], pdf["parts"]):
+                words = words_of(text, lower=False)
+                rows += [(p["shard"], p["key"], p["n"], b" ".join(words[p["start"]:p["start"] + p["size"]])) for p in parts]
+                if len(rows) >= 20_000:
+                    yield pd.DataFrame(rows, columns=["shard", "key", "n", "words"])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["shard", "key", "n", "words"])
+
+    first = segments.groupBy("shard", "key").agg(F.min(F.struct("doc", "start", "size")).alias("at"), F.count(F.lit(1)).alias("n"))
+    parts = first.groupBy("at.doc").agg(F.collect_list(F.struct("shard", "key", "n", "at.start", "at.size")).alias("parts"))
+    # Rows that repeat hold one text.
+    texts = held.select("doc", "text").dropDuplicates(["doc"])
+    return parts.join(texts, "doc").select("text", "parts").mapInPandas(
+        tidy(run), "shard long, key binary, n long, words binary")
 
 
 def recurring(flat: np.ndarray, lengths: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
@@ -180,11 +207,11 @@ def locate(texts: Iterable[tuple[int, ...]], passages: list[tuple[int, ...]]) ->
         yield spans
 
 
-def search_shards(segments: DataFrame, window: int, shard_bytes: int) -> DataFrame:
+def search_shards(segments: DataFrame, held: DataFrame, window: int, shard_bytes: int) -> DataFrame:
     """``key, spans`` of the segments in which repeated passages lie."""
-    distinct = segments.groupBy("shard", "key").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("n"))
+    distinct = different_segments(segments, held)
     spark = segments.sparkSession
-    size = segments.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    size = segments.agg(F.sum("bytes")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // shard_bytes + 1)
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -230,20 +257,21 @@ def repeated_passages(docs: DataFrame, *, window: int = 35, hot: int = 4096,
     small = stage(rows.select("doc_id", "t1", "t2", "key", "n_words", "sha").join(classes.select("key", "copies"), "key").withColumn(
         "gone", (F.col("copies") > 1) & (F.col("n_words") >= window)).drop("copies"), "classes")
     # One row of each class, also where an id repeats.
-    standing = (rows.where(F.size("h") > 0).select("doc_id", "t1", "t2", "key", "h", "a", "b")
-                .join(classes.select("key", "copies", "rep"), "key").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-                .dropDuplicates(["key"]))
-    runs = standing.select("doc_id", "t1", "t2", "key", (F.col("copies") > 1).alias("gone"),
-                           F.explode(F.arrays_zip("h", "a", "b")).alias("r")).select("doc_id", "t1", "t2", "key", "gone", "r.*")
+    standing = stage(rows.where(F.size("h") > 0).select("doc_id", "t1", "t2", "key", "h", "a", "b")
+                     .join(classes.select("key", "copies", "rep"), "key").where(F.col("doc_id").eqNullSafe(F.col("rep")))
+                     .dropDuplicates(["key"]), "standing")
+    # A class is known by its key alone while its anchors meet; its text's names come back afterwards.
+    runs = standing.select("key", F.explode(F.arrays_zip("h", "a", "b")).alias("r")).select("key", "r.*")
     # A table of its own, so that the join's two sides are plain shuffles and a very common anchor can be split.
     several = stage(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
-    found = (runs.join(several, "h").groupBy("doc_id", "t1", "t2", F.col("key").alias("doc"), "gone")
-             .agg(F.collect_list(F.struct("h", "n", "a", "b")).alias("runs")))
+    found = (runs.join(several, "h").groupBy("key").agg(F.collect_list(F.struct("h", "n", "a", "b")).alias("runs"))
+             .join(standing.select("doc_id", "t1", "t2", "key", (F.col("copies") > 1).alias("gone")), "key")
+             .withColumnRenamed("key", "doc"))
     texts = docs.select(F.col("doc_id").alias("__d"), F.col("t1").alias("__1"), F.col("t2").alias("__2"), "text")
     held = stage(found.join(texts, (F.col("t1") == F.col("__1")) & (F.col("t2") == F.col("__2")) & F.col("doc_id").eqNullSafe(F.col("__d")))
                  .drop("__d", "__1", "__2"), "held")
     segments = stage(cut_segments(held, window, hot), "segments")
-    spans = search_shards(segments, window, shard_bytes)
+    spans = search_shards(segments, held, window, shard_bytes)
     place = F.transform("spans", lambda s: F.struct((s[0] + F.col("start")).alias("a"), (s[1] + F.col("start")).alias("b")))
     removed = (segments.select("doc", "key", "start").join(spans, "key").select("doc", place.alias("s"))
                .groupBy("doc").agg(F.flatten(F.collect_list("s")).alias("spans")))

@@ -94,3 +94,19 @@ def test_rows_with_equal_or_missing_ids(spark, tmp_dir, shard_bytes):
 def test_without_a_character_count(spark):
     docs = spark.createDataFrame([(1, "a " * 40), (2, "a " * 40)], "doc_id int, text string")
     assert [tuple(r) for r in substrings.remove_repeated(docs).orderBy("doc_id").collect()] == [(1, ""), (2, "")]
+
+
+def test_words_of_equal_segments_are_cut_and_shuffled_once(spark):
+    """Two texts with one long passage in common: its segments are counted by hash, their words come from one place."""
+    common = " ".join(f"w{i}" for i in range(80))
+    held = spark.createDataFrame([(b"a", "x y " + common, [(7, 2, 2, 40)]), (b"b", common, [(7, 2, 0, 38)])],
+                                 "doc binary, text string, runs array<struct<h long, n long, a long, b long>>")
+    segments = substrings.cut_segments(held, 35, 4096)
+    assert "words" not in segments.columns
+    rows = segments.collect()
+    assert {(bytes(r["doc"]), r["start"], r["size"]) for r in rows} == {(b"a", 2, 73), (b"b", 0, 73)}
+    assert len({bytes(r["key"]) for r in rows}) == 1 and {r["bytes"] for r in rows} == {len(" ".join(common.split()[:73]))}
+    got = substrings.different_segments(segments, held).collect()
+    assert [(r["shard"], r["n"], bytes(r["words"]).decode()) for r in got] == [(7, 2, " ".join(common.split()[:73]))]
+    hot = substrings.different_segments(substrings.cut_segments(held, 35, 1), held).collect()  # window by window
+    assert len(hot) == 39 and {r["n"] for r in hot} == {2} and {len(r["words"].split()) for r in hot} == {35}
