@@ -54,9 +54,10 @@ def fit_runs(rows: DataFrame, features: list[str], runs: list[int], method: str
     prof, scaler = {}, {}
     for i in range(0, len(cells), COLUMNS):
         some = fitting.select(*cells[i:i + COLUMNS])
-        own = S.profile(some, some.columns)
+        own = S.profile(some, some.columns, S.column_moments(some, some.columns))
         prof |= own
-        scaler |= S.fit_scaler(S.apply_outliers(some, own, method), some.columns)
+        treated = S.apply_outliers(some, own, method)
+        scaler |= S.fit_scaler(treated, some.columns, S.column_moments(treated, some.columns))
     return prof, scaler
 
 
