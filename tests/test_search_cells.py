@@ -84,3 +84,11 @@ def test_moments_of_no_rows(spark):
     assert S.column_moments(df, ["a", "b"]) == {"a": (0, 0.0, 0.0, 0.0), "b": (1, 1.5, 0.0, 0.0)}
     for d in (df, df.limit(0)):
         assert S.fit_scaler(d, ["a", "b"], S.column_moments(d, ["a", "b"])) == S.fit_scaler(d, ["a", "b"])
+
+
+def test_query_rows_of_one_id_are_one_query(spark):
+    df = spark.createDataFrame([(i, 0, 1, [float(x)], True) for i, x in ((1, 0), (1, 0), (2, 1), (3, 2), (4, 4), (5, 8))],
+                               "id long, part int, label int, v array<double>, query boolean")
+    got = {(r["qid"], r["rank_same"]): r["nid"] for r in N.search(df, 3).frame.collect()}
+    assert [got[1, k] for k in (1, 2, 3)] == [2, 2, 2] and [got[2, k] for k in (1, 2, 3)] == [1, 1, 3]
+    assert sorted({q for q, _ in got}) == [1, 2, 3, 4, 5]
